@@ -133,3 +133,65 @@ SELECT 'org/repo' || CAST(o_custkey % 5 AS STRING) AS repository,
  || ',"base":{"sha":"def","ref":"main","repo":{"id":9,"full_name":""}},"changed_files":' || CAST(o_custkey % 9 AS STRING) || '}' AS record
 FROM orders
 """
+
+# Services: annotations, endpoints, generated accessors, nested classes, interfaces, traps in literals.
+FIXTURES["service_files"] = r"""
+SELECT 'org/repo' || CAST(p_partkey % 5 AS STRING) AS repository,
+ 'src/' || CASE WHEN p_partkey % 4 = 0 THEN 'test' ELSE 'main' END || '/S' || CAST(p_partkey AS STRING) || '.java' AS path,
+ 'package com.example.svc;' || chr(10) ||
+ 'import static org.lib.U' || CAST(p_partkey % 9 AS STRING) || '.*;' || chr(10) ||
+ '@Service' || chr(10) ||
+ CASE WHEN p_partkey % 2 = 0 THEN '@Data' ELSE '@Deprecated' END || chr(10) ||
+ 'public class S' || CAST(p_partkey AS STRING) || ' {' || chr(10) ||
+ '    private Map<String, List<D' || CAST(p_partkey % 13 AS STRING) || '>> cache;' || chr(10) ||
+ '    private D' || CAST(p_partkey % 13 AS STRING) || ' dep;' || chr(10) ||
+ '    @GetMapping("/x/{id}")' || chr(10) ||
+ '    String get' || CAST(p_size AS STRING) || '(@Path("id") Map<String, D' || CAST(p_partkey % 13 AS STRING) || '> in, int... more) {' || chr(10) ||
+ '        return "} class Fake {"; // why' || chr(10) ||
+ '    }' || chr(10) ||
+ '    void hidden(int a) { }' || chr(10) ||
+ '    static class N' || CAST(p_partkey AS STRING) || ' implements I' || CAST(p_size AS STRING) || '<D' || CAST(p_partkey % 13 AS STRING) || '> {' || chr(10) ||
+ '        private E' || CAST(p_partkey % 5 AS STRING) || ' inner;' || chr(10) ||
+ '    }' || chr(10) ||
+ '}' || chr(10) ||
+ 'interface P' || CAST(p_partkey AS STRING) || ' {' || chr(10) ||
+ '    void p' || CAST(p_size AS STRING) || '(' || chr(10) ||
+ '        String a,' || chr(10) ||
+ '        final int b);' || chr(10) ||
+ '}' AS content
+FROM part
+"""
+
+# Two copies of some classes under another path, to test that the last file wins.
+FIXTURES["code_files_copies"] = r"""
+SELECT repository, path, content FROM code_files
+UNION ALL SELECT repository, 'zz/' || path AS path, content FROM code_files_v2 WHERE path LIKE '%4.java'
+"""
+
+FIXTURES["code_files_next"] = r"""
+SELECT c.repository, c.path, CASE WHEN v.content LIKE '%public void n%' THEN v.content ELSE c.content END AS content
+FROM code_files c JOIN code_files_v2 v ON c.repository = v.repository AND c.path = v.path
+"""
+
+# Interfaces with an old and a new return type, and the classes that implement them.
+FIXTURES["contracts_old"] = r"""
+SELECT 'org/repo' || CAST(p_partkey % 5 AS STRING) AS repository, 'src/A' || CAST(p_partkey AS STRING) || '.java' AS path,
+ 'interface A' || CAST(p_partkey AS STRING) || ' { void send(Event e); int size(); }' || chr(10) ||
+ 'class B' || CAST(p_partkey AS STRING) || ' implements A' || CAST(p_partkey AS STRING) || ' { public void send(Event e) { } }' AS content
+FROM part
+"""
+
+FIXTURES["contracts_new"] = r"""
+SELECT 'org/repo' || CAST(p_partkey % 5 AS STRING) AS repository, 'src/A' || CAST(p_partkey AS STRING) || '.java' AS path,
+ 'interface A' || CAST(p_partkey AS STRING) || ' { ' || CASE WHEN p_partkey % 3 = 0 THEN 'CompletableFuture<Void>' ELSE 'void' END || ' send(Event e); int size(); }' AS content
+FROM part
+"""
+
+FIXTURES["index_documents"] = r"""
+SELECT o_orderkey AS doc_id, 'org/repo' || CAST(o_custkey % 5 AS STRING) AS expected,
+ CASE WHEN o_orderkey % 8 = 7 THEN '{"repository": ' ELSE
+ '{' || CASE o_orderkey % 8 WHEN 1 THEN '' WHEN 2 THEN '"repository":"org/other",' ELSE '"repository":"org/repo' || CAST(o_custkey % 5 AS STRING) || '",' END ||
+ CASE o_orderkey % 8 WHEN 3 THEN '' ELSE '"metadata":{"totalFiles":1},' END ||
+ CASE o_orderkey % 8 WHEN 4 THEN '"other":1' WHEN 5 THEN '"index":{"classes":{}}' WHEN 6 THEN '"index":{"classes":{"A":{"name":"A"}},"dependencies":{},"files":null}' ELSE '"index":{"classes":{},"dependencies":{},"files":{}}' END || '}' END AS document
+FROM orders
+"""

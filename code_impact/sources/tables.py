@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from code_impact.session import apply_runtime_conf
+from code_impact.session import apply_runtime_conf, scratch_path
 from code_impact.sources.fixture_sql import FIXTURES
 
 TABLES = (
@@ -12,6 +12,9 @@ TABLES = (
 ).split()
 
 
+_written: dict[tuple[str, str, str], str] = {}
+
+
 class Inputs:
     """Tables and fixture views of one data folder."""
 
@@ -34,3 +37,30 @@ class Inputs:
         for t in used:
             self.table(t).createOrReplaceTempView(t)
         return self.spark.sql(text)
+
+    def types(self, files: str) -> DataFrame:
+        """Extracted classes of a fixture, written once per application."""
+        from code_impact.operators.index import extract_types
+
+        return self._stored(f"types-{files}", lambda: extract_types(self[files]))
+
+    def index(self, files: str) -> dict[str, DataFrame]:
+        """Stored index of a fixture, built once per application."""
+        from code_impact.operators.index import build_index
+        from code_impact.sources.store import IndexStore
+
+        def build(path: str) -> None:
+            IndexStore(self.spark, path).save(build_index(self[files], self.types(files)))
+
+        return IndexStore(self.spark, self._once(f"index-{files}", build)).load()
+
+    def _stored(self, label: str, make) -> DataFrame:
+        return self.spark.read.parquet(self._once(label, lambda path: make().write.parquet(path)))
+
+    def _once(self, label: str, write) -> str:
+        key = (self.spark.sparkContext.applicationId, self.folder, label)
+        if key not in _written:
+            path = scratch_path(self.spark, label)
+            write(path)
+            _written[key] = path
+        return _written[key]
