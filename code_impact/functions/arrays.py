@@ -60,3 +60,9 @@ def rewrite_tokens(text: Column, pattern: str, replace: Callable[[Column], Colum
 
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def each(values: Column) -> Column:
+    """Input for a generator over a computed array. A bare column would make the optimizer infer a size filter, push it
+    below the projection and so compute the array twice."""
+    return F.filter(values, lambda v: v.isNotNull())

@@ -9,10 +9,13 @@ Works on the text of declarations, not on a syntax tree: comments and string lit
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from code_impact.functions.arrays import let, newlines, rewrite_tokens, sums_before
+from code_impact.functions.arrays import each, let, newlines, rewrite_tokens, sums_before
 
 # Types that make no dependency edge.
 STANDARD_TYPES = [
@@ -45,8 +48,12 @@ def clean_source(content: Column) -> Column:
     literal = lambda token: F.when(
         token.startswith("/"), F.concat(F.lit(" "), keep_lines(token))
     ).otherwise(F.concat(F.lit('""'), keep_lines(token)))
-    blanked = rewrite_tokens(content, _LITERAL_OR_COMMENT, literal)
-    return rewrite_tokens(blanked, _ANNOTATION, lambda token: F.regexp_replace(token, "[{};]", " "))
+    blanked = F.when(content.rlike("[\"'/]"), rewrite_tokens(content, _LITERAL_OR_COMMENT, literal)).otherwise(content)
+    without_braces = lambda token: F.regexp_replace(token, "[{};]", " ")
+    return let(
+        blanked,
+        lambda text: F.when(F.contains(text, F.lit("@")), rewrite_tokens(text, _ANNOTATION, without_braces)).otherwise(text),
+    )
 
 
 def segments(cleaned: Column) -> Column:
@@ -102,7 +109,9 @@ def _types(segs: Column) -> Column:
     """Type declarations and anonymous bodies with the segment that closes each."""
 
     def describe(s: Column) -> Column:
-        plain = _plain(s["txt"])
+        return let(_plain(s["txt"]), lambda plain: describe_plain(s, plain))
+
+    def describe_plain(s: Column, plain: Column) -> Column:
         kind = F.regexp_extract(plain, _TYPE_HEADER, 1)
         return F.struct(
             s["i"].alias("i"),
@@ -171,7 +180,9 @@ def _member_methods(owner: Column, members: Column, closes: Column) -> Column:
     """Public methods and constructors among the direct members."""
 
     def describe(s: Column) -> Column:
-        plain = _plain(s["txt"])
+        return let(_plain(s["txt"]), lambda plain: describe_plain(s, plain))
+
+    def describe_plain(s: Column, plain: Column) -> Column:
         body_end = F.array_min(
             F.transform(F.filter(closes, lambda e: (e["i"] > s["i"]) & (e["depth"] == s["depth"] + 1)), lambda e: _last_line(e))
         )
@@ -277,35 +288,46 @@ def java_types(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per class or interface: (repository, path, pos, name, kind, package, imports, annotations, dependencies,
     methods, fields, edges). ``pos`` is the order in the file; edges are fields first, then extends, then implements.
     ``keep`` names further input columns to carry."""
+    cut, generated, declared, final = _columns(id(SparkContext._gateway))
     keys = ["repository", "path", *keep]
-    cleaned = files.select(*keys, clean_source(F.col("content")).alias("_clean"))
-    cut = cleaned.select(
-        *keys,
-        F.regexp_extract("_clean", r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"),
-        _import_list(F.col("_clean")).alias("imports"),
-        segments(F.col("_clean")).alias("_segs"),
-    )
-    typed = cut.withColumn("_types", _types(F.col("_segs"))).where(F.size("_types") > 0)
-    # The generator is a barrier: segments and types are computed once per file, not once per class.
-    rows = typed.select(*keys, "package", "imports", "_segs", "_types", F.posexplode("_types").alias("pos", "_t"))
+    cleaned = files.select(*keys, cut["_clean"])
+    segmented = cleaned.select(*keys, cut["package"], cut["imports"], cut["_segs"])
+    typed = segmented.select("*", cut["_types"])
+    # The generator is a barrier: segments and types are computed once per file, not once per class. Its input is an
+    # expression, so no size filter is inferred and pushed down, which would repeat the parsing.
+    rows = typed.select(*keys, "package", "imports", "_segs", "_types", generated)
+    return rows.select(*keys, "package", "imports", "pos", *declared).select(*keys, "pos", "name", "kind", "line", "package", *final)
+
+
+@lru_cache(maxsize=2)
+def _columns(_gateway: int) -> tuple:
+    """The expressions of ``java_types``. They are thousands of nodes, so they are built once per JVM."""
+    cut = {
+        "_clean": clean_source(F.col("content")).alias("_clean"),
+        "package": F.regexp_extract("_clean", r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"),
+        "imports": _import_list(F.col("_clean")).alias("imports"),
+        "_segs": segments(F.col("_clean")).alias("_segs"),
+        "_types": _types(F.col("_segs")).alias("_types"),
+    }
+    wanted = F.filter("_types", lambda u: u["kind"].isin("class", "interface"))
     t = F.col("_t")
     closes = F.filter("_segs", lambda s: s["step"] == -1)
     inside = lambda owner: F.filter(
         "_segs", lambda s: (s["i"] > owner["i"]) & (s["i"] < owner["end"]) & (s["depth"] == owner["depth"] + 1)
     )
-    with_fields = F.filter(
-        "_types", lambda u: (u["i"] >= t["i"]) & (u["end"] <= t["end"]) & (u["kind"] != "interface")
-    )
+    with_fields = F.filter("_types", lambda u: (u["i"] >= t["i"]) & (u["end"] <= t["end"]) & (u["kind"] != "interface"))
     nested_fields = F.flatten(F.transform(with_fields, lambda u: _fields(inside(u))))
-    declared = rows.where(t["kind"].isin("class", "interface")).select(
-        *keys, "package", "imports", "pos",
-        t["name"].alias("name"), t["kind"].alias("kind"), t["line"].alias("line"),
+    own_fields = F.filter(inside(t), lambda _s: t["kind"] == "class")
+    declared = [
+        t["name"].alias("name"),
+        t["kind"].alias("kind"),
+        t["line"].alias("line"),
         annotations_of(t["txt"]).alias("annotations"),
         let(closes, lambda c: _member_methods(t, inside(t), c)).alias("_methods"),
-        F.when(t["kind"] == "class", _fields(inside(t))).otherwise(_fields(F.slice("_segs", 1, 0))).alias("fields"),
+        _fields(own_fields).alias("fields"),
         F.array_sort(nested_fields, lambda a, b: a["line"] - b["line"]).alias("_nested"),
         _inheritance(t).alias("_inheritance"),
-    )
+    ]
     field_edges = F.transform(
         "_nested",
         lambda f: let(
@@ -315,14 +337,16 @@ def java_types(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             ),
         ),
     )
-    return declared.select(
-        *keys, "pos", "name", "kind", "line", "package", "imports", "annotations",
+    with_accessors = F.concat("_methods", _accessors(F.col("fields")))
+    final = [
+        F.col("imports"),
+        F.col("annotations"),
         F.transform("_inheritance", lambda e: e["dst"]).alias("dependencies"),
-        F.when(_has_any(F.col("annotations"), ACCESSOR_ANNOTATIONS), F.concat("_methods", _accessors(F.col("fields"))))
-        .otherwise(F.col("_methods")).alias("methods"),
-        "fields",
+        F.when(_has_any(F.col("annotations"), ACCESSOR_ANNOTATIONS), with_accessors).otherwise(F.col("_methods")).alias("methods"),
+        F.col("fields"),
         F.concat(F.filter(field_edges, lambda e: is_custom_type(e["dst"])), F.col("_inheritance")).alias("edges"),
-    )
+    ]
+    return cut, F.posexplode(wanted).alias("pos", "_t"), declared, final
 
 
 def _import_list(cleaned: Column) -> Column:
@@ -337,7 +361,7 @@ def java_packages(files: DataFrame) -> DataFrame:
 
 def java_imports(files: DataFrame) -> DataFrame:
     found = files.select("repository", "path", _import_list(clean_source(F.col("content"))).alias("_imports"))
-    return found.select("repository", "path", F.posexplode("_imports").alias("pos", "import"))
+    return found.select("repository", "path", F.posexplode(each(F.col("_imports"))).alias("pos", "import"))
 
 
 def classes(types: DataFrame) -> DataFrame:
@@ -345,19 +369,19 @@ def classes(types: DataFrame) -> DataFrame:
 
 
 def methods(types: DataFrame) -> DataFrame:
-    rows = types.select("repository", "path", F.col("name").alias("class"), F.posexplode("methods").alias("method_no", "m"))
+    rows = types.select("repository", "path", F.col("name").alias("class"), F.posexplode(each(F.col("methods"))).alias("method_no", "m"))
     return rows.select("repository", "path", "class", "method_no", "m.*")
 
 
 def edges(types: DataFrame) -> DataFrame:
-    rows = types.select("repository", F.col("path").alias("file"), "pos", F.posexplode("edges").alias("edge_no", "e"))
+    rows = types.select("repository", F.col("path").alias("file"), "pos", F.posexplode(each(F.col("edges"))).alias("edge_no", "e"))
     return rows.select("repository", "file", "pos", "edge_no", "e.*")
 
 
 def fragments(files: DataFrame) -> DataFrame:
     """Searchable text of each method: comments stripped, white space collapsed, the method name in front."""
     found = java_types(files, keep=("content",))
-    rows = found.select("repository", "path", "content", F.col("name").alias("class_name"), F.explode("methods").alias("m"))
+    rows = found.select("repository", "path", "content", F.col("name").alias("class_name"), F.explode(each(F.col("methods"))).alias("m"))
     lines = F.slice(F.split("content", "\n", -1), F.col("m.line"), F.col("m.end_line") - F.col("m.line") + 1)
     code = rows.withColumn("code", F.array_join(lines, "\n"))
     stripped = F.regexp_replace(F.regexp_replace(F.col("code"), r"/\*[\s\S]*?\*/", ""), r"(?m)//.*$", "")

@@ -26,6 +26,13 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table that feeds generated source text. A file of one row group would leave the text to a single task, so
+        its narrow rows are spread first; inputs with enough splits stay as they are."""
+        df = self.table(name)
+        wanted = self.spark.sparkContext.defaultParallelism
+        return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
     def __getitem__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
@@ -35,7 +42,8 @@ class Inputs:
             if other != name and f"FROM {other}" in text:
                 self[other].createOrReplaceTempView(other)
         for t in used:
-            self.table(t).createOrReplaceTempView(t)
+            rows = self.spread(t) if "' || chr(10)" in text else self.table(t)
+            rows.createOrReplaceTempView(t)
         return self.spark.sql(text)
 
     def types(self, files: str) -> DataFrame:
