@@ -195,3 +195,28 @@ SELECT o_orderkey AS doc_id, 'org/repo' || CAST(o_custkey % 5 AS STRING) AS expe
  CASE o_orderkey % 8 WHEN 4 THEN '"other":1' WHEN 5 THEN '"index":{"classes":{}}' WHEN 6 THEN '"index":{"classes":{"A":{"name":"A"}},"dependencies":{},"files":null}' ELSE '"index":{"classes":{},"dependencies":{},"files":{}}' END || '}' END AS document
 FROM orders
 """
+
+# The class graph of ``code_files`` under folders whose names carry review weights.
+FIXTURES["layered_files"] = r"""
+SELECT 'org/repo' || CAST(p_partkey % 5 AS STRING) AS repository,
+ 'src/' || CASE p_partkey % 8 WHEN 0 THEN 'service' WHEN 1 THEN 'controller' WHEN 2 THEN 'repository' WHEN 3 THEN 'model' WHEN 4 THEN 'dto' WHEN 5 THEN 'entity' WHEN 6 THEN 'test' ELSE 'mock' END
+ || '/c' || CAST(p_partkey % 20 AS STRING) || '/C' || CAST(p_partkey AS STRING) || '.java' AS path,
+ 'class C' || CAST(p_partkey AS STRING) || ' extends C' || CAST(p_partkey % 50 AS STRING) || ' {' || chr(10) || ' private C' || CAST((p_partkey * 7 + 3) % 97 AS STRING) || ' dep;' || chr(10) || '}' AS content
+FROM part
+"""
+
+FIXTURES["layered_changes"] = r"""
+SELECT repository, pr_number, file_no, status, additions, deletions, patch,
+ CASE WHEN k IS NULL THEN filename ELSE 'src/' || CASE k % 8 WHEN 0 THEN 'service' WHEN 1 THEN 'controller' WHEN 2 THEN 'repository' WHEN 3 THEN 'model' WHEN 4 THEN 'dto' WHEN 5 THEN 'entity' WHEN 6 THEN 'test' ELSE 'mock' END
+ || '/c' || CAST(k % 20 AS STRING) || '/C' || CAST(k AS STRING) || '.java' END AS filename
+FROM (SELECT *, CASE WHEN filename = 'pom.xml' THEN NULL ELSE CAST(regexp_extract(filename, 'C([0-9]+)', 1) AS BIGINT) END AS k FROM file_changes) x
+"""
+
+# Changed manifests of the other two formats.
+FIXTURES["manifest_changes"] = r"""
+SELECT repository, pr_number, file_no, CASE additions % 3 WHEN 0 THEN 'package.json' WHEN 1 THEN 'build.gradle' ELSE 'package.json' END AS filename, status, additions, deletions,
+ CASE additions % 3 WHEN 0 THEN '@@ -1,2 +1,2 @@' || chr(10) || '+  "p' || CAST(additions AS STRING) || '": "^1.0.0",' || chr(10) || '-  "q": "1"'
+  WHEN 1 THEN '@@ -1,2 +1,2 @@' || chr(10) || '+implementation ' || chr(39) || 'g:a:' || CAST(additions AS STRING) || chr(39)
+  ELSE '@@ -1,2 +1,2 @@' || chr(10) || '+  "@scope/x": "^1.0.0"' END AS patch
+FROM file_changes
+"""

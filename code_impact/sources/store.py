@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-PARTS = ("files", "classes", "methods", "edges", "languages")
+from code_impact.schemas import INDEX_TABLES
+
+PARTS = tuple(INDEX_TABLES)
 
 # Days a snapshot is kept while it is the newest, and afterwards; indexes and artifacts.
 INDEX_RETENTION = (90, 30)
@@ -33,21 +35,20 @@ class IndexStore:
         for part in PARTS:
             self._write(index[part], f"{self.root}/latest/{part}", ["repository"])
             if snapshot_date:
-                dated = self.spark.read.parquet(f"{self.root}/latest/{part}").withColumn("snapshot_date", F.lit(snapshot_date).cast("date"))
+                dated = self._read("latest", part).withColumn("snapshot_date", F.lit(snapshot_date).cast("date"))
                 touched = index["files"].select("repository").distinct()
                 self._write(dated.join(touched, "repository", "left_semi"), f"{self.root}/history/{part}", ["repository", "snapshot_date"])
 
-    def _read(self, path: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(path)
-        except AnalysisException:
-            return None
+    def _read(self, kind: str, part: str) -> DataFrame:
+        dated = ", snapshot_date date" if kind == "history" else ""
+        return self.spark.read.schema(INDEX_TABLES[part] + dated).parquet(f"{self.root}/{kind}/{part}")
 
     def load(self, repositories: list[str] | None = None, snapshot_date: str | None = None) -> dict[str, DataFrame] | None:
         """Tables of the asked repositories, read by partition; None when nothing was ever saved."""
         kind = "history" if snapshot_date else "latest"
-        found = {part: self._read(f"{self.root}/{kind}/{part}") for part in PARTS}
-        if any(df is None for df in found.values()):
+        try:
+            found = {part: self._read(kind, part) for part in PARTS}
+        except AnalysisException:
             return None
         for part, df in found.items():
             if repositories is not None:
@@ -64,7 +65,7 @@ class IndexStore:
         return found
 
     def list(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/latest/files").select("repository").distinct()
+        return self._read("latest", "files").select("repository").distinct()
 
     def exists(self, asked: DataFrame) -> DataFrame:
         return indexes_exist(self.list(), asked)
@@ -79,10 +80,10 @@ class IndexStore:
 
     def compact_history(self, target: str, as_of: str) -> None:
         """Write the history that is still kept on ``as_of`` to ``target``."""
-        snapshots = self.spark.read.parquet(f"{self.root}/history/files").select("repository", "snapshot_date").distinct()
+        snapshots = self._read("history", "files").select("repository", "snapshot_date").distinct()
         kept = kept_snapshots(snapshots, as_of).select("repository", "snapshot_date")
         for part in PARTS:
-            history = self.spark.read.parquet(f"{self.root}/history/{part}")
+            history = self._read("history", part)
             self._write(history.join(kept, ["repository", "snapshot_date"], "left_semi"), f"{target}/{part}", ["repository", "snapshot_date"])
 
 
