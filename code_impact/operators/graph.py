@@ -6,6 +6,8 @@ joins on ``dst``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,25 +92,24 @@ def closure(links: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> Data
     """Everything that reaches a start over ``links(repository, used, user)``: (repository, start, affected).
 
     Breadth first, all starts at once. A start appears in its own answer only when a cycle leads back to it. Each round
-    is checkpointed, so the plan of a round does not contain the rounds before.
+    is written out, so the plan of a round does not contain the rounds before.
     """
     links = links.select("repository", F.col("used").alias("node"), "user").distinct()
     frontier = starts.select("repository", "start", F.col("start").alias("node")).distinct()
-    reached: DataFrame | None = None
+    pieces: list[DataFrame] = []
     for _ in range(max_rounds):
         step = frontier.join(links, ["repository", "node"]).select("repository", "start", F.col("user").alias("node")).distinct()
-        if reached is not None:
-            step = step.join(reached, ["repository", "start", "node"], "left_anti")
-        step = cut_lineage(step)
-        if step.isEmpty():
+        if pieces:
+            step = step.join(reduce(DataFrame.unionByName, pieces), ["repository", "start", "node"], "left_anti")
+        frontier = cut_lineage(step)
+        pieces.append(frontier)
+        if frontier.isEmpty():
             break
-        reached = step if reached is None else cut_lineage(reached.unionByName(step))
-        frontier = step
+        if len(pieces) == 16:
+            pieces = [cut_lineage(reduce(DataFrame.unionByName, pieces))]
     else:
         raise RuntimeError(f"closure not complete after {max_rounds} rounds")
-    if reached is None:
-        reached = step
-    return reached.withColumnRenamed("node", "affected")
+    return reduce(DataFrame.unionByName, pieces).withColumnRenamed("node", "affected")
 
 
 def transitive_dependents(edges: DataFrame, asked: DataFrame) -> DataFrame:

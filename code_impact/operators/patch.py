@@ -247,12 +247,14 @@ def affected_files_v2(changes: DataFrame, files: DataFrame) -> DataFrame:
     Substrings of each path, of the lengths the names have, are joined on equality; no pair is tried that does not match.
     """
     named = changes.select(*PR, "filename", F.lower(paths.class_of_file(F.col("filename"))).alias("name")).where(F.col("name") != "").distinct()
-    lengths = F.broadcast(named.select(F.length("name").alias("n")).distinct().agg(F.collect_set("n").alias("lengths")))
+    # A handful of numbers: distinct lengths of file names.
+    lengths = sorted(row["n"] for row in named.select(F.length("name").alias("n")).distinct().collect())
     cut = lambda n: F.when(
         F.length("path") >= n, F.transform(F.sequence(F.lit(1), F.length("path") - n + 1), lambda at: F.substring(F.col("path"), at, n))
     )
-    pieces = F.flatten(F.array_compact(F.transform("lengths", cut)))
-    grams = files.select("repository", "path").join(lengths).select("repository", "path", F.explode(F.array_distinct(pieces)).alias("name"))
+    every_length = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    pieces = F.flatten(F.array_compact(F.transform(every_length, cut)))
+    grams = files.select("repository", "path", F.explode(F.array_distinct(pieces)).alias("name"))
     hit = named.join(grams, ["repository", "name"]).where(F.col("path") != F.col("filename"))
     return hit.select(*PR, "path").distinct()
 

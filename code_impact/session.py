@@ -61,8 +61,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files, so that a lost executor costs no recomputation."""
+    """Write ``df`` as a table in the shared folder and go on from it, so that a lost executor costs no recomputation.
+
+    A written table instead of ``checkpoint()``: it is columnar, has sizes the optimizer can use, and unions of it plan
+    without the constraints of the plan it came from.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -61,7 +61,11 @@ FROM events
 FIXTURES["review_responses"] = r"""
 SELECT o_orderkey AS job_id,
  CASE WHEN o_orderkey % 13 = 0 THEN 'sorry, no json' ELSE
-  CASE WHEN o_orderkey % 2 = 0 THEN 'Here:' || chr(10) || '
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Here:' || chr(10) || '```json' || chr(10) ELSE '' END ||
+  '{"summary":"s' || CAST(o_orderkey AS STRING) || '","issues":[{"type":"bug","severity":"' || CASE o_orderkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END ||
+  '","file":"a.java","line":' || CAST(o_custkey + 1 AS STRING) || ',"description":"d"},{"type":"style","severity":"low","file":"b.java","description":"e"}],"suggestions":[{"type":"refactor","file":"a.java","line":3,"description":"f"}]}' ||
+  CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || '```' ELSE '' END END AS response
+FROM orders
 """
 
 FIXTURES["manifests"] = r"""
@@ -220,3 +224,10 @@ SELECT repository, pr_number, file_no, CASE additions % 3 WHEN 0 THEN 'package.j
   ELSE '@@ -1,2 +1,2 @@' || chr(10) || '+  "@scope/x": "^1.0.0"' END AS patch
 FROM file_changes
 """
+
+FIXTURES["related_code"] = r"""
+SELECT doc_id AS pos, 'org/' || source AS repository, 'src/f' || CAST(doc_id % 40 AS STRING) || '.ts' AS path,
+ CASE doc_id % 3 WHEN 0 THEN 'Parent class of X' WHEN 1 THEN 'Imported by Y' ELSE 'Uses modified file' END AS reason,
+ CASE doc_id % 4 WHEN 0 THEN 'interface A' ELSE 'class B' END || CAST(doc_id % 40 AS STRING) || ' { and a long common head of the code that goes on ' || CAST(doc_id AS STRING) || ' }' AS code
+FROM documents
+"""
