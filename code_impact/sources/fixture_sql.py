@@ -231,3 +231,32 @@ SELECT doc_id AS pos, 'org/' || source AS repository, 'src/f' || CAST(doc_id % 4
  CASE doc_id % 4 WHEN 0 THEN 'interface A' ELSE 'class B' END || CAST(doc_id % 40 AS STRING) || ' { and a long common head of the code that goes on ' || CAST(doc_id AS STRING) || ' }' AS code
 FROM documents
 """
+
+FIXTURES["field_records"] = r"""
+SELECT o_orderkey AS id,
+ CASE WHEN o_orderkey % 7 = 1 THEN 'not-a-uuid' ELSE '1b4e28ba-2fa1-11d2-883f-0016d3cca427' END AS job_id,
+ CASE WHEN o_orderkey % 7 = 2 THEN 'no slash' ELSE 'org/repo' || CAST(o_custkey % 5 AS STRING) END AS repository,
+ CASE WHEN o_orderkey % 7 = 3 THEN 'ABC' WHEN o_orderkey % 7 = 6 THEN NULL ELSE 'da39a3ee5e6b4b0d3255bfef95601890afd80709' END AS sha,
+ CASE WHEN o_orderkey % 7 = 4 THEN 0 ELSE o_orderkey + 1 END AS pr_number,
+ CASE WHEN o_orderkey % 7 IN (5, 6) THEN 'bad id!' ELSE 'req-' || CAST(o_orderkey AS STRING) END AS request_id
+FROM orders
+"""
+
+FIXTURES["log_records"] = r"""
+SELECT event_id, '{"user":"u' || CAST(user_id AS STRING) || '","apiToken":"t' || CAST(event_id AS STRING) || '","nested":{"Password":"p","list":[{"client_secret":"s","ok":' || CAST(event_id AS STRING) || '}]},"headers":{"Authorization":"Bearer x","X-Id":"1"}}' AS record
+FROM events
+"""
+
+FIXTURES["process_messages"] = r"""
+SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 9 = 8 THEN '{"requestId"' ELSE
+ '{' || CASE o_orderkey % 9 WHEN 1 THEN '' ELSE '"requestId":"r1",' END ||
+ '"timestamp":"' || CASE o_orderkey % 9 WHEN 2 THEN 'yesterday' ELSE '2024-01-15T10:30:00.000Z' END || '","source":"' || CASE o_orderkey % 9 WHEN 3 THEN 'indexer' ELSE 'pr-receptor' END || '"' ||
+ CASE o_orderkey % 9 WHEN 4 THEN '' ELSE ',"payload":{"jobId":"' || CASE o_orderkey % 9 WHEN 5 THEN 'job-1' ELSE '1b4e28ba-2fa1-11d2-883f-0016d3cca427' END || '","repository":"org/a","prNumber":' || CAST(o_orderkey + 1 AS STRING) ||
+  ',"action":"opened","sha":' || CASE o_orderkey % 9 WHEN 6 THEN 'null' ELSE '"da39a3ee5e6b4b0d3255bfef95601890afd80709"' END || ',"title":"' || CASE o_orderkey % 9 WHEN 6 THEN '' ELSE 't' END || '","author":"a","githubDeliveryId":null,"prUrl":"https://h/1"}' END ||
+ CASE o_orderkey % 9 WHEN 7 THEN '' ELSE ',"metadata":{"retryCount":0,"correlationId":"c","extra":true}' END || '}' END AS body
+FROM orders
+"""
+
+FIXTURES["metric_events"] = r"""
+SELECT ts, 'svc' || CAST(user_id % 3 AS STRING) AS service, event_type AS metric, value FROM events
+"""
