@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # What counts as white space, key fragments that mark a secret, and what replaces its value.
-WHITE_SPACE = r"[\t\n\x0B\f\r    -     　﻿]+"
+WHITE_SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 SECRET_FRAGMENTS = ["password", "token", "secret", "key", "authorization", "x-hub-signature-256", "x-github-token"]
 REDACTED = "[REDACTED]"
 

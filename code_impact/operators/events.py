@@ -266,8 +266,8 @@ OWN_ERRORS = {
     "SchemaValidationError": ("SCHEMA_VALIDATION_ERROR", 400),
     "AuthenticationError": ("AUTHENTICATION_ERROR", 401),
     "AuthorizationError": ("AUTHORIZATION_ERROR", 403),
-    "NotFoundError": ("NOT_FOUND", 404),
-    "ConflictError": ("CONFLICT", 409),
+    "NotFoundError": ("NOT_FOUND_ERROR", 404),
+    "ConflictError": ("CONFLICT_ERROR", 409),
     "InvalidStateError": ("INVALID_STATE_ERROR", 400),
     "ExternalServiceError": ("EXTERNAL_SERVICE_ERROR", 502),
     "GitHubAPIError": ("GITHUB_API_ERROR", 502),
@@ -289,7 +289,9 @@ def classify_errors(errors: DataFrame) -> DataFrame:
     name, low, http = F.col("name"), F.lower("message"), F.col("http_status")
     pair = lambda code, status: F.struct(F.lit(code).alias("code"), F.lit(status).cast("int").alias("status"))
     says = lambda *words: low.rlike("|".join(words))
-    rules = [(name == n, pair(*v)) for n, v in {**OWN_ERRORS, **PLATFORM_ERRORS}.items()]
+    own_host = F.struct(F.lit("GITHUB_API_ERROR").alias("code"), F.coalesce(http, F.lit(502)).cast("int").alias("status"))
+    rules = [(name == "GitHubAPIError", own_host)]
+    rules += [(name == n, pair(*v)) for n, v in {**OWN_ERRORS, **PLATFORM_ERRORS}.items()]
     host = http.isNotNull() | name.isin("HttpError", "RequestError")
     rules.append((host & (http == 403) & F.contains("message", F.lit("rate limit")), pair("GITHUB_RATE_LIMIT", 429)))
     rules += [(host & (http == s), pair(*v)) for s, v in HOST_ERRORS.items()]

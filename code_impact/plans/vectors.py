@@ -1 +1,83 @@
+"""Queries over vector collections. The query vectors are the mean vectors of the labels."""
 
+from pyspark.sql import functions as F
+
+from code_impact.operators import vectors as ops
+from code_impact.plans.registry import query
+
+MEANS = """means AS (SELECT label AS query_id, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) e GROUP BY 1, 2),
+ qv AS (SELECT query_id, list(x ORDER BY i) AS q FROM means GROUP BY 1),
+ scored AS (SELECT q.query_id, e.vec_id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], q.q) AS similarity FROM embeddings e, qv q)"""
+
+
+def _means(t):
+    parts = t["embeddings"].select(F.col("label").alias("query_id"), F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("query_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    # One value per dimension, so a list is as long as a vector.
+    return means.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("embedding"))
+
+
+def _shown(found):
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def _ranked(body: str, k: int) -> str:
+    return f"""WITH {MEANS}, k AS ({body}) SELECT query_id::BIGINT AS query_id, vec_id, round(similarity, 6) AS similarity, rank FROM k WHERE rank <= {k}"""
+
+
+@query("vector_topk", _ranked("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM scored", 10))
+def vector_topk(t):
+    return _shown(ops.top_k(t["embeddings"], _means(t), 10))
+
+
+@query(
+    "vector_topk_filtered",
+    _ranked("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM scored WHERE label = 3 AND vec_id > 20", 20),
+)
+def vector_topk_filtered(t):
+    where = {"$and": [{"label": {"$eq": 3}}, {"vec_id": {"$gt": 20}}]}
+    return _shown(ops.top_k(t["embeddings"], _means(t), 20, where))
+
+
+@query(
+    "hybrid_search",
+    f"""WITH {MEANS}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM scored),
+    b AS (SELECT *, 0.7 * similarity + 0.3 * CASE WHEN label = 3 THEN 1.0 WHEN label = 5 THEN 0.5 ELSE 0.0 END AS score FROM a WHERE r <= 20),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b)
+    SELECT query_id::BIGINT AS query_id, vec_id, round(score, 6)::DOUBLE AS score, rank FROM k WHERE rank <= 10""",
+)
+def hybrid_search(t):
+    boost = F.when(F.col("label") == 3, 1.0).when(F.col("label") == 5, 0.5).otherwise(0.0)
+    found = ops.hybrid(t["embeddings"], _means(t), 10, boost)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    "collection_upsert",
+    """SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM vector_changes) UNION ALL SELECT vec_id, label FROM vector_changes""",
+)
+def collection_upsert(t):
+    return ops.upsert(t["embeddings"], t["vector_changes"]).select("vec_id", "label")
+
+
+@query("collection_stats", "SELECT 'label-' || label AS collection, count(*) AS count FROM embeddings WHERE NOT (label = 2 AND vec_id > 100) GROUP BY 1")
+def collection_stats(t):
+    kept = ops.delete(t["embeddings"], where={"$and": [{"label": {"$eq": 2}}, {"vec_id": {"$gt": 100}}]})
+    named = kept.withColumn("name", F.concat(F.lit("label-"), F.col("label").cast("string")))
+    return ops.collection_stats(named, "name")
+
+
+@query(
+    "collection_partitions",
+    """WITH r AS (SELECT 'repo' || (user_id % 7) AS repository, ts FROM events), n AS (SELECT repository, count(*) AS n FROM r GROUP BY 1)
+    SELECT 'code-' || r.repository || CASE WHEN n.n > 150 THEN '-' || strftime(r.ts, '%Y-%m-%d') ELSE '' END AS collection, count(*) AS count FROM r JOIN n ON n.repository = r.repository GROUP BY 1""",
+)
+def collection_partitions(t):
+    rows = t["events"].select(F.concat(F.lit("repo"), (F.col("user_id") % 7).cast("string")).alias("repository"), "ts")
+    named = ops.collection_names(rows, "repository", "code", F.col("ts"), split_above=150)
+    return ops.collection_stats(named, "collection")
+
+
+@query("collection_dedup", "SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash, count(*) AS copies FROM documents GROUP BY 2")
+def collection_dedup(t):
+    return ops.without_copies(t["documents"], "doc_id", "text")

@@ -260,3 +260,109 @@ FROM orders
 FIXTURES["metric_events"] = r"""
 SELECT ts, 'svc' || CAST(user_id % 3 AS STRING) AS service, event_type AS metric, value FROM events
 """
+
+FIXTURES["js_modules"] = r"""
+SELECT 'org/js' || CAST(p_partkey % 5 AS STRING) AS repository,
+ 'src/m/f' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 7 = 0 THEN '/index.ts' ELSE '.ts' END AS path,
+ 'import { A' || CAST(p_partkey % 50 AS STRING) || ', missing as M } from "' || CASE WHEN p_partkey % 7 = 0 THEN '../f' ELSE './f' END || CAST(p_partkey % 50 AS STRING) || '";' || chr(10) ||
+ 'import def from "lodash/fp";' || chr(10) || 'import { gone } from "./nowhere/x' || CAST(p_partkey % 3 AS STRING) || '";' || chr(10) ||
+ 'export class A' || CAST(p_partkey AS STRING) || ' {}' || chr(10) || 'export default function run' || CAST(p_partkey AS STRING) || '() {}' || chr(10) || 'export const c' || CAST(p_partkey AS STRING) || ' = 1;' || chr(10) ||
+ 'const y = await import("@scope/pkg/sub");' AS content
+FROM part
+"""
+
+FIXTURES["js_modules_v2"] = r"""
+SELECT repository, path, CASE WHEN path LIKE '%4.ts' THEN replace(content, 'export const', 'const') ELSE content END AS content FROM js_modules
+"""
+
+FIXTURES["py_sources"] = r"""
+SELECT p_partkey AS project_id, 'app/m' || CAST(p_partkey AS STRING) || '.py' AS path,
+ 'import os' || chr(10) || 'import numpy.linalg, sys' || chr(10) || 'from pkg' || CAST(p_partkey % 5 AS STRING) || '.sub import x' || chr(10) || 'from . import y' || chr(10) ||
+ 'def pub' || CAST(p_partkey AS STRING) || '():' || chr(10) || '    import json' || chr(10) || '    pass' || chr(10) || 'def _priv():' || chr(10) || '    pass' || chr(10) ||
+ 'class _Hidden:' || chr(10) || '    def inner(self):' || chr(10) || '        pass' || chr(10) || 'class Pub' || CAST(p_partkey AS STRING) || ':' || chr(10) || '    pass' AS source
+FROM part
+"""
+
+FIXTURES["lock_files"] = r"""
+SELECT p_partkey AS project_id, 'package-lock.json' AS path, CASE WHEN p_partkey % 3 = 0 THEN
+ '{"name":"app' || CAST(p_partkey AS STRING) || '","dependencies":{"express":{"version":"4.' || CAST(p_size AS STRING) || '.2","integrity":"sha512-e"},"jest":{"version":"29.1.0","dev":true}}}' ELSE
+ '{"name":"app' || CAST(p_partkey AS STRING) || '","packages":{"":{"version":"1.0.0"},"node_modules/express":{"version":"4.' || CAST(p_size AS STRING) || '.2","integrity":"sha512-e","dependencies":{"accepts":"~1.3.8"}},"node_modules/jest":{"version":"29.1.0","dev":true},"tools/x":{"version":"0.0.1","optional":true}}}' END AS content
+FROM part
+"""
+
+FIXTURES["requirements_files"] = r"""
+SELECT p_partkey AS project_id, 'requirements.txt' AS path,
+ '# base' || chr(10) || chr(10) || '-r other.txt' || chr(10) || 'django>=' || CAST(p_size AS STRING) || '.0' || chr(10) || 'requests' || chr(10) || 'lib' || CAST(p_partkey % 30 AS STRING) || ' == 1.0' || chr(10) || 'celery[redis]==5.0' AS content
+FROM part
+"""
+
+FIXTURES["pipfiles"] = r"""
+SELECT p_partkey AS project_id, 'Pipfile' AS path,
+ '[[source]]' || chr(10) || 'url = "x"' || chr(10) || '[packages]' || chr(10) || 'flask = "*"' || chr(10) || 'pinned = "==2.0"' || chr(10) || 'lib' || CAST(p_partkey % 30 AS STRING) || ' = "' || CAST(p_size AS STRING) || '.0"' || chr(10) ||
+ '[dev-packages]' || chr(10) || 'pytest = "*"' || chr(10) || '[requires]' || chr(10) || 'python_version = "3.9"' AS content
+FROM part
+"""
+
+FIXTURES["poetry_files"] = r"""
+SELECT p_partkey AS project_id, 'pyproject.toml' AS path,
+ '[tool.poetry]' || chr(10) || 'name = "x"' || chr(10) || '[tool.poetry.dependencies]' || chr(10) || 'python = "^3.' || CAST(p_size % 12 AS STRING) || '"' || chr(10) || '# note = "1"' || chr(10) || 'numpy = ">=1.' || CAST(p_size AS STRING) || '"' || chr(10) ||
+ '[tool.poetry.dev-dependencies]' || chr(10) || 'black = "*"' || chr(10) || '[tool.poetry.extras]' || chr(10) || 'docs = ["sphinx", "lib' || CAST(p_partkey % 30 AS STRING) || '"]' || chr(10) || '[build-system]' || chr(10) || 'requires = "poetry"' AS content
+FROM part
+"""
+
+FIXTURES["pom_files"] = r"""
+SELECT p_partkey AS project_id, 'pom.xml' AS path,
+ '<project><properties><lib.version>' || CAST(p_size AS STRING) || '.1</lib.version><enc>UTF-8</enc></properties><dependencies>' || chr(10) ||
+ '<dependency><groupId>org.g</groupId><artifactId>lib' || CAST(p_partkey % 30 AS STRING) || '</artifactId><version>$' || '{lib.version}</version></dependency>' || chr(10) ||
+ '<dependency>' || chr(10) || '<groupId>junit</groupId><artifactId>junit</artifactId><version>4.12</version><scope>test</scope></dependency>' || chr(10) ||
+ '<dependency><groupId>com.google</groupId><artifactId>guava</artifactId><optional>true</optional></dependency>' || chr(10) || '<dependency><artifactId>nogroup</artifactId></dependency></dependencies></project>' AS content
+FROM part
+"""
+
+FIXTURES["gradle_files"] = r"""
+SELECT p_partkey AS project_id, 'build.gradle' AS path,
+ 'dependencies {' || chr(10) || ' implementation ' || chr(39) || 'org.g:lib' || CAST(p_partkey % 30 AS STRING) || ':' || CAST(p_size AS STRING) || '.0' || chr(39) || chr(10) || ' api "com.google:guava"' || chr(10) || ' testImplementation ' || chr(39) || 'junit:junit:4.12' || chr(39) || chr(10) || ' compile "local"' || chr(10) || '}' AS content
+FROM part
+"""
+
+FIXTURES["go_files"] = r"""
+SELECT p_partkey AS project_id, 'go.mod' AS path,
+ 'module example.com/m' || CAST(p_partkey AS STRING) || chr(10) || 'go 1.' || CAST(p_size % 22 AS STRING) || chr(10) || 'require github.com/single/one v0.1.0' || chr(10) || 'require (' || chr(10) || chr(9) || 'github.com/spf13/cobra v1.' || CAST(p_size AS STRING) || '.0' || chr(10) || chr(9) || 'golang.org/x/crypto v0.1.0 // indirect' || chr(10) || ')' || chr(10) ||
+ 'replace (' || chr(10) || chr(9) || 'a.b/c v1.0.0 => ../c' || chr(10) || ')' AS content
+FROM part
+"""
+
+FIXTURES["csproj_files"] = r"""
+SELECT p_partkey AS project_id, 'src/App.csproj' AS path,
+ '<Project><ItemGroup><PackageReference Include="Newtonsoft.Json" Version="13.' || CAST(p_size AS STRING) || '" />' || chr(10) || '<PackageReference Include="Lib' || CAST(p_partkey % 30 AS STRING) || '" /><PackageReference Update="x" /></ItemGroup></Project>' AS content
+FROM part
+"""
+
+FIXTURES["project_paths"] = r"""
+SELECT 'org/r' || CAST(p_partkey AS STRING) AS repository, 'README.md' AS path FROM part
+UNION ALL SELECT 'org/r' || CAST(p_partkey AS STRING), CASE p_partkey % 6 WHEN 0 THEN 'pyproject.toml' WHEN 1 THEN 'Pipfile' WHEN 2 THEN 'requirements.txt' WHEN 3 THEN 'package.json' WHEN 4 THEN 'pom.xml' ELSE 'src/A.csproj' END FROM part
+UNION ALL SELECT 'org/r' || CAST(p_partkey AS STRING), CASE p_partkey % 5 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'packages/a/package.json' WHEN 2 THEN 'lerna.json' WHEN 3 THEN 'mods/b/package.json' ELSE 'go.mod' END FROM part
+"""
+
+FIXTURES["root_manifests"] = r"""
+SELECT 'org/r' || CAST(p_partkey AS STRING) AS repository,
+ CASE p_partkey % 4 WHEN 0 THEN '{"name":"r","private":true}' WHEN 1 THEN '{"name":"r","workspaces":["packages/*","mods/**"]}' WHEN 2 THEN '{"name":"r","workspaces":{"packages":["packages/*/"]}}' ELSE '{"name":"r"}' END AS content
+FROM part
+"""
+
+FIXTURES["package_names"] = r"""
+SELECT p_partkey AS project_id, CASE p_partkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' WHEN 2 THEN 'maven' ELSE 'go' END AS ecosystem,
+ CASE p_partkey % 12 WHEN 0 THEN 'express-x' WHEN 1 THEN 'Django-y' WHEN 2 THEN 'Spring-Boot-z' WHEN 3 THEN 'github.com/gin-gonic/gin' WHEN 4 THEN 'eslint-plugin-jest' WHEN 5 THEN 'pandas' WHEN 6 THEN 'junit:junit' WHEN 7 THEN 'github.com/spf13/cobra' WHEN 8 THEN 'left-pad' WHEN 9 THEN 'mysqlclient' WHEN 10 THEN 'aws-java-sdk' ELSE 'golang.org/x/tools' END || CAST(p_size AS STRING) AS name
+FROM part
+"""
+
+FIXTURES["vulnerabilities_ranged"] = r"""
+SELECT 'CVE-' || CAST(s_suppkey AS STRING) AS cve_id, 'lib' || CAST(s_suppkey % 30 AS STRING) AS package,
+ CASE s_nationkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
+ CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '>= 0.' || CAST(s_suppkey % 50 AS STRING) || '.2' ELSE '< 0.' || CAST(s_suppkey % 50 AS STRING) || '.0' END AS affected, s_suppkey % 50 AS bound, s_suppkey % 5 AS kind
+FROM supplier
+"""
+
+FIXTURES["vector_changes"] = r"""
+SELECT CASE WHEN vec_id % 2 = 0 THEN vec_id ELSE vec_id + 1000000000 END AS vec_id, embedding, label + 100 AS label FROM embeddings WHERE label < 4
+"""
