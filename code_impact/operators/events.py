@@ -323,7 +323,9 @@ def with_retryable(classified: DataFrame) -> DataFrame:
 
 def service_metrics(events: DataFrame, width: str = "1 hour") -> DataFrame:
     """Count, sum and mean per window, service and metric."""
-    window = F.window(F.col("ts").cast("timestamp"), width)
+    # A watermark belongs to the bare column, so a stream must bring real timestamps.
+    ts = F.col("ts") if events.schema["ts"].dataType.typeName() == "timestamp" else F.col("ts").cast("timestamp")
+    window = F.window(ts, width)
     grouped = events.groupBy(window.alias("w"), "service", "metric").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean")
     )

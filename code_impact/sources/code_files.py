@@ -15,7 +15,8 @@ def skip_ignored_dirs(files: DataFrame) -> DataFrame:
 def scan_code_files(spark: SparkSession, root: str, repository: str, glob: str | None = None) -> DataFrame:
     """Files below ``root``: (repository, path, content, size, last_modified). Bad UTF-8 becomes U+FFFD.
 
-    ``glob`` reaches the file listing, so the content of other files is never read.
+    ``glob`` reaches the file listing, so the content of other files is never read. Empty files are not listed: Spark file
+    sources skip them.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
