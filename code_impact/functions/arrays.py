@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,9 @@ def each(values: Column) -> Column:
     """Input for a generator over a computed array. A bare column would make the optimizer infer a size filter, push it
     below the projection and so compute the array twice."""
     return F.filter(values, lambda v: v.isNotNull())
+
+
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and fields use many times. The one-element generator keeps the optimizer
+    from moving those uses below it, where each would evaluate ``value`` again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -12,16 +12,13 @@ SECRET_FRAGMENTS = ["password", "token", "secret", "key", "authorization", "x-hu
 REDACTED = "[REDACTED]"
 
 
-def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITE_SPACE}|{WHITE_SPACE}$", "")
-
-
 def clean_text(text: Column) -> Column:
-    return F.regexp_replace(trim_space(text), WHITE_SPACE, " ")
+    """White space collapsed to single blanks and none at the ends."""
+    return F.trim(F.regexp_replace(text, WHITE_SPACE, " "))
 
 
 def clean_markup(text: Column) -> Column:
-    return F.regexp_replace(clean_text(text), "[<>]", "")
+    return F.translate(clean_text(text), "<>", "")
 
 
 def truncate(text: Column, limit: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from code_impact.functions import checks
+from code_impact.functions.arrays import each, with_once
 from code_impact.functions.ordered import element_at_share, with_previous
 
 # Answers to requests.
@@ -58,7 +59,7 @@ def check_requests(requests: DataFrame) -> DataFrame:
 def check_bodies(requests: DataFrame) -> DataFrame:
     """Parse the bodies of accepted requests; add ``payload`` and ``body_errors``."""
     accepted = check_requests(requests)
-    parsed = accepted.withColumn("payload", F.when(F.col("request_error").isNull(), _json(F.col("body"), _BODY)))
+    parsed = with_once(accepted, "payload", F.when(F.col("request_error").isNull(), _json(F.col("body"), _BODY)))
     p = F.col("payload")
     readable = p.isNotNull() & p["_bad"].isNull()
     tests = [
@@ -76,7 +77,7 @@ def check_bodies(requests: DataFrame) -> DataFrame:
 
 
 def webhook_errors(requests: DataFrame) -> DataFrame:
-    rows = check_bodies(requests).select("event_id", F.explode("body_errors").alias("e"))
+    rows = check_bodies(requests).select("event_id", F.explode(each(F.col("body_errors"))).alias("e"))
     return rows.select("event_id", "e.path", "e.message")
 
 
@@ -151,7 +152,7 @@ _MESSAGE = (
 def message_errors(messages: DataFrame) -> DataFrame:
     """Failed checks of strict process messages (``message_id``, ``body``), one row each."""
     m = F.col("m")
-    parsed = messages.withColumn("m", _json(F.col("body"), _MESSAGE))
+    parsed = with_once(messages, "m", _json(F.col("body"), _MESSAGE))
     p, has_payload, has_meta = m["payload"], m["payload"].isNotNull(), m["metadata"].isNotNull()
     inside = lambda ok: ~has_payload | F.coalesce(ok, F.lit(False))
     tests = [
@@ -173,7 +174,7 @@ def message_errors(messages: DataFrame) -> DataFrame:
     ]
     unreadable = F.array(F.struct(F.lit("body").alias("path"), F.lit("Invalid JSON in SQS message body").alias("message")))
     errors = F.when(m.isNull() | m["_bad"].isNotNull(), unreadable).otherwise(checks.failures(tests))
-    return parsed.select("message_id", F.explode(errors).alias("e")).select("message_id", "e.path", "e.message")
+    return parsed.select("message_id", F.explode(each(errors)).alias("e")).select("message_id", "e.path", "e.message")
 
 
 # Batches, retries, jobs ----------------------------------------------------------------------------------------------

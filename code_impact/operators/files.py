@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from code_impact.functions import paths
+from code_impact.functions.arrays import each, with_once
 
 # Review rules. The first three look for a fragment in the path, the others are globs.
 FRAGMENT_RULES = {
@@ -74,7 +75,7 @@ def review_strategies(changes: DataFrame) -> DataFrame:
         tests.append((name, path.rlike("|".join(paths.glob_to_regex(g) for g in globs))))
     ignored = path.rlike("|".join(paths.glob_to_regex(g) for g in IGNORE_GLOBS))
     names = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))
-    return changes.where(~ignored).withColumn("rule", F.explode(names))
+    return changes.where(~ignored).withColumn("rule", F.explode(each(names)))
 
 
 def changes_by_dir(changes: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def _side(side, repository):
 def normalise_pr_records(records: DataFrame) -> DataFrame:
     """Raw pull-request JSON (``repository``, ``record``) to one typed record with defaults filled in."""
     pr = F.col("_pr")
-    parsed = records.withColumn("_pr", F.from_json("record", PR_SCHEMA))
+    parsed = with_once(records, "_pr", F.from_json("record", PR_SCHEMA))
     return parsed.select(
         "repository",
         *[pr[f].alias(f) for f in ("number", "title", "body", "state", "html_url")],

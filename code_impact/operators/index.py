@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from code_impact.functions.arrays import each, with_once
 from code_impact.operators import java
 from code_impact.operators.files import language_stats, with_language
 from code_impact.operators.strategies import STRATEGIES
@@ -101,7 +102,7 @@ _DOCUMENT = (
 def validate_documents(documents: DataFrame) -> DataFrame:
     """Failed checks of raw index documents (``doc_id``, ``expected``, ``document``), one row each."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    parsed = documents.withColumn("d", F.from_json("document", _DOCUMENT, options))
+    parsed = with_once(documents, "d", F.from_json("document", _DOCUMENT, options))
     d, ok = F.col("d"), F.col("d").isNotNull() & F.col("d")["_bad"].isNull()
     has_index = d["index"].isNotNull()
     checks = [
@@ -115,4 +116,4 @@ def validate_documents(documents: DataFrame) -> DataFrame:
         ("repository_mismatch", ok & (F.coalesce(d["repository"], F.lit("")) != "") & (d["repository"] != F.col("expected"))),
     ]
     failed = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in checks]))
-    return parsed.select("doc_id", F.explode(failed).alias("failed_check"))
+    return parsed.select("doc_id", F.explode(each(failed)).alias("failed_check"))

@@ -124,10 +124,12 @@ def _touched(changes: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def breaking_changes(changes: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
-    _, in_file = _touched(changes, index["files"])
+    """Removed public methods, one row per class of the changed file. Only these rows reach the joins, not the patches."""
+    source = changes.where(paths.is_impact_source(F.col("filename")))
+    gone = source.select(*PR, "file_no", "filename", F.explode(each(removed_methods(F.col("patch")))).alias("method"))
+    known = index["files"].select("repository", F.col("path").alias("filename"), F.explode("classes").alias("class"))
     where = index["classes"].select("repository", F.col("name").alias("class"), "path")
-    found = in_file.where(F.size("removed") > 0).join(where, ["repository", "class"])
-    rows = found.select(*PR, "file_no", "class", "path", F.explode("removed").alias("method"))
+    rows = gone.join(known, ["repository", "filename"]).join(where, ["repository", "class"])
     return rows.select(
         *PR, "file_no", F.lit("method-removed").alias("type"), F.lit("high").alias("severity"), F.col("class").alias("class_name"),
         F.col("method").alias("method_name"), F.format_string(REMOVED_LIVE, "method", "class").alias("description"),
@@ -236,9 +238,10 @@ def breaking_changes_v2(changes: DataFrame, files: DataFrame) -> DataFrame:
         F.array(finding("class-removed", "critical", F.format_string(CLASS_V2, paths.class_of_file(F.col("filename"))))),
     )
     found = F.flatten(F.array_compact(F.array(gone, moved, dropped)))
-    rows = changes.where(F.col("filename").endswith(".java") & (patch != "")).select(*PR, "file_no", "filename", found.alias("_found"))
-    wanted = rows.where(F.size("_found") > 0).join(known, ["repository", "filename"], "left_semi")
-    return wanted.select(*PR, "file_no", F.col("filename").alias("file"), F.explode("_found").alias("f")).select(*PR, "file_no", "file", "f.*")
+    java_only = changes.where(F.col("filename").endswith(".java") & (patch != ""))
+    rows = java_only.select(*PR, "file_no", "filename", F.explode(each(found)).alias("f"))
+    wanted = rows.join(known, ["repository", "filename"], "left_semi")
+    return wanted.select(*PR, "file_no", F.col("filename").alias("file"), "f.*")
 
 
 def affected_files_v2(changes: DataFrame, files: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def validate_fields(t):
 )
 def clean_text(t):
     text = F.col("text")
-    return t["documents"].select("doc_id", fn.clean_text(text).alias("clean"), fn.clean_markup(text).alias("safe"))
+    return t.spread("documents").select("doc_id", fn.clean_text(text).alias("clean"), fn.clean_markup(text).alias("safe"))
 
 
 @query("truncate_text", "SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE substr(text, 1, 77) || '...' END AS text FROM documents")
