@@ -381,9 +381,13 @@ def edges(types: DataFrame) -> DataFrame:
 def fragments(files: DataFrame) -> DataFrame:
     """Searchable text of each method: comments stripped, white space collapsed, the method name in front."""
     found = java_types(files, keep=("content",))
-    rows = found.select("repository", "path", "content", F.col("name").alias("class_name"), F.explode(each(F.col("methods"))).alias("m"))
-    lines = F.slice(F.split("content", "\n", -1), F.col("m.line"), F.col("m.end_line") - F.col("m.line") + 1)
-    code = rows.withColumn("code", F.array_join(lines, "\n"))
+    body = lambda lines, m: F.array_join(F.slice(lines, m["line"], m["end_line"] - m["line"] + 1), "\n")
+    pieces = let(
+        F.split("content", "\n", -1), lambda lines: F.transform("methods", lambda m: F.struct(m.alias("m"), body(lines, m).alias("code")))
+    )
+    # Cut the text before exploding, so that no row carries more of the file than its method.
+    rows = found.select("repository", "path", F.col("name").alias("class_name"), F.explode(each(pieces)).alias("p"))
+    code = rows.select("repository", "path", "class_name", "p.m", "p.code")
     stripped = F.regexp_replace(F.regexp_replace(F.col("code"), r"/\*[\s\S]*?\*/", ""), r"(?m)//.*$", "")
     normal = F.trim(F.regexp_replace(stripped, r"(?U)\s+", " "))
     return code.select(
