@@ -141,6 +141,15 @@ def second_level_dependencies(index: dict[str, DataFrame], changes: DataFrame, l
     return first.withColumn("level", F.lit(1)).unionByName(ranked.drop("_rn").withColumn("level", F.lit(2)))
 
 
+def first_dependents(index: dict[str, DataFrame], changes: DataFrame, limit: int = 3) -> DataFrame:
+    """The first users of each changed file, by path, as context for a review. The rank is cut per file, once, before the
+    changes are joined."""
+    order = Window.partitionBy("repository", "used").orderBy("user")
+    first = file_links(index).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    users = first.select("repository", F.col("used").alias("filename"), F.col("user").alias("dependent"), "rank")
+    return changes.select("repository", "pr_number", "filename").distinct().join(users, ["repository", "filename"])
+
+
 def impact_radius(index: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
     """Users of each changed file, and users of the users counted once per way. Only counts are joined."""
     links = file_links(index)

@@ -120,6 +120,17 @@ def second_level_deps(t):
     return graph.second_level_dependencies(t.index("code_files"), t["file_changes"])
 
 
+@query(
+    "first_dependents",
+    f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY repository, used_path ORDER BY user_path) AS rank FROM ({LINKS}) x)
+    SELECT a.repository, a.pr_number, a.filename, l.user_path AS dependent, l.rank FROM (SELECT DISTINCT repository, pr_number, filename FROM file_changes) a
+    JOIN l ON l.repository = a.repository AND l.used_path = a.filename WHERE l.rank <= 3""",
+)
+def first_dependents(t):
+    found = graph.first_dependents(t.index("code_files"), t["file_changes"])
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query(
     "impact_radius",
     f"""WITH l AS ({LINKS}), d AS (SELECT repository, used_path, count(*) AS n FROM l GROUP BY 1, 2),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from code_impact.session import apply_runtime_conf, scratch_path
@@ -45,10 +47,10 @@ class Inputs:
 
     def view(self, name: str) -> DataFrame:
         text = FIXTURES[name]
-        used = {t for t in TABLES if f"FROM {t}" in text or f"JOIN {t} " in text}
-        for other in FIXTURES:
-            if other != name and f"FROM {other}" in text:
-                self[other].createOrReplaceTempView(other)
+        named = set(re.findall(r"\b(?:FROM|JOIN) (\w+)", text))
+        for other in named & FIXTURES.keys():
+            self[other].createOrReplaceTempView(other)
+        used = named & set(TABLES)
         for t in used:
             rows = self.spread(t) if "chr(10)" in text or "'{" in text else self.table(t)
             rows.createOrReplaceTempView(t)
