@@ -5,9 +5,11 @@ import pytest
 
 import __spark_entry__ as entry
 from check import norm
+from code_impact.plans import load_all
+from code_impact.plans.registry import ORACLES, QUERIES
 from code_impact.sources.tables import TABLES
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+load_all()
 
 
 @pytest.fixture(scope="module")
