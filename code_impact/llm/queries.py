@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from code_impact.llm import line_dedup, packing, quality, toxicity
+from code_impact.llm import decontaminate, line_dedup, packing, quality, toxicity
 from code_impact.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,26 @@ m AS (SELECT l.doc_id, l.pos, l.line, r.key IS NOT NULL AND l.doc_id <> r.first
 def op5_line_dedup(spark, folder):
     kept = line_dedup.dedup_lines(table(spark, folder, "documents"))
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+PARTED = r"list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+@query(
+    "op10_decontamination",
+    f"""WITH b AS (SELECT item_id, {PARTED.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL),
+    i AS (SELECT DISTINCT item_id, u.n AS size, array_to_string(ws[u.k:u.k + u.n - 1], ' ') AS win FROM b, LATERAL (
+        SELECT least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS k) u WHERE len(ws) > 0),
+    d AS (SELECT doc_id, {PARTED.format("coalesce(text, '')")} AS ws FROM documents),
+    s AS (SELECT doc_id, z.size, u.k, array_to_string(ws[u.k:u.k + z.size - 1], ' ') AS win FROM d, (SELECT DISTINCT size FROM i) z,
+        LATERAL (SELECT unnest(range(1, greatest(len(ws) - z.size, -1) + 2)) AS k) u),
+    h AS (SELECT DISTINCT s.doc_id, s.k, s.size, i.item_id FROM s JOIN i ON s.win = i.win AND s.size = i.size),
+    p AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM h) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*)::BIGINT AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
+    SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256,
+    coalesce(p.n, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
+)
+def op10_decontamination(spark, folder):
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    ids = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
