@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from code_impact.llm import decontaminate, line_dedup, packing, quality, toxicity
+from code_impact.llm import decontaminate, line_dedup, ngram_join, packing, quality, toxicity
 from code_impact.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op10_decontamination(spark, folder):
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     ids = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op9_ngram_jaccard")
+def op9_ngram_jaccard(spark, folder):
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
