@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from code_impact.llm import decontaminate, line_dedup, ngram_join, packing, quality, toxicity
+from code_impact.llm import decontaminate, line_dedup, ngram_join, packing, quality, toxicity, warc
 from code_impact.llm.common import table
+from code_impact.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +91,18 @@ def op10_decontamination(spark, folder):
 @query("op9_ngram_jaccard")
 def op9_ngram_jaccard(spark, folder):
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
+@query(
+    "op7_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    q AS (SELECT page_id, strlen(h)::BIGINT AS n, sha256(h) AS d, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM q""",
+)
+def op7_warc(spark, folder):
+    # The pages have no capture time: they are taken to come one a second, in order of their ids.
+    time = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
+    archives = scratch_path(spark, "warc")
+    runs = warc.write_archives(table(spark, folder, "pages"), archives, time=time)
+    return warc.read_archives(warc.merge_index(runs), archives)
