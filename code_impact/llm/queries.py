@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from code_impact.llm import decontaminate, line_dedup, ngram_join, packing, quality, toxicity, warc
+from code_impact.llm import decontaminate, line_dedup, ngram_join, packing, quality, toxicity, vector_neardup, warc
 from code_impact.llm.common import table
 from code_impact.session import scratch_path
 
@@ -106,3 +106,8 @@ def op7_warc(spark, folder):
     archives = scratch_path(spark, "warc")
     runs = warc.write_archives(table(spark, folder, "pages"), archives, time=time)
     return warc.read_archives(warc.merge_index(runs), archives)
+
+
+@query("op8_embedding_neardup")
+def op8_embedding_neardup(spark, folder):
+    return vector_neardup.near_vectors(table(spark, folder, "embeddings"))
