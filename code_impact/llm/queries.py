@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from code_impact.llm import decontaminate, line_dedup, ngram_join, packing, quality, toxicity, vector_neardup, warc
+from code_impact.llm import decontaminate, line_dedup, ngram_join, packing, quality, secrets, toxicity, vector_neardup, warc
 from code_impact.llm.common import table
 from code_impact.session import scratch_path
 
@@ -111,3 +111,19 @@ def op7_warc(spark, folder):
 @query("op8_embedding_neardup")
 def op8_embedding_neardup(spark, folder):
     return vector_neardup.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op6_secrets")
+def op6_secrets(spark, folder):
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    count = lambda no: F.size(F.filter("spans", lambda s: s["kind_no"] == no)).cast("long")
+    base = F.filter("spans", lambda s: s["kind_no"] < len(secrets.BASE))
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+        count(3).alias("n_markov"),
+    )
