@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from code_impact.llm import decontaminate, line_dedup, ngram_join, packing, quality, secrets, toxicity, vector_neardup, warc
+from code_impact.llm import decontaminate, line_dedup, ngram_join, packing, quality, secrets, toxicity, url_filter, vector_neardup, warc
 from code_impact.llm.common import table
 from code_impact.session import scratch_path
 
@@ -127,3 +127,16 @@ def op6_secrets(spark, folder):
         secrets.listed(F.col("spans")).alias("spans"),
         count(3).alias("n_markov"),
     )
+
+
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query("op3_url_filter")
+def op3_url_filter(spark, folder):
+    pages = table(spark, folder, "pages")
+    # A page shows the document whose number ends its path, so it is as good or bad as that document's labels.
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    shown = pages.select("page_id", number.try_cast("long").alias("doc_id"))
+    marks = table(spark, folder, "labels").select("doc_id", F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
+    return url_filter.filter_urls(pages, shown.join(marks, "doc_id").select("page_id", "bad"), URL_RULES)
