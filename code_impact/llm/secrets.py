@@ -58,7 +58,7 @@ def rule_samples(found: DataFrame) -> DataFrame:
     return found.select(F.explode(values).alias("s")).select("s.value", "s.secret")
 
 
-def train_ratio(samples: DataFrame, smoothing: float = 1.0, uniform: float = 0.5) -> list[float]:
+def train_ratio(samples: DataFrame, smoothing: float = 0.5, backoff: float = 8.0, uniform: float = 0.5) -> list[float]:
     """Log ratio of each transition's probability in secret and in ordinary strings, from labelled samples (value, secret).
 
     Characters outside the alphabet and null values are left out. Transitions are counted over all samples; only the counts of
@@ -73,11 +73,15 @@ def train_ratio(samples: DataFrame, smoothing: float = 1.0, uniform: float = 0.5
     inside = pairs.where(F.col("pair").rlike(r"^[\^A-Za-z0-9+/_=.-][A-Za-z0-9+/_=.-]$"))
     for row in inside.groupBy("secret", "pair").count().collect():
         counts[row["secret"]][number[row["pair"][0]]][number[row["pair"][1]]] += row["count"]
-    ratio = []
-    for a in range(size):
-        total = [sum(counts[s][a]) + smoothing * size for s in range(2)]
-        random = [uniform / size + (1 - uniform) * (counts[1][a][b] + smoothing) / total[1] for b in range(size)]
-        ratio += [log(random[b]) - log((counts[0][a][b] + smoothing) / total[0]) for b in range(size)]
+    def model(found: list[list[float]]) -> list[list[float]]:
+        """Transition probabilities that fall back on how often a character occurs at all where a row has few counts."""
+        single = [sum(row[b] for row in found) for b in range(size)]
+        single = [(n + smoothing) / (sum(single) + smoothing * size) for n in single]
+        return [[(row[b] + backoff * single[b]) / (sum(row) + backoff) for b in range(size)] for row in found]
+
+    ordinary, held = model(counts[0]), model(counts[1])
+    flat = uniform / size
+    ratio = [log(flat + (1 - uniform) * held[a][b]) - log(ordinary[a][b]) for a in range(size) for b in range(size)]
     return ratio
 
 
@@ -96,18 +100,19 @@ def log_ratio(value: Column, ratio: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), F.lit(0.0), step)
 
 
-def find_secrets(docs: DataFrame, samples: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", least_total: float = 12.0, least_mean: float = 0.5) -> DataFrame:
+def find_secrets(docs: DataFrame, samples: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", least_total: float = 12.0, least_mean: float = 0.5, least_distinct: int = 6) -> DataFrame:
     """(doc_id, spans: sorted array of (start, kind_no, end)), one row per input row; offsets are code points, ends exclusive.
 
     Kinds 0 to 2 are the fixed patterns. Kind 3 are runs of 16 or more characters of keys outside them whose log-likelihood
-    ratio is at least ``least_total``, and ``least_mean`` per character. ``samples`` (value, secret) train the models; without them
+    ratio is at least ``least_total``, and ``least_mean`` per character; a random key has ``least_distinct`` different ones. ``samples`` (value, secret) train the models; without them
     the patterns label the corpus itself. A null text is empty, an empty one has no spans, repeated rows are scanned each.
     """
     found = located(docs, id_col, text_col)
     ratio = train_ratio(rule_samples(found) if samples is None else samples)
 
     def likely(c: Column) -> Column:
-        return let(log_ratio(c["value"], ratio), lambda r: (r >= least_total) & (r >= least_mean * F.length(c["value"])))
+        varied = F.size(F.array_distinct(F.split(c["value"], ""))) >= least_distinct
+        return varied & let(log_ratio(c["value"], ratio), lambda r: (r >= least_total) & (r >= least_mean * F.length(c["value"])))
 
     def numbered(spans: Column | str, no: int) -> Column:
         return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(no).alias("kind_no"), m["end"].alias("end")))

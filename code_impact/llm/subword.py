@@ -106,19 +106,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, features: Features, dim: int = 4, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors and output weights by stochastic gradient descent, one text a step, with a step size per bucket (AdaGrad)."""
+def train(texts: list[bytes], labels: np.ndarray, features: Features, dim: int = 4, steps: int = 48_000, most_epochs: int = 40, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and output weights by stochastic gradient descent, one text a step, with a step size per bucket (AdaGrad).
+
+    The texts are gone through until ``steps`` are done, but at most ``most_epochs`` times.
+    """
     rng = np.random.default_rng(seed)
     # Vectors begin at zero, so that a subword that was never seen says nothing.
     vectors = np.zeros((1 << features.bits, dim), np.float32)
     output = rng.normal(0, dim**-0.5, (dim, 2)).astype(np.float32)
     seen_v = np.full(1 << features.bits, 1e-6, np.float32)
     seen_o = 1e-6
+    # The sample's own log odds are given, so that vectors only learn what tells the labels apart.
+    odds = np.array([0, np.log(max(1, (labels == 1).sum()) / max(1, (labels == 0).sum()))], np.float32)
     bags = []
     for text in texts:
         ids, _ = features.of([text])
         found, counts = np.unique(ids, return_counts=True)
         bags.append((found, (counts / max(len(ids) + features.blank, 1)).astype(np.float32)))
+    epochs = min(most_epochs, -(-steps // max(1, len(bags))))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for k in rng.permutation(len(bags)):
@@ -127,7 +133,7 @@ def train(texts: list[bytes], labels: np.ndarray, features: Features, dim: int =
                 continue
             held = vectors[found]
             mean = weight @ held
-            logits = mean @ output
+            logits = mean @ output + odds
             p = np.exp(logits - logits.max())
             p /= p.sum()
             p[labels[k]] -= 1
@@ -173,15 +179,15 @@ def fit(docs: DataFrame, labels: DataFrame, features: Features, id_col: str = "d
         if len(set(marks)) < 2:
             return
         vectors, output = train([t.encode() for t in rows["text"]], marks, features, **options)
-        yield pd.DataFrame({"vectors": [vectors.tobytes()], "output": [output.tobytes()], "ones": [int(marks.sum())], "rows": [len(marks)]})
+        yield pd.DataFrame({"vectors": [vectors.tobytes()], "output": [output.tobytes()]})
 
-    made = sample.repartition(1).mapInPandas(fitted, "vectors binary, output binary, ones long, rows long").collect()
+    made = sample.repartition(1).mapInPandas(fitted, "vectors binary, output binary").collect()
     if not made:
         return constant
     row = made[0]
     output = np.frombuffer(row["output"], np.float32).reshape(-1, 2)
     vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, len(output))
-    return Model(features, vectors, output, prior - float(np.log(row["ones"] / (row["rows"] - row["ones"]))))
+    return Model(features, vectors, output, prior)
 
 
 def score(text: Column, model: Model) -> Column:

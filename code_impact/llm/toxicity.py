@@ -13,7 +13,7 @@ FEATURES = subword.Features(sizes=(3, 4, 5), words=False, pairs=False, lower=Tru
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, fold: int = 2, max_rows: int = 4000) -> Column:
     """The score of each whole text as a column, learned from the labels of ids that are not held out."""
     out = subword.held_out(F.col(id_col), folds, fold)
-    model = subword.fit(docs, labels.where(~out), FEATURES, id_col, text_col, label_col, max_rows)
+    model = subword.fit(docs, labels.where(~out), FEATURES, id_col, text_col, label_col, max_rows, rate=1.0)
     return subword.score(F.col(text_col), model)
 
 

@@ -31,8 +31,8 @@ def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     v = F.col(vector_col).cast("array<double>")
     sound = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     usable = F.col(label_col).isNotNull() & F.coalesce(sound, F.lit(False)) & F.coalesce(F.exists(v, lambda e: e != 0), F.lit(False))
-    made = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), v.alias("vector"), usable.alias("usable"))
-    return made.withColumn("twin", F.when(F.col("usable"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.transform("vector", lambda e: (e + F.lit(0.0)).cast("string")), ",")), 256)))
+    made = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.xxhash64(label_col).alias("label"), v.alias("vector"), usable.alias("usable"))
+    return made.withColumn("twin", F.when(F.col("usable"), F.sha2(F.concat_ws(",", F.hex("label"), F.array_join(F.transform("vector", lambda e: (e + F.lit(0.0)).cast("string")), ",")), 256)))
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, tables: int = 48, projections: int = 16, width: float = 2.0, seed: int = 11, block_rows: int = 512) -> DataFrame:
