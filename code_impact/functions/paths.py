@@ -52,11 +52,6 @@ MAX_FILES_PER_PR = 50
 MAX_FILE_MB = 10
 
 
-def in_ignored_dir(path: Column) -> Column:
-    dirs = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
-    return F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in IGNORED_DIRS]))
-
-
 def detect_language(path: Column) -> Column:
     """Language of a path, null when unknown."""
     low = F.lower(path)

@@ -31,7 +31,8 @@ def safe_filename(name: Column) -> Column:
 
 
 def mask_url_credentials(url: Column) -> Column:
-    return F.regexp_replace(url, "//([^@]+)@", "//***:***@")
+    """The first ``//...@`` of a URL without what stands between."""
+    return F.regexp_replace(url, r"(?s)^(.*?)//[^@]+@", "$1//***:***@")
 
 
 def hash_key(text: Column) -> Column:
@@ -64,5 +65,6 @@ def redact(value: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.MapType) and isinstance(data_type.valueType, T.StringType):
         return F.transform_values(value, lambda k, v: F.when(is_secret_key(k), F.lit(REDACTED)).otherwise(v))
     if isinstance(data_type, T.MapType):
-        return F.transform_values(value, lambda _k, v: redact(v, data_type.valueType))
+        # Such a value cannot hold the text that stands for a secret, so it is left out.
+        return F.transform_values(value, lambda k, v: F.when(~is_secret_key(k.cast("string")), redact(v, data_type.valueType)))
     return value

@@ -99,6 +99,8 @@ def route(requests: DataFrame) -> DataFrame:
         p["action"].isin(checks.IGNORABLE_ACTIONS), "ignored"
     ).otherwise("rejected")
     routed = checked.withColumn("route", where)
+    # A request without a delivery id is named after its event and body.
+    own = F.concat_ws(" ", F.col("event_id").cast("string"), F.to_json("payload"))
     queued, ignored = F.col("route") == "queued", F.col("route") == "ignored"
     answer = (
         F.when(queued, MESSAGES["created"])
@@ -107,7 +109,7 @@ def route(requests: DataFrame) -> DataFrame:
     )
     return routed.select(
         "event_id", "received_at", "delivery_id", "route",
-        F.when(queued, name_uuid(F.col("delivery_id"))).when(ignored, "ignored").alias("job_id"),
+        F.when(queued, name_uuid(F.coalesce(F.nullif("delivery_id", F.lit("")), own))).when(ignored, "ignored").alias("job_id"),
         F.when(queued, "queued").when(ignored, "cancelled").alias("status"),
         answer.alias("message"),
         p["repository"]["full_name"].alias("repository"),

@@ -88,7 +88,7 @@ def analyze_impact(edges: DataFrame, classes: DataFrame, asked: DataFrame) -> Da
     return every.join(counted, ["repository", "name"], "left").na.fill(0)
 
 
-def closure(links: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def closure(links: DataFrame, starts: DataFrame) -> DataFrame:
     """Everything that reaches a start over ``links(repository, used, user)``: (repository, start, affected).
 
     Breadth first, all starts at once. A start appears in its own answer only when a cycle leads back to it. Each round
@@ -97,7 +97,7 @@ def closure(links: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> Data
     links = links.select("repository", F.col("used").alias("node"), "user").distinct()
     frontier = starts.select("repository", "start", F.col("start").alias("node")).distinct()
     pieces: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         step = frontier.join(links, ["repository", "node"]).select("repository", "start", F.col("user").alias("node")).distinct()
         if pieces:
             step = step.join(reduce(DataFrame.unionByName, pieces), ["repository", "start", "node"], "left_anti")
@@ -107,8 +107,6 @@ def closure(links: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> Data
             break
         if len(pieces) == 16:
             pieces = [cut_lineage(reduce(DataFrame.unionByName, pieces))]
-    else:
-        raise RuntimeError(f"closure not complete after {max_rounds} rounds")
     return reduce(DataFrame.unionByName, pieces).withColumnRenamed("node", "affected")
 
 

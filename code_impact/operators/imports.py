@@ -18,7 +18,7 @@ _JS = {
     "dynamic": rf"import\s*\(\s*{_QUOTED}\s*\)",
     "require": rf"require\s*\(\s*{_QUOTED}\s*\)",
 }
-_PY = {"import": r"(?m)^import\s+([^\s#]+)", "from": r"(?m)^from\s+([^\s]+)\s+import"}
+_PY = {"import": r"(?m)^import[ \t]+([^\n#;]+)", "from": r"(?m)^from\s+([^\s]+)\s+import"}
 _EXPORT = r"export\s+(?:default\s+)?(class|function|interface|const|let|var)\s+(\w+)"
 _NAMED_IMPORT = r"""import\s+\{([^}]+)\}\s+from\s+['"]([^'"]+)['"]"""
 
@@ -39,10 +39,11 @@ def js_imports(sources: DataFrame) -> DataFrame:
 
 
 def py_imports(sources: DataFrame) -> DataFrame:
-    """Distinct root packages a project imports. Of ``import a, b`` only the first counts."""
+    """Distinct root packages a project imports, of ``import a.b as c, d`` both a and d."""
     rows = sources.select("project_id", F.explode(each(_tagged(F.col("source"), _PY))).alias("i"))
-    root = F.substring_index(F.substring_index("i.module", ",", 1), ".", 1)
-    return rows.select("project_id", "i.kind", root.alias("module")).distinct()
+    rows = rows.select("project_id", "i.kind", F.explode(F.split("i.module", ",")).alias("named"))
+    root = F.substring_index(F.regexp_extract("named", r"^\s*(\S*)", 1), ".", 1)
+    return rows.select("project_id", "kind", root.alias("module")).distinct()
 
 
 def py_stdlib_imports(imports: DataFrame) -> DataFrame:

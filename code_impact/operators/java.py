@@ -30,9 +30,20 @@ ENDPOINT_ANNOTATIONS = [
 ACCESSOR_ANNOTATIONS = ["@Data", "@Getter", "@Setter"]
 
 _LITERAL_OR_COMMENT = r'//[^\n]*|/\*(?s:.*?)\*/|"""(?s:.*?)"""|"(?:[^"\\\n]++|\\.)*+"|\'(?:[^\'\\\n]++|\\.)++\''
-_ANNOTATION = r"@(?!interface\b)[\w.]+(?:\s*\((?:[^()]++|\([^()]*+\))*+\))?"
+
+
+def _nested(opening: str, closing: str, levels: int = 16) -> str:
+    """A bracketed piece with brackets inside, ``levels`` deep."""
+    other = rf"[^{opening}{closing}]++"
+    found = rf"\{opening}(?:{other})*+\{closing}"
+    for _ in range(levels - 1):
+        found = rf"\{opening}(?:{other}|{found})*+\{closing}"
+    return found
+
+
+_ANNOTATION = rf"@(?!interface\b)[\w.]+(?:\s*{_nested('(', ')')})?"
 _MODIFIER = r"(?:public|protected|private|abstract|static|final|strictfp|sealed|non-sealed|default|synchronized|native|transient|volatile)\s+"
-_GENERIC = r"<(?:[^<>]|<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>)*>"
+_GENERIC = _nested("<", ">")
 _TYPE = rf"[\w.]+(?:\s*{_GENERIC})?(?:\.\w+)*(?:\s*\[\s*\])*"
 _TYPE_HEADER = rf"^\s*(?:{_MODIFIER})*(class|interface|enum|record)\s+(\w+)"
 _ANONYMOUS = rf"\bnew\s+[\w.]+(?:\s*{_GENERIC})?\s*\([^{{]*\)\s*\{{$"

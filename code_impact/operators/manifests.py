@@ -145,16 +145,18 @@ def npm_lock(files: DataFrame) -> DataFrame:
     parsed = files.withColumn("_l", F.from_json("content", _LOCK))
     rows = parsed.select("project_id", F.col("_l.name").alias("_own"), F.explode(F.coalesce("_l.packages", "_l.dependencies")).alias("at", "p"))
     name = F.when(F.col("at") == "", F.col("_own")).otherwise(F.substring_index("at", "node_modules/", -1))
+    rows = rows.withColumn("depth", F.size(F.split("at", "node_modules/")))
     named = rows.withColumn("name", name).where((F.col("name") != "") & ~F.coalesce(F.col("name") == F.col("_own"), F.lit(False)))
     return named.select(
         "project_id", "name", "p.version", "p.integrity", (~F.contains("at", F.lit("node_modules"))).alias("is_direct"),
         F.coalesce("p.dev", F.lit(False)).alias("is_dev"), F.coalesce("p.optional", F.lit(False)).alias("is_optional"),
-        F.coalesce(F.map_keys("p.dependencies"), F.array().cast("array<string>")).alias("dependencies"),
+        F.coalesce(F.map_keys("p.dependencies"), F.array().cast("array<string>")).alias("dependencies"), "depth",
     )
 
 
 def enrich_lock(packages: DataFrame, locked: DataFrame) -> DataFrame:
-    known = locked.groupBy("project_id", "name").agg(F.max(F.struct("version", "integrity")).alias("l"))
+    """Add what the lock file resolved. Of several copies that nearest to the root counts."""
+    known = locked.groupBy("project_id", "name").agg(F.min_by(F.struct("version", "integrity"), F.struct("depth", "version")).alias("l"))
     known = known.select("project_id", "name", F.col("l.version").alias("resolved_version"), F.col("l.integrity").alias("integrity"))
     return packages.join(known, ["project_id", "name"], "left")
 
@@ -163,7 +165,9 @@ def enrich_lock(packages: DataFrame, locked: DataFrame) -> DataFrame:
 
 
 def pip_packages(files: DataFrame) -> DataFrame:
-    pattern = r"^([a-zA-Z0-9\-_.]+)(?:\s*([><=!]+)\s*(.+))?"
+    """Names, with extras left out, and version constraints of a requirements file."""
+    # What a name and a comparison are made of.
+    pattern = r"^([a-zA-Z0-9\-_.]+)(?:\s*\[[^\]]*\])?(?:\s*([><=!~]+)\s*(.+))?"
     kept = F.filter(
         _lines(F.col("content")), lambda line: (_trim(line) != "") & ~line.startswith("#") & ~line.startswith("-") & line.rlike(pattern)
     )
@@ -193,8 +197,17 @@ def _in_sections(content: Column, kinds: dict[str, str], entry) -> Column:
 
 
 def pipfile_packages(files: DataFrame) -> DataFrame:
-    """The version is what stands between the first and the second equals sign, so ``==`` pins are not read."""
-    part = lambda line, n: F.replace(_trim(F.get(F.split(line, "=", -1), F.lit(n))), F.lit('"'), F.lit(""))
+    """The version is what follows the first equals sign, or the ``version`` of an inline table."""
+    bare = lambda text: F.replace(_trim(text), F.lit('"'), F.lit(""))
+    inline = r'version\s*=\s*"([^"]*)"'
+
+    def part(line: Column, n: int) -> Column:
+        if n == 0:
+            return bare(F.substring_index(line, "=", 1))
+        value = F.regexp_replace(line, r"^[^=]*=", "")
+        table = F.regexp_extract(value, inline, 1)
+        return F.when(_trim(value).startswith("{"), F.when(table == "", F.lit("*")).otherwise(table)).otherwise(bare(value))
+
     kinds = {"packages": "dependency", "dev-packages": "devDependency"}
     found = _in_sections(F.col("content"), kinds, lambda line, kind: _package(part(line, 0), part(line, 1), kind))
     return _rows(files, F.filter(found, lambda p: (p["name"] != "") & (p["version"] != "")))
@@ -364,14 +377,19 @@ def version_numbers(version: Column) -> Column:
 
 
 def in_range(version: Column, affected: Column) -> Column:
-    """Whether a version lies in a range like ``< 6.15.0`` or ``>= 2``. No range means every version."""
-    operator, bound = F.regexp_extract(affected, r"^\s*(<=|>=|<|>|=)?", 1), version_numbers(affected)
+    """Whether a version lies in a range like ``< 6.15.0`` or ``>= 1, < 2``: all parts must hold, shorter numbers end in
+    zeros. No range means every version; a part or a version without a number fits nothing."""
     v = version_numbers(version)
-    return F.coalesce(
-        F.when(affected.isNull(), F.lit(True)).when(operator == "<", v < bound).when(operator == "<=", v <= bound)
-        .when(operator == ">", v > bound).when(operator == ">=", v >= bound).otherwise(v == bound),
-        F.lit(False),
-    )
+
+    def holds(part: Column) -> Column:
+        operator, bound = F.regexp_extract(part, r"^\s*(<=|>=|<|>|=)?", 1), version_numbers(part)
+        width = F.greatest(F.size(v), F.size(bound))
+        padded = lambda n: F.concat(n, F.array_repeat(F.lit(0).cast("bigint"), width - F.size(n)))
+        left, right = padded(v), padded(bound)
+        met = F.when(operator == "<", left < right).when(operator == "<=", left <= right).when(operator == ">", left > right).when(operator == ">=", left >= right).otherwise(left == right)
+        return (F.size(v) > 0) & (F.size(bound) > 0) & met
+
+    return F.coalesce(F.when(affected.isNull(), F.lit(True)).otherwise(F.forall(F.split(affected, ","), holds)), F.lit(False))
 
 
 def package_security(packages: DataFrame, vulnerabilities: DataFrame) -> DataFrame:

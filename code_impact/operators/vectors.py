@@ -71,7 +71,8 @@ def _pass(collection: DataFrame, ids: list, matrix: np.ndarray, k: int) -> DataF
                 names=["query_id", "vec_id", "similarity"],
             )
 
-    return collection.select("vec_id", "embedding").mapInArrow(search, "query_id long, vec_id long, similarity double")
+    fitting = collection.where((F.size("embedding") == width) & F.forall("embedding", lambda e: e.isNotNull()))
+    return fitting.select("vec_id", "embedding").mapInArrow(search, "query_id long, vec_id long, similarity double")
 
 
 def top_k(collection: DataFrame, queries: DataFrame, k: int, where: dict | None = None) -> DataFrame:
@@ -81,6 +82,9 @@ def top_k(collection: DataFrame, queries: DataFrame, k: int, where: dict | None
     collection's batches' size. The metadata filter runs before scoring. Queries are fetched in slices of bounded size.
     """
     rows = collection.where(metadata_filter(where)) if where else collection
+    # A vector that is missing or has another width than the queries is like none of them.
+    queries = queries.where("embedding IS NOT NULL AND size(embedding) > 0")
+    rows = rows.where("embedding IS NOT NULL")
     width = F.size("embedding").cast("bigint") * 8
     total, widest = queries.agg(F.sum(width), F.max(width)).first()
     if not total:

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from code_impact.functions import paths
 from code_impact.operators import files as ops
 from code_impact.plans.registry import query
-from code_impact.sources.code_files import skip_ignored_dirs
+from code_impact.session import scratch_path
+from code_impact.sources.code_files import scan_code_files as scan_code_files_of
+from code_impact.sources.code_files import write_files
 
 LANGUAGE = """CASE pos % 16 WHEN 0 THEN 'java' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' WHEN 3 THEN 'go'
  WHEN 4 THEN 'dockerfile' WHEN 5 THEN 'json' WHEN 6 THEN 'maven' WHEN 8 THEN 'kotlin' WHEN 9 THEN 'java'
@@ -13,9 +15,13 @@ LANGUAGE = """CASE pos % 16 WHEN 0 THEN 'java' WHEN 1 THEN 'typescript' WHEN 2 T
 SOURCE = "pos % 16 IN (0, 1, 2, 3, 8, 9, 11, 12, 14, 15)"
 
 
-@query("scan_code_files", "SELECT repository, path, size FROM file_listing WHERE pos % 9 <> 0 AND pos % 10 <> 0")
+@query("scan_code_files", "SELECT 'all' AS repository, repository || '/' || path AS path, (size % 100)::BIGINT AS size FROM file_listing WHERE pos % 9 <> 0 AND pos % 10 <> 0")
 def scan_code_files(t):
-    return skip_ignored_dirs(t["file_listing"]).select("repository", "path", "size")
+    """The listing, written as files of up to 99 characters, the empty ones too, and scanned."""
+    root = scratch_path(t.spark, "scanned")
+    listed = t["file_listing"]
+    write_files(listed.select(F.concat_ws("/", "repository", "path").alias("path"), F.repeat(F.lit("x"), (F.col("size") % 100).cast("int")).alias("content")), root)
+    return scan_code_files_of(t.spark, root, "all").select("repository", "path", "size")
 
 
 @query("detect_language", f"SELECT path, {LANGUAGE} AS language FROM file_listing")

@@ -78,7 +78,7 @@ def diff_removed_exports(t):
     return diff.removed_exports(ops.js_exports(t["js_modules"]), ops.js_exports(t["js_modules_v2"]))
 
 
-PY = """SELECT p_partkey AS project_id, 'import' AS kind, 'os' AS module FROM part UNION ALL SELECT p_partkey, 'import', 'numpy' FROM part
+PY = """SELECT p_partkey AS project_id, 'import' AS kind, 'os' AS module FROM part UNION ALL SELECT p_partkey, 'import', 'numpy' FROM part UNION ALL SELECT p_partkey, 'import', 'sys' FROM part
  UNION ALL SELECT p_partkey, 'from', 'pkg' || (p_partkey % 5) FROM part UNION ALL SELECT p_partkey, 'from', '' FROM part"""
 
 
@@ -87,7 +87,7 @@ def py_imports(t):
     return ops.py_imports(t["py_sources"])
 
 
-@query("py_stdlib_imports", f"SELECT * FROM ({PY}) p WHERE module = 'os'")
+@query("py_stdlib_imports", f"SELECT * FROM ({PY}) p WHERE module IN ('os', 'sys')")
 def py_stdlib_imports(t):
     return ops.py_stdlib_imports(ops.py_imports(t["py_sources"]))
 

@@ -27,7 +27,7 @@ def npm_packages(t):
     UNION ALL SELECT p_partkey, 'tools/x', '0.0.1', NULL, true, false, true, '' FROM part WHERE p_partkey % 3 <> 0""",
 )
 def npm_lock(t):
-    return ops.npm_lock(t["lock_files"]).withColumn("dependencies", F.array_join("dependencies", ","))
+    return ops.npm_lock(t["lock_files"]).withColumn("dependencies", F.array_join("dependencies", ",")).drop("depth")
 
 
 @query(
@@ -42,7 +42,7 @@ def enrich_lock(t):
 @query(
     "pip_packages",
     """SELECT p_partkey AS project_id, 'django' AS name, '>=' || p_size || '.0' AS version FROM part UNION ALL SELECT p_partkey, 'requests', '*' FROM part
-    UNION ALL SELECT p_partkey, 'lib' || (p_partkey % 30), '==1.0' FROM part UNION ALL SELECT p_partkey, 'celery', '*' FROM part""",
+    UNION ALL SELECT p_partkey, 'lib' || (p_partkey % 30), '==1.0' FROM part UNION ALL SELECT p_partkey, 'celery', '==5.0' FROM part""",
 )
 def pip_packages(t):
     return ops.pip_packages(t["requirements_files"]).select("project_id", "name", "version")
@@ -51,7 +51,7 @@ def pip_packages(t):
 @query(
     "pipfile_packages",
     """SELECT p_partkey AS project_id, 'flask' AS name, '*' AS version, 'dependency' AS type FROM part UNION ALL SELECT p_partkey, 'lib' || (p_partkey % 30), p_size || '.0', 'dependency' FROM part
-    UNION ALL SELECT p_partkey, 'pytest', '*', 'devDependency' FROM part""",
+    UNION ALL SELECT p_partkey, 'pytest', '*', 'devDependency' FROM part UNION ALL SELECT p_partkey, 'pinned', '==2.0', 'dependency' FROM part""",
 )
 def pipfile_packages(t):
     return ops.pipfile_packages(t["pipfiles"]).drop("file_path")

@@ -62,13 +62,12 @@ def redact_secrets(t):
 
 @query(
     "mask_url_credentials",
-    "SELECT page_id, 'https://***:***@' || regexp_replace(url, '^[a-z]+://', '') AS url FROM pages WHERE strpos(url, '@') = 0",
+    "SELECT page_id, 'https://***:***@' || regexp_replace(url, '^[a-z]+://', '') AS url FROM pages",
 )
 def mask_url_credentials(t):
     rest = F.regexp_replace("url", "^[a-z]+://", "")
-    pages = t["pages"].where(~F.contains("url", F.lit("@")))
     with_secret = F.concat(F.lit("https://user"), F.col("page_id").cast("string"), F.lit(":pw@"), rest)
-    return pages.select("page_id", fn.mask_url_credentials(with_secret).alias("url"))
+    return t["pages"].select("page_id", fn.mask_url_credentials(with_secret).alias("url"))
 
 
 @query(

@@ -2,29 +2,94 @@
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Iterator
+from fnmatch import fnmatch
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from code_impact.functions.paths import in_ignored_dir
+from code_impact.functions.paths import IGNORED_DIRS
+
+LISTED = "file string, folder boolean, size long, modified timestamp"
+
 
+def _children(store: fs.FileSystem, folder: str, glob: str | None) -> Iterator[tuple[str, bool, int, datetime.datetime]]:
+    """Files that are wanted and folders that are not ignored, directly below a folder."""
+    for found in store.get_file_info(fs.FileSelector(folder)):
+        if found.type == fs.FileType.Directory:
+            if found.base_name not in IGNORED_DIRS:
+                yield found.path, True, 0, found.mtime
+        elif glob is None or fnmatch(found.base_name, glob):
+            yield found.path, False, found.size, found.mtime
 
-def skip_ignored_dirs(files: DataFrame) -> DataFrame:
-    return files.where(~in_ignored_dir(F.col("path")))
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC"))
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "folder", "size", "modified"])
 
-def scan_code_files(spark: SparkSession, root: str, repository: str, glob: str | None = None) -> DataFrame:
-    """Files below ``root``: (repository, path, content, size, last_modified). Bad UTF-8 becomes U+FFFD.
 
-    ``glob`` reaches the file listing, so the content of other files is never read. Empty files are not listed: Spark file
-    sources skip them.
+def scan_code_files(spark: SparkSession, root: str, repository: str, glob: str | None = None, parts: int = 0) -> DataFrame:
+    """All files below ``root``: (repository, path, content, size, last_modified), hidden and empty ones too.
+
+    Bad UTF-8 becomes U+FFFD. Ignored folders are left out while listing and ``glob`` is matched against names, so nothing
+    else is ever read. Two levels of folders are listed first; what lies below is listed by tasks, and files are dealt out
+    to ``parts`` tasks (as many as Spark shuffles to, if 0) before they are read one by one. ``root`` is a path or a URI that
+    ``pyarrow.fs`` can open from every executor.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    marker = root.rstrip("/").split("://")[-1]
-    rel = F.substring_index(F.col("path"), f"{marker}/", -1)
-    raw = reader.load(root).select(
-        F.lit(repository).alias("repository"), rel.alias("path"), "content", F.col("length").alias("size"),
-        F.col("modificationTime").alias("last_modified"),
+    store, top = fs.FileSystem.from_uri(root)
+    top = top.rstrip("/")
+    known, folders = [], [top]
+    for _ in range(2):
+        found = [c for folder in folders for c in _children(store, folder, glob)]
+        known += [c for c in found if not c[1]]
+        folders = [c[0] for c in found if c[1]]
+    spread = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for start, folder, size, modified in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if not folder:
+                    yield _batch([(start, False, size, modified)])
+                    continue
+                waiting = [start]
+                while waiting:
+                    children = list(_children(there, waiting.pop(), glob))
+                    waiting += [c[0] for c in children if c[1]]
+                    yield _batch([c for c in children if not c[1]])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                with there.open_input_stream(batch.column("file")[k].as_py(), compression=None) as file:
+                    one = batch.slice(k, 1)
+                    yield pa.RecordBatch.from_arrays([one.column("file"), one.column("size"), one.column("modified"), pa.array([file.read()], pa.binary())], ["file", "size", "modified", "content"])
+
+    begun = spark.createDataFrame([*known, *((f, True, 0, None) for f in folders)], LISTED).repartition(spread)
+    listed = begun.mapInArrow(walk, LISTED).repartition(spread)
+    raw = listed.mapInArrow(read, "file string, size long, modified timestamp, content binary")
+    return raw.select(
+        F.lit(repository).alias("repository"), F.substr("file", F.lit(len(top) + 2)).alias("path"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "size", F.col("modified").alias("last_modified"),
     )
-    return skip_ignored_dirs(raw).withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write (path, content) rows as files below ``root``. A task that runs again writes the same files again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{top}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(target, compression=None) as file:
+                    file.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["written"])
+
+    files.select("path", "content").mapInArrow(write, "written long").write.format("noop").mode("overwrite").save()

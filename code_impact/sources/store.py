@@ -1,7 +1,13 @@
-"""Index tables on shared storage: the latest state and a copy per day, both partitioned by repository."""
+"""Index tables on shared storage: the latest state and a copy per day, both partitioned by repository.
+
+Every save writes its rows under a version of its own and then, in one last write, says for each repository which version
+counts. So a save is seen whole or not at all, and nothing of the version before stays visible.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -31,17 +37,27 @@ class IndexStore:
         )
 
     def save(self, index: dict[str, DataFrame], snapshot_date: str | None = None) -> None:
-        """Replace the repositories in ``index``; with a date also write that day's copy."""
-        for part in PARTS:
-            self._write(index[part], f"{self.root}/latest/{part}", ["repository"])
-            if snapshot_date:
-                dated = self._read("latest", part).withColumn("snapshot_date", F.lit(snapshot_date).cast("date"))
-                touched = index["files"].select("repository").distinct()
-                self._write(dated.join(touched, "repository", "left_semi"), f"{self.root}/history/{part}", ["repository", "snapshot_date"])
+        """Replace the repositories of ``index["files"]`` in all tables; with a date also that day's copy."""
+        version = uuid.uuid4().hex
+        touched = index["files"].select("repository").distinct().withColumn("version", F.lit(version))
+        kinds = {"latest": {}} | ({"history": {"snapshot_date": F.lit(snapshot_date).cast("date")}} if snapshot_date else {})
+        for kind, dated in kinds.items():
+            for part in PARTS:
+                rows = index[part].withColumns(dated | {"version": F.lit(version)})
+                rows.hint("rebalance", "repository").write.mode("append").partitionBy("repository", *dated, "version").parquet(f"{self.root}/{kind}/{part}")
+        for kind, dated in kinds.items():
+            self._write(touched.withColumns(dated), f"{self.root}/{kind}/current", ["repository", *dated])
+
+    def _current(self, kind: str) -> DataFrame:
+        dated = ", snapshot_date date" if kind == "history" else ""
+        return self.spark.read.schema("version string, repository string" + dated).parquet(f"{self.root}/{kind}/current")
 
     def _read(self, kind: str, part: str) -> DataFrame:
+        """Rows of the versions that count. The list of versions is one row a repository and prunes the folders read."""
+        keys = ["repository", "version"] + (["snapshot_date"] if kind == "history" else [])
         dated = ", snapshot_date date" if kind == "history" else ""
-        return self.spark.read.schema(INDEX_TABLES[part] + dated).parquet(f"{self.root}/{kind}/{part}")
+        rows = self.spark.read.schema(INDEX_TABLES[part] + ", version string" + dated).parquet(f"{self.root}/{kind}/{part}")
+        return rows.join(self._current(kind), keys, "left_semi").drop("version")
 
     def load(self, repositories: list[str] | None = None, snapshot_date: str | None = None) -> dict[str, DataFrame] | None:
         """Tables of the asked repositories, read by partition; None when nothing was ever saved."""
@@ -65,16 +81,16 @@ class IndexStore:
         return found
 
     def list(self) -> DataFrame:
-        return self._read("latest", "files").select("repository").distinct()
+        return self._current("latest").select("repository").distinct()
 
     def exists(self, asked: DataFrame) -> DataFrame:
         return indexes_exist(self.list(), asked)
 
     def delete(self, repository: str) -> None:
-        """Drop the partitions of a repository in the latest tables."""
+        """Drop a repository from the latest tables: first the word that it counts, then its rows."""
         jvm = self.spark._jvm
         escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repository)
-        for part in PARTS:
+        for part in ("current", *PARTS):
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/latest/{part}/repository={escaped}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

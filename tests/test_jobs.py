@@ -18,16 +18,19 @@ def files(spark):
 
 
 def test_scan(spark, tmp_path):
-    for name, data in {
+    made = {
         "src/A.java": b"class A { }", "node_modules/x/i.js": b"x", "src/build/B.java": b"class B { }", "bad.py": b"\xff\xfeok", "e.txt": b"",
-    }.items():
+        "a/__init__.py": b"1", "a/b/c/_b.ts": b"2", ".eslintrc.js": b"3", "a/__tests__/c.ts": b"4", ".github/d.py": b"5", "a/b/c/d/Empty.java": b"",
+    }
+    for name, data in made.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    found = {r["path"]: r for r in scan_code_files(spark, str(tmp_path), "org/x").collect()}
-    # Spark lists no empty files.
-    assert set(found) == {"src/A.java", "bad.py"}
-    assert found["bad.py"]["content"].endswith("ok") and "�" in found["bad.py"]["content"]
-    assert found["src/A.java"]["size"] == 11
+    for root in (str(tmp_path), tmp_path.as_uri() + "/"):
+        found = {r["path"]: r for r in scan_code_files(spark, root, "org/x").collect()}
+        assert set(found) == {name for name in made if "node_modules" not in name and "build" not in name}
+        assert found["bad.py"]["content"].endswith("ok") and "\ufffd" in found["bad.py"]["content"]
+        assert found["src/A.java"]["size"] == 11 and found["e.txt"]["content"] == ""
+    assert {r["path"] for r in scan_code_files(spark, str(tmp_path), "org/x", "*.py").collect()} == {"bad.py", "a/__init__.py", ".github/d.py"}
 
 
 def test_store(spark, tmp_path, files):
@@ -45,6 +48,10 @@ def test_store(spark, tmp_path, files):
     store.compact_history(str(tmp_path / "kept"), "2024-03-10")
     kept = spark.read.parquet(str(tmp_path / "kept" / "files")).select("repository", "snapshot_date").distinct().collect()
     assert {(r["repository"], str(r["snapshot_date"])) for r in kept} == {("org/a", "2024-03-01"), ("org/b", "2024-01-01")}
+    # A second save with less leaves nothing of the first.
+    store.save(build_index(files.where("path = 'A.java'")))
+    assert [store.require("org/a")[p].count() for p in ("files", "classes", "edges")] == [1, 1, 0]
+    assert store.require("org/b")["classes"].count() == 1
     store.delete("org/b")
     assert {r["repository"] for r in store.list().collect()} == {"org/a"}
 
@@ -110,3 +117,29 @@ def test_top_k_in_several_passes(spark, monkeypatch):
     scores = (data / np.linalg.norm(data, axis=1, keepdims=True)) @ (asked / np.linalg.norm(asked, axis=1, keepdims=True)).T
     expected = {(q, int(v)) for q in range(9) for v in np.argsort(-scores[:, q])[:5]}
     assert {(r["query_id"], r["vec_id"]) for r in found} == expected
+
+
+def test_odd_inputs(spark):
+    from code_impact.functions.text import redact
+    from code_impact.operators import imports, manifests
+    from pyspark.sql import functions as F
+
+    hidden = spark.sql("SELECT map('apiToken', array('s'), 'ok', array('v')) AS m, map('password', named_struct('a', 1), 'x', named_struct('a', 2)) AS p")
+    row = hidden.select(*[redact(F.col(f.name), f.dataType).alias(f.name) for f in hidden.schema]).first()
+    assert row["m"] == {"apiToken": None, "ok": ["v"]} and row["p"]["password"] is None and row["p"]["x"]["a"] == 2
+    cases = [("2.5.0", ">= 1.0.0, < 2.0.0", False), ("1.5", ">= 1.0.0, < 2.0.0", True), ("1.0", "= 1.0.0", True), ("1.0.0", "<= 1.0", True), ("x", "< 1", False), ("3", None, True)]
+    ranges = spark.createDataFrame([c[:2] for c in cases], "v string, r string").select(manifests.in_range(F.col("v"), F.col("r")).alias("in"))
+    assert [r["in"] for r in ranges.collect()] == [c[2] for c in cases]
+    lock = '{"packages": {"node_modules/a": {"version": "4.10.0"}, "node_modules/b/node_modules/a": {"version": "4.9.0"}}}'
+    locked = manifests.npm_lock(spark.createDataFrame([(1, "p", lock)], "project_id int, path string, content string"))
+    packages = spark.createDataFrame([(1, "a")], "project_id int, name string")
+    assert manifests.enrich_lock(packages, locked).first()["resolved_version"] == "4.10.0"
+    pip = manifests.pip_packages(spark.createDataFrame([(1, "p", "a[x,y]>=2\nb ~= 1.4")], "project_id int, path string, content string"))
+    assert {(r["name"], r["version"]) for r in pip.collect()} == {("a", ">=2"), ("b", "~=1.4")}
+    pipfile = manifests.pipfile_packages(spark.createDataFrame([(1, "p", '[packages]\na = "==1.2"\nb = {version = "*", extras = ["x"]}')], "project_id int, path string, content string"))
+    assert {(r["name"], r["version"]) for r in pipfile.collect()} == {("a", "==1.2"), ("b", "*")}
+    py = imports.py_imports(spark.createDataFrame([(1, "p", "import a.b as c, d, e\nimport f # g")], "project_id int, path string, source string"))
+    assert {r["module"] for r in py.collect()} == {"a", "d", "e", "f"}
+    collection = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0])], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.1]), (8, None)], "query_id long, embedding array<float>")
+    assert [(r["query_id"], r["vec_id"]) for r in vectors.top_k(collection, asked, 3).collect()] == [(7, 1)]
