@@ -172,20 +172,41 @@ def _top(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _state(rows: DataFrame) -> tuple[int, int]:
+    row = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*rows.columns)), F.lit(0)).alias("x")).first()
+    return row["n"], row["x"]
+
+
+def best_dependents(links: DataFrame, limit: int) -> DataFrame:
+    """The best ``limit`` files by priority and path that reach each file, at any distance: (repository, start, path, priority, rank).
+
+    The best of a file are among its users and the best of each user, so only ``limit`` rows a file are kept, and the step
+    is repeated until nothing changes. That is exact, on cycles too, and the rows of a round are at most ``limit`` per link.
+    """
+    key = ["repository", "start"]
+    direct = links.select("repository", F.col("used").alias("start"), F.col("user").alias("path")).withColumn("priority", path_priority(F.col("path")))
+    best = cut_lineage(_top(direct, key, limit))
+    state = _state(best)
+    while True:
+        of_users = best.select("repository", F.col("start").alias("user"), "path", "priority")
+        via = links.join(of_users, ["repository", "user"]).select("repository", F.col("used").alias("start"), "path", "priority")
+        rows = direct.unionByName(via).groupBy(*key, "path").agg(F.first("priority").alias("priority"))
+        best = cut_lineage(_top(rows, key, limit))
+        state, before = _state(best), state
+        if state == before:
+            return best
+
+
 def related_files(index: dict[str, DataFrame], changes: DataFrame, limit: int = RELATED_FILES) -> DataFrame:
     """Best related files per pull request: what the changed files need, and whatever depends on them at any distance.
 
-    The closure runs once per changed file, not per pull request. Only the best ``limit`` of a file can be among the
-    best of a pull request, so each file's answer is cut before the join.
+    Only the best ``limit`` of a file can be among the best of a pull request, so only those are looked for.
     """
-    links = file_links(index)
+    links = cut_lineage(file_links(index))
     pr = ["repository", "pr_number"]
     known = index["files"].select("repository", "path")
     changed = changes.select(*pr, F.col("filename").alias("path")).distinct().join(known, ["repository", "path"], "left_semi")
-    starts = changed.select("repository", F.col("path").alias("start")).distinct()
-    affected = closure(links, starts).select("repository", F.col("start"), F.col("affected").alias("path"))
-    affected = _top(affected.withColumn("priority", path_priority(F.col("path"))), ["repository", "start"], limit)
-    affected = affected.select("repository", "start", "path", (F.col("priority") * DEPENDENT_WEIGHT).alias("priority"))
+    affected = best_dependents(links, limit).select("repository", "start", "path", (F.col("priority") * DEPENDENT_WEIGHT).alias("priority"))
     needed = links.select("repository", F.col("user").alias("start"), F.col("used").alias("path"))
     needed = needed.withColumn("priority", path_priority(F.col("path")))
     per_file = changed.withColumnRenamed("path", "start")
