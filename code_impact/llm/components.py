@@ -26,11 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         # Larger neighbours of each node point to the node's smallest neighbour.
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Stored, so that the join below deals its rows anew and can split those of a hub.
+        least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Smaller neighbours of each node, and the node, point to the smallest.
         large = cut_lineage(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = cut_lineage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         state, before = _state(pairs), state
