@@ -267,8 +267,9 @@ def linked_sets(docs: DataFrame, text_col: str = "text", width: int = 5, percent
 
     heads = cut_lineage(map_batches(rows, prefixes, "name long, column long"))
     stars = heads.groupBy("column").agg(F.min("name").alias("b"), F.count("*").alias("many")).where("many > 1").select("column", "b")
+    stars = cut_lineage(stars)
     clusters = components(heads.join(stars, "column").select(F.col("name").alias("a"), "b").distinct())
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("many"))
+    sizes = cut_lineage(clusters.groupBy("root").agg(F.count("*").alias("many")))
     placed = clusters.join(sizes, "root").select(F.col("node").alias("name"), F.col("root").alias("cluster"), "many")
     members = cut_lineage(rows.select("name", "n", "columns").join(placed, "name"))
 
@@ -314,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = linked_sets(docs, text_col, width, percent)
     rooted = classes.join(linked, classes["name"] == linked["node"], "left").select("name", "first", F.coalesce("root", "name").alias("root"))
     rooted = cut_lineage(rooted)
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    lowest = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     found = cut_lineage(rooted.join(lowest, "root").select("name", "component_id"))
     return names.join(found, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
