@@ -228,7 +228,9 @@ def pack(pieces: DataFrame, window: int = 2048, quantum: int = 8, depth: int = 3
     table = spark.createDataFrame(slots, "__size long, __from long, __to long, __first long, __n long")
 
     before = Window.partitionBy("__size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    # Stored, so that the join below deals pieces by size and salt and not by size alone, as the window before it does.
     starts = counts.select("__size", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    starts = cut_lineage(starts)
     order = Window.partitionBy("__size", "__salt").orderBy("doc_id", "start", "length")
     ranked = (
         marked.withColumn("__row", F.row_number().over(order) - 1)
