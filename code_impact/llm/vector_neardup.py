@@ -75,7 +75,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(np.concatenate(codes))], ["node", "at", "bucket"])
 
     places = cut_lineage(map_batches(nodes.select("node", "codes"), spread, "node long, at int, bucket long"))
-    full = places.groupBy("at", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+    full = cut_lineage(places.groupBy("at", "bucket").agg(F.count("*").alias("size")).where("size > 1"))
     shared = places.join(full, ["at", "bucket"]).withColumn("blocks", F.ceil(F.col("size") / block_rows)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # Block b meets block o in the task (smaller, larger).
     shared = shared.select("node", "at", "bucket", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
@@ -128,7 +128,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")).where("a <> b"))
     known = nodes.select("twin", "node", "first", "many").join(counts, "node", "left").join(roots, "node", "left")
     known = cut_lineage(known.select("twin", "first", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("root", "node").alias("root")))
-    lowest = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    lowest = cut_lineage(known.groupBy("root").agg(F.min("first").alias("component_id")))
     known = cut_lineage(known.join(lowest, "root").select("twin", "links", "component_id"))
     joined = rows.select("vec_id", "twin").join(known, "twin", "left")
     return joined.select(
