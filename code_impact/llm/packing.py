@@ -125,6 +125,9 @@ def nnls(matrix: np.ndarray, target: np.ndarray) -> np.ndarray:
     scale = target.max(initial=0) or 1.0
     target = target / scale
     x, active = np.zeros(matrix.shape[1]), np.zeros(matrix.shape[1], bool)
+    # A combination has few lengths, so the gradient is summed over its entries alone.
+    column, row = np.nonzero(matrix.T)
+    weight, begins = matrix[row, column], np.flatnonzero(np.diff(column, prepend=-1))
 
     def solved() -> np.ndarray:
         cols = matrix[:, active]
@@ -132,7 +135,9 @@ def nnls(matrix: np.ndarray, target: np.ndarray) -> np.ndarray:
         return np.linalg.solve(gram + 1e-10 * np.eye(len(gram)), cols.T @ target)
 
     for _ in range(3 * len(target)):
-        gradient = matrix.T @ (target - matrix @ x)
+        rest = target - matrix[:, active] @ x[active]
+        gradient = np.zeros(len(x))
+        gradient[column[begins]] = np.add.reduceat(weight * rest[row], begins) if len(begins) else 0
         gradient[active] = 0
         if gradient.max(initial=0) < 1e-7:
             break
