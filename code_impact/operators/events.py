@@ -3,6 +3,8 @@ docstring says otherwise."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,7 +215,7 @@ def transition_columns(previous: Column, status: Column) -> tuple[Column, Column
 def job_transitions(events: DataFrame) -> DataFrame:
     """Each status event with the status before it and whether the step is allowed. Batch only; see ``streaming.jobs``."""
     timed = events.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    rows = with_previous(timed, ["job_id"], F.col("_us"), [F.col("_us"), F.col("event_id")], "status", "previous")
+    rows = with_previous(timed, ["job_id"], F.col("_us"), [F.col("_us"), F.col("event_id")], "status", "previous", F.col("event_id"))
     ok, allowed = transition_columns(F.col("previous"), F.col("status"))
     return rows.select("event_id", "job_id", "previous", "status", ok.alias("valid"), allowed.alias("allowed"))
 
@@ -335,17 +337,27 @@ def service_metrics(events: DataFrame, width: str = "1 hour") -> DataFrame:
     return grouped.select(F.col("w.start").alias("window_start"), "service", "metric", "n", "total", "mean")
 
 
+# Periods of one metric that are looked at together.
+CHUNK = 1024
+
+
 def metric_alarms(metrics: DataFrame, alarms: dict[str, tuple[str, float, int, str]], period_s: int = 300) -> DataFrame:
     """State of each alarm per period. An alarm is (comparison, threshold, periods, missing): it rings when the mean breaks
     the threshold in that many periods in a row; a period without data counts as ``missing`` says.
 
-    The means are aggregated first; windows then run over one row per metric and period.
+    The means are aggregated first. Time is cut into chunks of ``CHUNK`` periods, each with the periods an alarm looks back on,
+    so that windows run per metric and chunk and no array holds the whole span of a metric.
     """
     wanted = metrics.where(F.col("metric").isin(list(alarms)))
-    epoch = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / period_s) * period_s
+    epoch = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / period_s)
     means = wanted.groupBy("metric", epoch.alias("period")).agg(F.avg("value").alias("mean"))
     span = means.groupBy("metric").agg(F.min("period").alias("a"), F.max("period").alias("b"))
-    periods = span.select("metric", F.explode(F.sequence("a", "b", F.lit(period_s).cast("bigint"))).alias("period"))
+    most = max(count for _, _, count, _ in alarms.values())
+    chunks = span.select("metric", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / CHUNK), F.floor(F.col("b") / CHUNK))).alias("chunk"))
+    chunks = chunks.repartition("metric", "chunk")
+    begin, end = F.col("chunk") * CHUNK, (F.col("chunk") + 1) * CHUNK - 1
+    inside = F.sequence(F.greatest("a", begin - (most - 1)), F.least("b", end))
+    periods = chunks.select("metric", "chunk", begin.alias("begin"), F.explode(inside).alias("period"))
     filled = periods.join(means, ["metric", "period"], "left")
     breaks, needed = F.lit(False), F.lit(1)
     for metric, (comparison, threshold, count, missing) in alarms.items():
@@ -353,14 +365,28 @@ def metric_alarms(metrics: DataFrame, alarms: dict[str, tuple[str, float, int, s
         test = F.coalesce(over, F.lit(missing == "breaching"))
         breaks = F.when(F.col("metric") == metric, test).otherwise(breaks)
         needed = F.when(F.col("metric") == metric, count).otherwise(needed)
-    ordered = Window.partitionBy("metric").orderBy("period")
-    most = max(count for _, _, count, _ in alarms.values())
-    state = filled.withColumn("breaching", breaks).withColumn("_needed", needed).withColumn("_seen", F.row_number().over(ordered))
+    ordered = Window.partitionBy("metric", "chunk").orderBy("period")
+    state = filled.withColumn("breaching", breaks).withColumn("_needed", needed)
     broken = lambda n: F.count_if(F.col("breaching")).over(ordered.rowsBetween(-(n - 1), 0)) == n
     rings = F.lit(False)
     for n in range(1, most + 1):
         rings = F.when(F.col("_needed") == n, broken(n)).otherwise(rings)
-    return state.withColumn("alarm", rings).select("metric", F.timestamp_seconds("period").alias("period_start"), "mean", "breaching", "alarm")
+    found = state.withColumn("alarm", rings).where("period >= begin")
+    return found.select("metric", F.timestamp_seconds(F.col("period") * period_s).alias("period_start"), "mean", "breaching", "alarm")
+
+
+def alarm_tests(alarms: dict[str, tuple[str, float, int, str]]) -> dict[str, tuple[Callable[[float | None], bool], int]]:
+    """Per metric, whether a mean (None: no data) breaks the threshold, and how many periods must."""
+
+    def test(comparison: str, threshold: float, missing: str) -> Callable[[float | None], bool]:
+        def breaks(mean: float | None) -> bool:
+            if mean is None or mean != mean:
+                return missing == "breaching"
+            return mean > threshold if comparison == ">" else mean < threshold
+
+        return breaks
+
+    return {m: (test(comparison, threshold, missing), count) for m, (comparison, threshold, count, missing) in alarms.items()}
 
 
 def latency_summary(durations: DataFrame) -> DataFrame:

@@ -25,8 +25,12 @@ def validate_fields(rows: DataFrame) -> DataFrame:
 
 
 def batch_rows(rows: DataFrame, keys: list[str], axis: str, size: int = INDEX_BATCH) -> DataFrame:
-    """Number rows into batches of ``size`` per key, in order of ``axis``. A key of any size is spread over many tasks."""
-    numbered = ranked(rows, keys, F.col(axis), [F.col(axis)], "_rank")
+    """Number rows into batches of ``size`` per key, in order of ``axis``. A key of any size is spread over many tasks.
+
+    Rows with one value of ``axis`` are put in order by a hash of the row, so that they are spread too.
+    """
+    tie = F.xxhash64(F.to_json(F.struct(*rows.columns)))
+    numbered = ranked(rows, keys, F.col(axis), [F.col(axis), tie], "_rank", tie)
     return numbered.withColumn("batch", F.floor((F.col("_rank") - 1) / size)).drop("_rank")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from code_impact.functions import text
 from code_impact.functions.arrays import sums_before
-from code_impact.functions.ordered import element_at_share, ranked, with_previous
+from code_impact.functions.ordered import element_at_share, ranked, slice_of, with_previous
 from code_impact.functions.paths import glob_to_regex
 from code_impact.operators.manifests import in_range
 
@@ -92,3 +92,18 @@ def test_version_ranges(spark):
     df = spark.createDataFrame(list(cases), "v string, a string")
     found = {(r["v"], r["a"]): r["x"] for r in df.select("v", "a", in_range(F.col("v"), F.col("a")).alias("x")).collect()}
     assert found == cases
+
+
+def test_ordered_with_one_hot_value(spark):
+    """A single axis value is cut along the tie key, and ranks stay exact."""
+    df = spark.range(5000).select(F.lit("k").alias("k"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("at"), (F.col("id") * 7919 % 5003).alias("t"))
+    place = slice_of(df, F.col("at"), F.col("t"))
+    largest = df.groupBy(place.alias("s")).count().agg(F.max("count")).first()[0]
+    assert largest < 200
+    found = ranked(df, ["k"], F.col("at"), [F.col("at"), F.col("t")], "rank", F.col("t")).orderBy("rank").collect()
+    assert [r["rank"] for r in found] == list(range(1, 5001))
+    assert [(r["at"], r["t"]) for r in found] == sorted((r["at"], r["t"]) for r in found)
+    before = with_previous(df, ["k"], F.col("at"), [F.col("at"), F.col("t")], "t", "before", F.col("t")).collect()
+    order = sorted((r["at"], r["t"]) for r in before)
+    last = dict(zip(order, [None, *[t for _, t in order]]))
+    assert all(r["before"] == last[r["at"], r["t"]] for r in before)

@@ -1,5 +1,7 @@
 """Streams give what the batch functions give on the same rows."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from code_impact.operators import events
@@ -47,21 +49,63 @@ def test_partial_failures(spark, folder, tmp_path):
     assert len(retry) + len(accepted) == messages.count() and not retry & accepted
 
 
+def arriving(spark, rows, folder, schema):
+    """A stream of one file per list of rows, in that order."""
+    for n, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(folder / f"{n}"))
+    found = spark.read.parquet(*[str(folder / f"{n}") for n in range(len(rows))])
+    return found, spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(folder))
+
+
 def test_job_transitions(spark, folder, tmp_path):
-    rows = Inputs(spark, folder)["job_events"].withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = source(spark, rows, tmp_path / "in", "event_id")
-    found = drain(jobs.job_transitions(stream, "40 days"), tmp_path, "transitions", "append")
+    """Events arrive out of order by less than the lateness; each is judged against the one before it in time."""
+    at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=minute)
+    rows = [
+        [(2, 1, at(20), "processing"), (1, 1, at(0), "queued"), (11, 2, at(5), "completed")],
+        [(4, 1, at(50), "queued"), (10, 2, at(1), "queued"), (3, 1, at(35), "failed")],
+        [(12, 2, at(70), "queued"), (5, 1, at(60), "completed"), (6, 1, at(61), None)],
+        [(20, 3, at(500), "queued")],
+        [(21, 3, at(2000), "processing")],
+    ]
+    every, stream = arriving(spark, rows, tmp_path / "in", "event_id long, job_id long, ts timestamp, status string")
+    found = drain(jobs.job_transitions(stream, "1 hour"), tmp_path, "transitions", "append")
     columns = ["event_id", "job_id", "previous", "status", "valid", "allowed"]
-    expected = {tuple(r) for r in events.job_transitions(rows).select(columns).collect()}
+    expected = {tuple(r) for r in events.job_transitions(every).select(columns).collect() if r["event_id"] < 21}
     assert {tuple(r) for r in found.select(columns).collect()} == expected
 
 
+def test_alarms(spark, folder, tmp_path):
+    at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=minute)
+    alarms = {"a": (">", 5.0, 2, "breaching"), "b": ("<", 3.0, 2, "ok")}
+    rows = [
+        [(at(6), "a", 9.0), (at(1), "a", 7.0), (at(3), "b", 1.0), (at(7), "b", 2.0)],
+        [(at(2), "a", 4.0), (at(31), "a", 1.0), (at(22), "b", 2.5)],
+        [(at(900), "a", 9.0), (at(905), "b", 1.0)],
+    ]
+    every, stream = arriving(spark, rows, tmp_path / "in", "ts timestamp, metric string, value double")
+    means = jobs.period_mean_stream(stream, list(alarms))
+    means.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "means")).awaitTermination()
+    closed = spark.readStream.schema(means.schema).parquet(str(tmp_path / "means"))
+    found = drain(jobs.alarm_stream(closed, alarms), tmp_path, "alarms", "append")
+    key = lambda r: (r["metric"], r["period_start"], r["mean"], r["breaching"], r["alarm"])
+    closed = {key(r) for r in found.collect()}
+    batch = {key(r) for r in events.metric_alarms(every.where(F.col("ts") < F.lit(at(60))), alarms).collect()}
+    assert closed == batch and any(r[4] for r in closed)
+
+
 def test_dead_letters(spark, folder, tmp_path):
-    rows = Inputs(spark, folder)["message_receives"]
-    stream = source(spark, rows, tmp_path / "in", "message_id")
-    found = drain(jobs.dead_letter_stream(stream), tmp_path, "letters", "update")
+    """Counts carry over batches, and end when the queue has forgotten the message."""
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    rows = [
+        [(1, day(0), "index"), (2, day(0), "process"), (3, day(0), "process"), (5, day(0), "index"), (6, day(0), "other")],
+        [(1, day(1), "index"), (2, day(2), "process"), (2, day(1.5), "process"), (3, day(1), "process")],
+        [(4, day(40), "process")],
+        [(5, day(41), "index"), (4, day(41), "process"), (4, day(42), "process")],
+    ]
+    every, stream = arriving(spark, rows, tmp_path / "in", "message_id long, received_at timestamp, queue string")
+    found = drain(jobs.dead_letter_stream(stream, "3 days"), tmp_path, "letters", "update")
     last = {(r["queue"], r["message_id"]): r["receives"] for r in found.groupBy("queue", "message_id").agg(F.max("receives").alias("receives")).collect()}
-    assert last == {(r["queue"], r["message_id"]): r["receives"] for r in events.dead_letters(rows).collect()}
+    assert last == {(r["queue"], r["message_id"]): r["receives"] for r in events.dead_letters(every).collect() if r["message_id"] != 5}
 
 
 def test_service_metrics(spark, folder, tmp_path):
