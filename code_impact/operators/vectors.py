@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Query vectors sent to the tasks at once. A larger query set is searched in several passes over the collection.
-QUERY_BYTES = 32 << 20
+from code_impact.session import cut_lineage
+
 SPLIT_ABOVE = 1_000_000
 SEMANTIC_WEIGHT = 0.7
 
@@ -47,57 +47,64 @@ def metadata_filter(tree: dict) -> Column:
     return test
 
 
-def _pass(collection: DataFrame, ids: list, matrix: np.ndarray, k: int) -> DataFrame:
-    """The best ``k`` of every record batch for each query, by cosine similarity."""
-    units = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    width = matrix.shape[1]
+_BLOCK = "ids array<long>, width int, vectors binary"
+
+
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Unit vectors packed as (ids, width, vectors): at most ``size`` vectors of one width in a row.
+
+    A vector that is missing, empty or holds a null is like no other and left out.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {}
+
+        def packed(width: int, held: list) -> pa.RecordBatch:
+            matrix = np.array([v for _, v in held], np.float64)
+            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+            ids = pa.array([[i for i, _ in held]], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([ids, pa.array([width], pa.int32()), pa.array([matrix.tobytes()], pa.binary())], names=["ids", "width", "vectors"])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-            norms = np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-            scores = (vectors / norms) @ units.T
-            keys = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            out_q, out_v, out_s = [], [], []
-            for q in range(len(ids)):
-                best = np.lexsort((keys, -scores[:, q]))[:k]
-                out_q += [ids[q]] * len(best)
-                out_v.append(keys[best])
-                out_s.append(scores[best, q])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_v), pa.int64()), pa.array(np.concatenate(out_s), pa.float64())],
-                names=["query_id", "vec_id", "similarity"],
-            )
-
-    fitting = collection.where((F.size("embedding") == width) & F.forall("embedding", lambda e: e.isNotNull()))
-    return fitting.select("vec_id", "embedding").mapInArrow(search, "query_id long, vec_id long, similarity double")
-
-
-def top_k(collection: DataFrame, queries: DataFrame, k: int, where: dict | None = None) -> DataFrame:
+            ids, vectors = batch.column(0).to_pylist(), batch.column(1)
+            for k, id_ in enumerate(ids):
+                vector = vectors[k].values.to_numpy(zero_copy_only=False)
+                held = waiting.setdefault(len(vector), [])
+                held.append((id_, vector))
+                if len(held) == size:
+                    yield packed(len(vector), waiting.pop(len(vector)))
+        for width, held in waiting.items():
+            yield packed(width, held)
+
+    whole = rows.where("embedding IS NOT NULL AND size(embedding) > 0").where(F.forall("embedding", lambda e: e.isNotNull()))
+    return whole.select(F.col(key).cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(pack, _BLOCK)
+
+
+def top_k(collection: DataFrame, queries: DataFrame, k: int, where: dict | None = None, block: int = 1024) -> DataFrame:
     """The ``k`` most similar vectors of each query (``query_id``, ``embedding``); similarity is 1 minus cosine distance.
 
-    Exact: every vector is scored. Only the best ``k`` of a batch leave the task, so the shuffle does not grow with the
-    collection's batches' size. The metadata filter runs before scoring. Queries are fetched in slices of bounded size.
+    Exact: blocks of ``block`` vectors meet each block of queries of the same width, and only the best ``k`` of a pair of
+    blocks leave the task. Blocks of queries are rows of a table: none of them passes the driver, and a large set of queries
+    is shuffled. The metadata filter runs before scoring.
     """
     rows = collection.where(metadata_filter(where)) if where else collection
-    # A vector that is missing or has another width than the queries is like none of them.
-    queries = queries.where("embedding IS NOT NULL AND size(embedding) > 0")
-    rows = rows.where("embedding IS NOT NULL")
-    width = F.size("embedding").cast("bigint") * 8
-    total, widest = queries.agg(F.sum(width), F.max(width)).first()
-    if not total:
-        return rows.sparkSession.createDataFrame([], "query_id long, vec_id long, similarity double, rank int")
-    slices = max(1, -(-total // max(QUERY_BYTES - widest, widest)))
-    found = None
-    for part in range(slices):
-        mine = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == part)
-        fetched = mine.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).collect()
-        if not fetched:
-            continue
-        hits = _pass(rows, [r["query_id"] for r in fetched], np.array([r["embedding"] for r in fetched]), k)
-        found = hits if found is None else found.unionByName(hits)
+    # Stored, so that the optimizer knows the size: few queries are broadcast, many are joined by shuffles split where skewed.
+    asked = cut_lineage(_blocks(queries, "query_id", block).select(F.col("ids").alias("q_ids"), "width", F.col("vectors").alias("q_vectors")))
+    pairs = _blocks(rows, "vec_id", block).join(asked, "width").select("width", "ids", "vectors", "q_ids", "q_vectors")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                width, ids, vectors, q_ids, q_vectors = (c[r].as_py() for c in batch.columns)
+                keys = np.array(ids, np.int64)
+                scores = np.frombuffer(q_vectors).reshape(-1, width) @ np.frombuffer(vectors).reshape(-1, width).T
+                best = [np.lexsort((keys, -row))[:k] for row in scores]
+                found = np.concatenate(best)
+                asked_by = np.repeat(np.array(q_ids, np.int64), [len(b) for b in best])
+                similar = np.concatenate([row[b] for row, b in zip(scores, best)])
+                yield pa.RecordBatch.from_arrays([pa.array(asked_by), pa.array(keys[found]), pa.array(similar)], names=["query_id", "vec_id", "similarity"])
+
+    found = pairs.mapInArrow(search, "query_id long, vec_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -107,13 +107,12 @@ def test_own_errors_keep_their_code(spark):
     assert [(r["code"], r["status"]) for r in found] == [("NOT_FOUND_ERROR", 404), ("GITHUB_API_ERROR", 418), ("AWS_ERROR", 502), ("GITHUB_API_ERROR", 502)]
 
 
-def test_top_k_in_several_passes(spark, monkeypatch):
+def test_top_k_in_blocks(spark):
     rng = np.random.default_rng(3)
     data, asked = rng.normal(size=(400, 8)), rng.normal(size=(9, 8))
     collection = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(5)
     queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "query_id long, embedding array<double>")
-    monkeypatch.setattr(vectors, "QUERY_BYTES", 3 * 64)
-    found = vectors.top_k(collection, queries, 5).collect()
+    found = vectors.top_k(collection, queries, 5, block=4).collect()
     scores = (data / np.linalg.norm(data, axis=1, keepdims=True)) @ (asked / np.linalg.norm(asked, axis=1, keepdims=True)).T
     expected = {(q, int(v)) for q in range(9) for v in np.argsort(-scores[:, q])[:5]}
     assert {(r["query_id"], r["vec_id"]) for r in found} == expected
