@@ -253,10 +253,16 @@ def related_code_once(related: DataFrame) -> DataFrame:
     return rows.withColumn("relevance", relevance)
 
 
-def within_token_budget(related: DataFrame, budget: int, keep: int = 5) -> DataFrame:
-    """The first ``keep`` related files of each pull request while their running size, at 4 characters a token, fits."""
-    keys = ["repository", "pr_number"]
-    order = Window.partitionBy(*keys).orderBy("rank")
-    first = related.where(F.col("rank") <= keep).withColumn("tokens", F.length("content") / F.lit(4))
-    running = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return first.withColumn("running_tokens", running).where(F.col("running_tokens") <= budget)
+def within_token_budget(related: DataFrame, budget: int, keep: int) -> DataFrame:
+    """Related files of each pull request (``rank``, ``length`` of the content) with ``kept_chars``, at 4 characters a token.
+
+    All files stay whole where they fit together. Where they do not, the first ``keep`` stay and the content of the one that
+    passes the budget is cut; those behind it have no room. Only lengths are read: a caller cuts the content of the rows given.
+    """
+    every = Window.partitionBy("repository", "pr_number")
+    earlier = every.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    most = budget * 4
+    sized = related.withColumn("_fits", F.sum("length").over(every) <= most).withColumn("_before", F.coalesce(F.sum("length").over(earlier), F.lit(0)))
+    kept = F.when(F.col("_fits"), F.col("length")).otherwise(F.least(F.col("length"), most - F.col("_before")))
+    room = F.col("_fits") | ((F.col("rank") <= keep) & (F.col("_before") < most))
+    return sized.where(room).withColumn("kept_chars", kept.cast("bigint")).drop("_fits", "_before")

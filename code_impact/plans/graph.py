@@ -179,16 +179,18 @@ def related_files_ranked(t):
       UNION ALL SELECT p.repository, p.pr_number, r.path, 0.7 FROM p JOIN r ON r.repository = p.repository AND r.start = p.filename),
     m AS (SELECT repository, pr_number, path, max({WEIGHT} * f::DOUBLE) AS priority FROM c GROUP BY 1, 2, 3),
     k AS (SELECT *, row_number() OVER (PARTITION BY repository, pr_number ORDER BY round(priority, 9) DESC, path) AS rank FROM m),
-    b AS (SELECT k.repository, k.pr_number, k.path, k.rank, sum(length(f.content) / 4.0) OVER (PARTITION BY k.repository, k.pr_number ORDER BY k.rank) AS running
-      FROM k JOIN layered_files f ON f.repository = k.repository AND f.path = k.path WHERE k.rank <= 5)
-    SELECT repository, pr_number, path, rank, running::DOUBLE AS running_tokens FROM b WHERE running <= 40""",
+    b AS (SELECT k.repository, k.pr_number, k.path, k.rank, length(f.content) AS n
+      FROM k JOIN layered_files f ON f.repository = k.repository AND f.path = k.path WHERE k.rank <= 10),
+    w AS (SELECT *, sum(n) OVER (PARTITION BY repository, pr_number) AS total,
+      coalesce(sum(n) OVER (PARTITION BY repository, pr_number ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+    SELECT repository, pr_number, path, rank, (CASE WHEN total <= 160 THEN n ELSE least(n, 160 - before) END)::BIGINT AS kept_chars
+    FROM w WHERE total <= 160 OR (rank <= 5 AND before < 160)""",
 )
 def context_budget(t):
-    found = graph.related_files(t.index("layered_files"), t["layered_changes"]).where(F.col("rank") <= 5)
-    sized = found.join(t["layered_files"], ["repository", "path"])
-    return graph.within_token_budget(sized, 40).select(
-        "repository", "pr_number", "path", F.col("rank").cast("bigint").alias("rank"), "running_tokens"
-    )
+    found = graph.related_files(t.index("layered_files"), t["layered_changes"])
+    lengths = t["layered_files"].select("repository", "path", F.length("content").alias("length"))
+    kept = graph.within_token_budget(found.join(lengths, ["repository", "path"]), 40, keep=5)
+    return kept.select("repository", "pr_number", "path", F.col("rank").cast("bigint").alias("rank"), "kept_chars")
 
 
 @query(
