@@ -11,6 +11,7 @@ from code_impact.functions.arrays import each, with_once
 from code_impact.operators import java
 from code_impact.operators.files import language_stats, with_language
 from code_impact.operators.strategies import STRATEGIES
+from code_impact.session import cut_lineage
 
 
 def extract_types(files: DataFrame) -> DataFrame:
@@ -24,13 +25,18 @@ def extract_errors(files: DataFrame) -> DataFrame:
     return files.where(F.col("content").isNull()).select("repository", "path", F.lit("unreadable content").alias("error"))
 
 
+def indexed_files(files: DataFrame) -> DataFrame:
+    """Files of a language with a strategy and with readable content, with ``language`` and ``content_hash``."""
+    known = with_language(files).where(F.col("language").isin(list(STRATEGIES)) & F.col("content").isNotNull())
+    return known.withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
+
+
 def merge_files(files: DataFrame, types: DataFrame) -> DataFrame:
     """One row per indexed file with the names of its classes in order."""
     names = types.groupBy("repository", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("_names"))
-    known = with_language(files).where(F.col("language").isin(list(STRATEGIES)) & F.col("content").isNotNull())
     size = F.col("size") if "size" in files.columns else F.octet_length("content")
     modified = F.col("last_modified") if "last_modified" in files.columns else F.lit(None).cast("timestamp")
-    meta = known.select("repository", "path", "language", size.cast("bigint").alias("size"), modified.alias("last_modified"))
+    meta = indexed_files(files).select("repository", "path", "language", size.cast("bigint").alias("size"), modified.alias("last_modified"), "content_hash")
     listed = F.coalesce(F.transform("_names", lambda n: n["name"]), F.array().cast("array<string>"))
     return meta.join(names, ["repository", "path"], "left").withColumn("classes", listed).drop("_names")
 
@@ -75,19 +81,26 @@ def index_stats(index: dict[str, DataFrame]) -> DataFrame:
     return joined.na.fill(0, ["total_files", "total_classes", "total_dependencies"])
 
 
-def file_changes_between(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(repository, path, change) with change in added, changed, deleted. Only hashes are joined, not content."""
-    digest = lambda df, name: df.select("repository", "path", F.sha2(F.col("content"), 256).alias(name))
-    both = digest(old, "_old").join(digest(new, "_new"), ["repository", "path"], "full")
+def file_changes_since(indexed: DataFrame, new: DataFrame) -> DataFrame:
+    """(repository, path, change) with change in added, changed, deleted, against the hashes stored with an index.
+
+    Only the new contents are hashed, and only hashes are joined. A file indexed without a hash counts as changed.
+    """
+    was = indexed.select("repository", "path", F.col("content_hash").alias("_old"), F.lit(True).alias("_was"))
+    now = indexed_files(new).select("repository", "path", F.col("content_hash").alias("_new"))
     change = (
-        F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").when(F.col("_old") != F.col("_new"), "changed")
+        F.when(F.col("_was").isNull(), "added").when(F.col("_new").isNull(), "deleted").when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
     )
-    return both.select("repository", "path", change.alias("change")).where(F.col("change").isNotNull())
+    return was.join(now, ["repository", "path"], "full").select("repository", "path", change.alias("change")).where("change IS NOT NULL")
+
 
+def incremental_types(old_types: DataFrame, indexed: DataFrame, new: DataFrame) -> DataFrame:
+    """Classes after re-extracting only the files that were added or changed since the index (its ``files`` table).
 
-def incremental_types(old_types: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """Classes after re-extracting only the files that were added or changed."""
-    changed = file_changes_between(old, new)
+    The changed keys are stored first: the optimizer then knows their size, and broadcasts few of them over the scan of
+    contents instead of shuffling it.
+    """
+    changed = cut_lineage(file_changes_since(indexed, new))
     keys = ["repository", "path"]
     fresh = new.join(changed.where(F.col("change") != "deleted").select(keys), keys, "left_semi")
     return old_types.join(changed.select(keys), keys, "left_anti").unionByName(extract_types(fresh))

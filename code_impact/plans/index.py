@@ -136,7 +136,7 @@ def stage_artifacts(t):
     CASE WHEN p_partkey % 6 = 1 THEN '' ELSE 'C' || (p_partkey % 50) || ',I' || p_size END AS dependencies FROM part WHERE p_partkey % 11 <> 0""",
 )
 def incremental_index(t):
-    fresh = ops.incremental_types(t.types("code_files"), t["code_files"], t["code_files_next"])
+    fresh = ops.incremental_types(t.types("code_files"), t.index("code_files")["files"], t["code_files_next"])
     return ops.merge_classes(fresh).select(
         "repository", "name", F.array_join(F.transform("methods", lambda m: m["signature"]), ",").alias("methods"),
         F.array_join("dependencies", ",").alias("dependencies"),

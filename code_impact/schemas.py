@@ -6,7 +6,7 @@ METHOD = (
 )
 
 INDEX_TABLES = {
-    "files": "path string, language string, size bigint, last_modified timestamp, classes array<string>, repository string",
+    "files": "path string, language string, size bigint, last_modified timestamp, content_hash string, classes array<string>, repository string",
     "classes": "name string, path string, package string, kind string, dependencies array<string>, repository string",
     "methods": f"class string, method_no int, {METHOD}, repository string",
     "edges": "src string, dst string, type string, file string, line int, usage array<string>, repository string",

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from code_impact.operators import events, patch, review, vectors
+from code_impact.operators import events, index, patch, review, vectors
 from code_impact.operators.index import build_index, index_stats
 from code_impact.sources.code_files import scan_code_files
 from code_impact.sources.store import IndexStore, stage_artifacts
@@ -142,3 +143,16 @@ def test_odd_inputs(spark):
     collection = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0])], "vec_id long, embedding array<float>")
     asked = spark.createDataFrame([(7, [1.0, 0.1]), (8, None)], "query_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in vectors.top_k(collection, asked, 3).collect()] == [(7, 1)]
+
+
+def test_incremental_index(spark):
+    """Only files whose content differs from the stored hash are read again; a hash that is missing counts as different."""
+    schema = "repository string, path string, content string"
+    old = [("r", f"{n}.java", f"public class {n} {{ }}") for n in "ABCD"]
+    new = [old[0], ("r", "B.java", "public class B2 { }"), old[3], ("r", "E.java", "public class E { }"), ("r", "x.md", "text")]
+    before, after = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+    files = index.build_index(before)["files"].withColumn("content_hash", F.when(F.col("path") != "D.java", F.col("content_hash")))
+    changes = {(r["path"], r["change"]) for r in index.file_changes_since(files, after).collect()}
+    assert changes == {("B.java", "changed"), ("C.java", "deleted"), ("D.java", "changed"), ("E.java", "added")}
+    found = index.incremental_types(index.extract_types(before), files, after)
+    assert {(r["path"], r["name"]) for r in found.collect()} == {("A.java", "A"), ("B.java", "B2"), ("D.java", "D"), ("E.java", "E")}
