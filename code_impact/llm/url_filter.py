@@ -37,19 +37,18 @@ def _slots(path: Column, depth: int) -> Column:
     return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
 
 
-def templates(counts: DataFrame, depth: int, least_share: float, least_pages: int) -> DataFrame:
-    """Add ``template`` to counts (host, slots, n, labelled, bad): from the root down, the rare children of a node become '*'.
+def templates(counts: DataFrame, depth: int, least_pages: int, least_labels: int) -> DataFrame:
+    """Add ``template`` to counts (host, slots, n, labelled, bad): from the root down, children with few pages and few labels become '*'.
 
-    A child stays literal if it has ``least_pages`` pages and ``least_share`` of its node's, so a node keeps at most
-    1 / ``least_share`` children. Works on rows per host and path shape, not on pages.
+    A child stays literal if it has ``least_pages`` pages or ``least_labels`` labels, whatever its share of its node; whether
+    its sisters are alike is left to the test on labels. Works on rows per host and path shape, not on pages.
     """
     rows = counts.withColumn("template", F.lit(""))
     for level in range(depth + 1):
         slot = F.get("slots", F.lit(level))
         rows = rows.withColumn("slot", slot)
-        children = rows.where("slot IS NOT NULL").groupBy("host", "template", "slot").agg(F.sum("n").alias("own"))
-        nodes = children.groupBy("host", "template").agg(F.sum("own").alias("all"))
-        kept = children.join(nodes, ["host", "template"]).where((F.col("own") >= least_pages) & (F.col("own") >= least_share * F.col("all")))
+        children = rows.where("slot IS NOT NULL").groupBy("host", "template", "slot").agg(F.sum("n").alias("own"), F.sum("labelled").alias("known"))
+        kept = children.where((F.col("own") >= least_pages) | (F.col("known") >= least_labels))
         kept = kept.select("host", "template", "slot", F.lit(True).alias("literal"))
         rows = rows.join(kept, ["host", "template", "slot"], "left")
         name = F.when(F.coalesce("literal", F.lit(False)), F.col("slot")).otherwise(F.lit("*"))
@@ -72,13 +71,16 @@ def judged(rows: DataFrame, z: float, weight: float, threshold: float) -> DataFr
     hosts = leaves.groupBy("host").agg(((F.sum("bad") + weight * prior) / (F.sum("labelled") + weight)).alias("host_share"))
     leaves = leaves.join(hosts, "host").withColumn("share", (F.col("bad") + weight * F.col("host_share")) / (F.col("labelled") + weight))
     leaves = leaves.withColumn("parent", F.regexp_replace("template", r"/[^/*]+((?:/\*[^/]*|/)*)$", r"/?$1"))
-    # At most 1 / least_share literals for each place of a template.
-    order = Window.partitionBy("host", "parent").orderBy("share", "template")
+    # Sisters with the same counts have the same share: one row for all of them, so a node of many sisters stays a short window.
+    alike = ["host", "parent", "labelled", "bad"]
+    kinds = leaves.groupBy(*alike).agg(F.first("share").alias("share"))
+    order = Window.partitionBy("host", "parent").orderBy("share", "labelled", "bad")
     size, before, count = F.col("labelled") + weight, F.lag("share").over(order), F.lag(F.col("labelled") + weight).over(order)
     pooled = (F.col("share") * size + before * count) / (size + count)
     differs = F.abs(F.col("share") - before) >= z * F.sqrt(pooled * (1 - pooled) * (1 / size + 1 / count))
-    leaves = leaves.withColumn("step", F.coalesce((differs & (F.abs(F.col("share") - before) > 0)).cast("int"), F.lit(0)))
-    leaves = leaves.withColumn("merged", F.concat_ws(" ", "parent", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("string")))
+    kinds = kinds.withColumn("step", F.coalesce((differs & (F.abs(F.col("share") - before) > 0)).cast("int"), F.lit(0)))
+    merged = F.concat_ws(" ", "parent", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("string"))
+    leaves = leaves.join(kinds.select(*alike, merged.alias("merged")), alike)
     groups = leaves.groupBy("host", "merged").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.first("host_share").alias("host_share"))
     purity = 1 - (F.col("bad") + weight * F.col("host_share")) / (F.col("labelled") + weight)
     groups = groups.select("host", "merged", purity.alias("purity"), F.when(1 - purity >= threshold, "block").otherwise("allow").alias("judgement"))
@@ -92,8 +94,8 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     depth: int = 6,
-    least_share: float = 0.05,
     least_pages: int = 20,
+    least_labels: int = 10,
     z: float = 1.64,
     weight: float = 10.0,
     threshold: float = 0.5,
@@ -114,7 +116,7 @@ def filter_urls(
         .groupBy("host", "slots")
         .agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     )
-    shapes = templates(cut_lineage(counts), depth, least_share, least_pages)
+    shapes = templates(cut_lineage(counts), depth, least_pages, least_labels)
     verdicts = judged(shapes, z, weight, threshold)
     known_shapes = cut_lineage(shapes.select("host", "slots", "template").join(verdicts, ["host", "template"]))
     found = urls.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).join(known_shapes, ["host", "slots"], "left")

@@ -181,6 +181,18 @@ def test_rules_and_templates(spark):
     assert url_filter.filter_urls(pages, labels.limit(0), RULES).count() == pages.count()
 
 
+def test_small_sections_keep_their_verdict(spark):
+    # 26 equal sections, one of them bad, and a section with labels but few pages beside them.
+    sections = [(1000 * k + i, f"http://wide.org/{chr(97 + k) * 3}/{i}") for k in range(26) for i in range(40)]
+    few = [(90_000 + i, f"http://wide.org/few/{i}") for i in range(12)]
+    rare = [(91_000 + i, f"http://wide.org/once{chr(97 + i)}/{i}") for i in range(26)]
+    pages = spark.createDataFrame(sections + few + rare, "page_id long, url string")
+    labels = spark.createDataFrame([(p, int(p // 1000 in (7, 90))) for p, _ in sections + few], "page_id long, bad int")
+    rows = url_filter.filter_urls(pages, labels, []).collect()
+    assert {r.page_id // 1000 for r in rows if r.verdict == "block"} == {7, 90}
+    assert {r.template for r in rows} == {f"/{chr(97 + k) * 3}/*" for k in range(26)} | {"/few/*", "/*/*"}
+
+
 # Line dedup
 
 
