@@ -61,11 +61,12 @@ def rule_samples(found: DataFrame) -> DataFrame:
 def train_ratio(samples: DataFrame, smoothing: float = 0.5, backoff: float = 8.0, uniform: float = 0.5) -> list[float]:
     """Log ratio of each transition's probability in secret and in ordinary strings, from labelled samples (value, secret).
 
-    Characters outside the alphabet and null values are left out. Transitions are counted over all samples; only the counts of
-    the alphabet's pairs go to the driver. Without samples of a class all its transitions are as likely. The model of secrets
+    Characters outside the alphabet and null values are left out. Transitions are counted over all distinct samples, so that a
+    string weighs once however often it is copied; only the counts of the alphabet's pairs go to the driver. Without samples of a class all its transitions are as likely. The model of secrets
     is mixed with ``uniform`` parts of a uniform one, so that random strings need not use the letters of those in the samples.
     """
-    begun = samples.where("value IS NOT NULL AND secret IN (0, 1)").select("secret", F.concat(F.lit("^"), "value").alias("v"))
+    once = samples.where("value IS NOT NULL AND secret IN (0, 1)").select("value", "secret").distinct()
+    begun = once.select("secret", F.concat(F.lit("^"), "value").alias("v"))
     pairs = begun.select("secret", F.explode(F.sequence(F.lit(1), F.length("v") - 1)).alias("k"), "v").select("secret", F.substring("v", F.col("k"), 2).alias("pair"))
     size = len(ALPHABET) + 1
     number = {c: k + 1 for k, c in enumerate(ALPHABET)} | {"^": 0}

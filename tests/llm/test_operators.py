@@ -269,6 +269,21 @@ def test_secret_spans(spark):
     assert collections.Counter((r.doc_id, tuple(tuple(s) for s in r.spans if s.kind_no < 3)) for r in alone) == expected
 
 
+def test_copies_of_a_key_do_not_hide_it(spark):
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = "zQ8x/7Lk+Pw3vT9mYb2RcN5jHs4DfG6a"
+    rows = [(k, "token=" + "".join(rng.choices(letters, k=32))) for k in range(200)]
+    # Ordinary strings use every letter, each before the next one of the alphabet.
+    rows += [(1000 + k, (letters * 2)[k % 64 : k % 64 + 20 + k // 64]) for k in range(1500)]
+    once = secrets.find_secrets(documents(spark, [*rows, (5000, f"key {key} here")])).collect()
+    often = secrets.find_secrets(documents(spark, [*rows, *[(5000 + k, f"key {key} here") for k in range(2000)]])).collect()
+    assert {r.doc_id for r in often if (4, 3, 36) in [tuple(s) for s in r.spans]} == set(range(5000, 7000))
+    # The other documents have the same spans with one copy and with 2,000.
+    plain = lambda made: {r.doc_id: r.spans for r in made if r.doc_id <= 5000}
+    assert plain(once) == plain(often)
+
+
 # WARC
 
 
