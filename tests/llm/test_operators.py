@@ -193,6 +193,18 @@ def test_small_sections_keep_their_verdict(spark):
     assert {r.template for r in rows} == {f"/{chr(97 + k) * 3}/*" for k in range(26)} | {"/few/*", "/*/*"}
 
 
+def test_unlike_and_deep_sections_part(spark):
+    # Seven sections of 100 labels, 20 to 80 of them bad, and two that differ below the eighth level alone.
+    steps = [(1000 * k + i, f"http://steps.org/{chr(97 + k) * 3}/{i}", int(i < 10 * k)) for k in range(2, 9) for i in range(100)]
+    deep = [(20_000 + i, "http://deep.org/a/b/c/d/e/f/g/h/" + ("bad" if i % 2 else "good") + f"/{i}", i % 2) for i in range(100)]
+    pages = spark.createDataFrame([r[:2] for r in steps + deep], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in steps + deep], "page_id long, bad int")
+    found = {r.page_id: r for r in url_filter.filter_urls(pages, labels, []).collect()}
+    assert [found[1000 * k].verdict for k in (2, 8)] == ["allow", "block"]
+    assert {found[r[0]].verdict == ("block" if r[2] else "allow") for r in deep} == {True}
+    assert found[20_000].template == "/a/b/c/d/e/f/g/h/good/*"
+
+
 # Line dedup
 
 
