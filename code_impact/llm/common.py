@@ -5,23 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from code_impact.session import apply_runtime_conf
+from code_impact.session import apply_runtime_conf, cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # For bytes.translate: A-Z to a-z, everything else (also inside UTF-8 sequences) unchanged.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
+# Bytes of an Arrow batch, as Spark counts them, after which a new one begins.
+BATCH_BYTES = 16 << 20
 # Stands for a missing id where ids are compared: such rows come after all others.
 NO_ID = 2**63 - 1
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings of this package: skewed joins are split, and Arrow batches stay small whatever the length of a text."""
+    """Session settings of this package: skewed joins are split, and Arrow batches are cut by rows and by bytes.
+
+    A batch ends with the row that takes it over ``BATCH_BYTES``, so it holds at most that and one text.
+    """
     apply_runtime_conf(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +43,38 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def byte_runs(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """Index ranges (from, to) of runs of texts with at most ``most`` bytes together; a longer text is a run of its own."""
+    first = held = 0
+    for k, text in enumerate(texts):
+        if k > first and held + len(text) > most:
+            yield first, k
+            first, held = k, 0
+        held += len(text)
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, rows_each: int = 1_000_000) -> DataFrame:
+    """Add ``name``: the place of each row, from 0, in the order of all rows. ``df`` should be a stored table.
+
+    Rows are dealt to sorted ranges, equal rows too, so no range depends on how often a value stands. A row's place is its
+    place in its range and the sizes of the ranges before. One shuffle; equal rows may swap places.
+    """
+    ranges = max(parts(df.sparkSession), -(-df.count() // rows_each))
+    tie = F.monotonically_increasing_id()
+    dealt = df.withColumn("__tie", tie).repartitionByRange(ranges, *order, F.col("__tie")).sortWithinPartitions(*order, "__tie").drop("__tie")
+    # The upper bits are the number of the range, the lower 33 the row's place in it.
+    dealt = cut_lineage(dealt.withColumn("__at", F.monotonically_increasing_id()))
+    own = F.shiftright("__at", 33)
+    counts = dealt.groupBy(own.alias("__range")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range.
+    starts = counts.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    joined = dealt.withColumn("__range", own).join(F.broadcast(starts), "__range")
+    return joined.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__range", "__start")
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch that has rows."""
 

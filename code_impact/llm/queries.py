@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from code_impact.llm import decontaminate, line_dedup, ngram_join, packing, quality, secrets, toxicity, url_filter, vector_neardup, warc
+from code_impact.llm import decontaminate, fim, importance, line_dedup, mixing, ngram_join, packing, quality, secrets, toxicity, url_filter, vector_neardup, warc
 from code_impact.llm.common import table
 from code_impact.session import scratch_path
 
@@ -140,3 +140,54 @@ def op3_url_filter(spark, folder):
     shown = pages.select("page_id", number.try_cast("long").alias("doc_id"))
     marks = table(spark, folder, "labels").select("doc_id", F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
     return url_filter.filter_urls(pages, shown.join(marks, "doc_id").select("page_id", "bad"), URL_RULES)
+
+
+@query(
+    "op11_importance",
+    f"""WITH RECURSIVE t(n, crc, k) AS (SELECT range::BIGINT, range::BIGINT, 0 FROM range(256) UNION ALL
+        SELECT n, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384::BIGINT) ELSE crc >> 1 END, k + 1 FROM t WHERE k < 8),
+    c AS (SELECT list(crc ORDER BY n) AS step FROM t WHERE k = 8),
+    d AS (SELECT doc_id, {PARTED.format("coalesce(text, '')")} AS ws FROM documents),
+    b AS (SELECT {PARTED.format("coalesce(text, '')")} AS ws FROM benchmark),
+    dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY doc_id, w),
+    bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY w),
+    v AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen(w), 2), lambda i: ('0x' || substr(hex(encode(w)), i, 2))::BIGINT)),
+        lambda crc, x: xor(crc >> 8, step[(xor(crc, x) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM (SELECT w FROM dw UNION SELECT w FROM bw) CROSS JOIN c),
+    s AS (SELECT bucket, sum(n) AS n FROM dw JOIN v USING (w) GROUP BY bucket),
+    g AS (SELECT bucket, sum(n) AS n FROM bw JOIN v USING (w) GROUP BY bucket),
+    a AS (SELECT coalesce((SELECT sum(n) FROM s), 0) AS s, coalesce((SELECT sum(n) FROM g), 0) AS t),
+    gain AS (SELECT r.range AS bucket, floor(1000 * ln((coalesce(g.n, 0) + 1) * (a.s + 10000) / ((coalesce(s.n, 0) + 1) * (a.t + 10000))))::BIGINT AS x
+        FROM range(10000) r CROSS JOIN a LEFT JOIN s ON s.bucket = r.range LEFT JOIN g ON g.bucket = r.range),
+    m AS (SELECT doc_id, floor(sum(n * x) / sum(n))::BIGINT AS weight FROM dw JOIN v USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+    o AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m USING (doc_id)),
+    p AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM o)
+    SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= (SELECT count(*) FROM p WHERE able) * 10 // 100 THEN place END AS rank FROM p""",
+)
+def op11_importance(spark, folder):
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(
+    "op12_fim",
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+    n AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+        ('0x' || substr(h, 17, 8))::BIGINT % 100 AS c, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS o FROM d),
+    p AS (SELECT doc_id, t, n, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 100 THEN 'plain' WHEN o < 50 THEN 'spm' ELSE 'psm' END AS form FROM n)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(t) AS restored_sha256 FROM p""",
+)
+def op12_fim(spark, folder):
+    made = fim.fill_in_middle(table(spark, folder, "documents"))
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    shas = [sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *shas)
+
+
+@query("op13_mixing")
+def op13_mixing(spark, folder):
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")

@@ -25,7 +25,7 @@ def test_query(spark, folder, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_one_row_each(spark, folder, name):
     df = QUERIES[name](spark, folder)
-    source = {"op1": "documents", "op2": "documents", "op3": "pages", "op4": "documents", "op6": "documents", "op8": "embeddings", "op9": "documents"}[name.split("_")[0]]
+    source = {"op1": "documents", "op2": "documents", "op3": "pages", "op4": "documents", "op6": "documents", "op8": "embeddings", "op9": "documents", "op13": "documents"}[name.split("_")[0]]
     rows = df.where("start = 0") if name.startswith("op1_") else df
     assert rows.count() == spark.read.parquet(f"{folder}/{source}.parquet").count()
 
