@@ -43,6 +43,14 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or with underscores in front if a column of the frames has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def byte_runs(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """Index ranges (from, to) of runs of texts with at most ``most`` bytes together; a longer text is a run of its own."""
     first = held = 0
@@ -62,17 +70,17 @@ def numbered(df: DataFrame, order: list[Column], name: str, rows_each: int = 1_0
     place in its range and the sizes of the ranges before. One shuffle; equal rows may swap places.
     """
     ranges = max(parts(df.sparkSession), -(-df.count() // rows_each))
-    tie = F.monotonically_increasing_id()
-    dealt = df.withColumn("__tie", tie).repartitionByRange(ranges, *order, F.col("__tie")).sortWithinPartitions(*order, "__tie").drop("__tie")
+    tie, at, range_, start = (unused(c, df) for c in ("tie", "at", "range", "start"))
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(ranges, *order, F.col(tie)).sortWithinPartitions(*order, tie).drop(tie)
     # The upper bits are the number of the range, the lower 33 the row's place in it.
-    dealt = cut_lineage(dealt.withColumn("__at", F.monotonically_increasing_id()))
-    own = F.shiftright("__at", 33)
-    counts = dealt.groupBy(own.alias("__range")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = cut_lineage(dealt.withColumn(at, F.monotonically_increasing_id()))
+    own = F.shiftright(at, 33)
+    counts = dealt.groupBy(own.alias(range_)).agg(F.count("*").alias("n"))
+    before = Window.orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)
     # One row for each range.
-    starts = counts.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    joined = dealt.withColumn("__range", own).join(F.broadcast(starts), "__range")
-    return joined.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__range", "__start")
+    starts = counts.select(range_, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    joined = dealt.withColumn(range_, own).join(F.broadcast(starts), range_)
+    return joined.select(*df.columns, (F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1)).alias(name))
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from code_impact.functions.arrays import with_once
-from code_impact.llm.common import lower_ascii
+from code_impact.llm.common import lower_ascii, unused
 from code_impact.session import cut_lineage
 
 # Everything in ASCII but digits and letters parts words. Letters are put in lower case later, word by word.
@@ -104,5 +104,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 10) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark window."""
     hits = window_hits(keyed(docs, id_col, text_col), cut_lineage(item_windows(benchmark, width=width)))
-    hits = hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash")), "left_anti")
+    id_, hash_ = unused("id", docs), unused("hash", docs)
+    hits = hits.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return docs.join(hits, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(hash_)), "left_anti")

@@ -6,11 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from code_impact.llm.common import ASCII_LOWER, map_batches, parts
+from code_impact.llm.common import ASCII_LOWER, byte_runs, map_batches, parts, unused
 from code_impact.llm.components import components
 from code_impact.session import cut_lineage
 
@@ -66,10 +67,11 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return found
 
 
-def _sets(batch: pa.RecordBatch, width: int, step: int = 64) -> Iterator[np.ndarray]:
-    texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-    for k in range(0, len(texts), step):
-        yield from shingle_sets(texts[k : k + step], width)
+def _sets(batch: pa.RecordBatch, width: int, most: int = 2 << 20) -> Iterator[np.ndarray]:
+    """Sets of the texts of a batch, taken in runs of at most ``most`` bytes; a longer text is taken alone."""
+    texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    for lo, hi in byte_runs(texts, most):
+        yield from shingle_sets(texts[lo:hi], width)
 
 
 def _name(shingles: np.ndarray) -> int:
@@ -89,9 +91,10 @@ def shingle_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _incidence(docs: DataFrame, text_col: str, width: int, blocks: int, held: int = 2_000_000) -> DataFrame:
-    """(block, entries, names, sizes): the incidence matrix, cut into column blocks by the leading bits of the hash.
+    """(block, tops, entries, names, sizes): the incidence matrix, cut into column blocks by the leading bits of the hash.
 
-    An entry is the lower 48 bits of the hash and the 16-bit place of its document in ``names``. Equal sets met together count once.
+    An entry is the lower 48 bits of the hash and the 16-bit place of its document in ``names``. Entries are in order of the whole
+    hash; ``tops`` holds how many follow one another with the same upper 16 bits, and these bits. Equal sets met together count once.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,14 +109,16 @@ def _incidence(docs: DataFrame, text_col: str, width: int, blocks: int, held: in
             hashes, owner = hashes[order], owner[order]
             block = ((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
             cuts = np.flatnonzero(np.diff(block, prepend=block[0] + np.uint64(1)))
-            rows: tuple[list, ...] = ([], [], [], [])
+            top = (hashes >> np.uint64(48)).astype(np.uint32)
+            rows: tuple[list, ...] = ([], [], [], [], [])
             for lo, hi in zip(cuts, np.append(cuts[1:], len(block)), strict=True):
                 used, place = np.unique(owner[lo:hi], return_inverse=True)
                 entries = (hashes[lo:hi] << np.uint64(16)) | place.astype(np.uint64)
-                for column, value in zip(rows, (int(block[lo]), entries.tobytes(), names[used].tobytes(), sizes[used].tobytes()), strict=True):
+                tops = np.stack(np.unique(top[lo:hi], return_counts=True)).astype(np.uint32)
+                for column, value in zip(rows, (int(block[lo]), tops.tobytes(), entries.tobytes(), names[used].tobytes(), sizes[used].tobytes()), strict=True):
                     column.append(value)
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["block", "entries", "names", "sizes"])
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["block", "tops", "entries", "names", "sizes"])
 
         total = 0
         for batch in batches:
@@ -128,16 +133,17 @@ def _incidence(docs: DataFrame, text_col: str, width: int, blocks: int, held: in
         if sets:
             yield flush()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(cut, "block int, entries binary, names binary, sizes binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(cut, "block int, tops binary, entries binary, names binary, sizes binary")
 
 
 def _shared(block: pa.Table, targets: int) -> pa.Table:
     """Entries of a column block whose n-gram more than one set has, dealt to rows by the set they belong to."""
     keys, names, sizes = [], [], []
-    for entries, own, size in zip(*(block.column(c).to_pylist() for c in ("entries", "names", "sizes")), strict=True):
+    for tops, entries, own, size in zip(*(block.column(c).to_pylist() for c in ("tops", "entries", "names", "sizes")), strict=True):
         e = np.frombuffer(entries, np.uint64)
         place = (e & np.uint64(0xFFFF)).astype(np.int64)
-        keys.append(e >> np.uint64(16))
+        top, times = np.frombuffer(tops, np.uint32).reshape(2, -1)
+        keys.append((np.repeat(top.astype(np.uint64), times) << np.uint64(48)) | (e >> np.uint64(16)))
         names.append(np.frombuffer(own, np.int64)[place])
         sizes.append(np.frombuffer(size, np.int32)[place])
     key, name, size = np.concatenate(keys), np.concatenate(names), np.concatenate(sizes)
@@ -151,9 +157,9 @@ def _shared(block: pa.Table, targets: int) -> pa.Table:
     df = np.repeat(count, count)
     common = df > 1
     key, name, size = key[common], name[common], size[common]
-    # How common an n-gram is, in steps of half a power of two, and its 64-bit number: the order of the columns.
+    # How common an n-gram is, in steps of half a power of two, and its 64-bit hash: the order of the columns.
     rank = np.floor(2 * np.log2(np.maximum(df[common], 1))).astype(np.uint8)
-    column = key | (np.uint64(int(block.column("block")[0].as_py()) & 0xFFFF) << np.uint64(48))
+    column = key
     to = (name.view(np.uint64) % np.uint64(targets)).astype(np.int64)
     order = np.lexsort((name, to))
     to, name, size, rank, column = to[order], name[order], size[order], rank[order], column[order]
@@ -204,12 +210,13 @@ def overlaps(columns: list[np.ndarray], width: int = 4096) -> np.ndarray:
     row, place = row[kept], number[place[kept]]
     order = np.argsort(place, kind="stable")
     row, place = row[order], place[order]
-    total = np.zeros((len(columns), len(columns)), np.float32)
+    # A product of 4,096 columns is exact in single precision, their sum is kept in whole numbers.
+    total = np.zeros((len(columns), len(columns)), np.int64)
     for lo in range(0, int(often.sum()), width):
         a, b = np.searchsorted(place, [lo, lo + width])
         dense = np.zeros((len(columns), width), np.float32)
         dense[row[a:b], place[a:b] - lo] = 1
-        total += dense @ dense.T
+        total += (dense @ dense.T).astype(np.int64)
     return total
 
 
@@ -217,7 +224,7 @@ def _links(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[
     """A spanning forest of the links among rows (name, n, columns): at most one edge per row."""
     name = np.array([r[0] for r in rows], np.int64)
     n = np.array([r[1] for r in rows], np.int64)
-    common = overlaps([r[2] for r in rows]).astype(np.int64)
+    common = overlaps([r[2] for r in rows])
     link = 100 * common >= percent * (n[:, None] + n[None, :] - common)
     np.fill_diagonal(link, True)
     label = np.arange(len(rows))
@@ -244,7 +251,7 @@ def _product(members: DataFrame, percent: int, groups: int) -> DataFrame:
     return dealt.groupBy("group").applyInArrow(multiply, "a long, b long")
 
 
-def linked_sets(docs: DataFrame, text_col: str = "text", width: int = 5, percent: int = 75, block_rows: int = 512, leaders: int = 16) -> DataFrame:
+def linked_sets(docs: DataFrame, shingles: int, text_col: str = "text", width: int = 5, percent: int = 75, block_rows: int = 512, leaders: int = 16, entries: int = 4_000_000, product_bytes: int = 32 << 20) -> DataFrame:
     """(node, root) over the names of the sets that have a link, where 100 * common >= ``percent`` * union.
 
     1. The incidence matrix is cut into column blocks; in each block n-grams of one set only are dropped.
@@ -254,8 +261,11 @@ def linked_sets(docs: DataFrame, text_col: str = "text", width: int = 5, percent
        linked pairs become components. What remains in different components of a larger cluster is multiplied across
        blocks; two blocks of one and the same component are not. So every pair that could link is either compared or known to be
        in one component, and no pair is written: a block gives at most one edge per row.
+
+    ``shingles`` is the sum of the sizes of all sets. Groups of columns and of rows are as many as keep them at about ``entries``
+    entries (some 60 bytes each in a task) whatever the session's partitions are, those of products at ``product_bytes`` of rows.
     """
-    n_parts = max(1, parts(docs.sparkSession))
+    n_parts = max(1, parts(docs.sparkSession), -(-shingles // entries))
     blocks = _incidence(docs, text_col, width, n_parts)
     shared = blocks.groupBy("block").applyInArrow(lambda t: _shared(t, n_parts), "target int, names binary, sizes binary, counts binary, columns binary, ranks binary")
     rows = cut_lineage(shared.groupBy("target").applyInArrow(lambda t: _rows(t, percent), "name long, n int, columns binary, prefix int"))
@@ -277,8 +287,9 @@ def linked_sets(docs: DataFrame, text_col: str = "text", width: int = 5, percent
     block = F.pmod(F.xxhash64("name"), blocks_of)
     led = (F.pmod(F.xxhash64("name", F.lit(1)), F.ceil(F.col("many") / leaders)) == 0) & (blocks_of > 1)
     everywhere = F.when(led, F.sequence(F.lit(0).cast("long"), blocks_of - 1)).otherwise(F.array(block))
+    held = members.agg(F.coalesce(F.sum(F.length("columns") * F.size(everywhere)), F.lit(0))).first()[0]
     inside = members.select("name", "n", "columns", F.explode(everywhere).alias("k"), "cluster").withColumn("task", F.xxhash64("cluster", "k"))
-    edges = cut_lineage(_product(inside, percent, 4 * n_parts))
+    edges = cut_lineage(_product(inside, percent, max(4 * n_parts, -(-held // product_bytes))))
 
     large = members.where(blocks_of > 1)
     joined = components(edges)
@@ -299,8 +310,19 @@ def linked_sets(docs: DataFrame, text_col: str = "text", width: int = 5, percent
     pairs = left.join(right, "cluster").where((F.col("key") <= F.col("key2")) & (F.col("only").isNull() | F.col("only2").isNull() | (F.col("only") != F.col("only2"))))
     pairs = pairs.select("key", "key2", F.xxhash64("key", "key2").alias("task"))
     sides = pairs.select("task", "key").unionByName(pairs.select("task", F.col("key2").alias("key"))).distinct()
-    across = known.select("name", F.xxhash64("cluster", "only", "k").alias("key")).join(sides, "key").join(members.select("name", "n", "columns"), "name")
-    return components(edges.unionByName(_product(across, percent, 4 * n_parts)))
+    across = cut_lineage(known.select("name", F.xxhash64("cluster", "only", "k").alias("key")).join(sides, "key"))
+    across = across.join(members.select("name", "n", "columns"), "name")
+    held = across.agg(F.coalesce(F.sum(F.length("columns")), F.lit(0))).first()[0]
+    return components(edges.unionByName(_product(across, percent, max(4 * n_parts, -(-held // product_bytes)))))
+
+
+def set_roots(docs: DataFrame, names: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
+    """(name, root) of all distinct sets of ``names`` (doc_id, n_shingles, name); a set that no link leads to is its own root."""
+    sets = names.where("name IS NOT NULL").groupBy("name").agg(F.min("n_shingles").alias("n"))
+    # An upper bound: sets that occur several times are counted once.
+    shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    linked = linked_sets(docs, shingles, text_col, width, percent)
+    return cut_lineage(sets.join(linked, sets["name"] == linked["node"], "left").select("name", F.coalesce("root", "name").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -312,16 +334,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     names = cut_lineage(shingle_names(docs, id_col, text_col, width))
     classes = names.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("first"))
-    linked = linked_sets(docs, text_col, width, percent)
-    rooted = classes.join(linked, classes["name"] == linked["node"], "left").select("name", "first", F.coalesce("root", "name").alias("root"))
-    rooted = cut_lineage(rooted)
+    rooted = cut_lineage(classes.join(set_roots(docs, names, text_col, width, percent), "name"))
     lowest = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     found = cut_lineage(rooted.join(lowest, "root").select("name", "component_id"))
     return names.join(found, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs``, all columns, that come first in their component; rows without an id stay. Of rows with one id all or none."""
-    found = near_duplicates(docs, id_col, text_col, width, percent)
-    gone = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, all columns, without all but one of each group that links lead through.
+
+    The row with the smallest id stays, one without an id only where no row of the group has one; of several such rows, as copies
+    that share an id or have none, any one. Rows without words link with nothing and all stay.
+    """
+    at, own_set, kept_at = (unused(c, docs) for c in ("at", "own_set", "kept_at"))
+
+    @F.pandas_udf("name long, n_shingles long")
+    def named(texts: pd.Series) -> pd.DataFrame:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        sets = list(_sets(batch, width))
+        return pd.DataFrame({"name": pd.array([_name(s) if len(s) else None for s in sets], "Int64"), "n_shingles": [len(s) for s in sets]})
+
+    # Stored, so that a row keeps its number.
+    rows = cut_lineage(docs.withColumn(own_set, named(F.col(text_col))).withColumn(at, F.monotonically_increasing_id()))
+    own = rows.select(F.col(own_set)["name"].alias("name"), F.col(own_set)["n_shingles"].alias("n_shingles"), F.col(id_col).cast("long").alias("id"), F.col(at).alias("place"))
+    roots = set_roots(rows, own, text_col, width, percent)
+    # First one row of each set, so that a set with very many copies is summed before it meets the others.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("first")
+    best = cut_lineage(own.where("name IS NOT NULL").groupBy("name").agg(first))
+    best = best.join(roots, "name").groupBy("root").agg(F.min("first").alias("first"))
+    kept = cut_lineage(best.select(F.col("first.place").alias(kept_at)))
+    empty = F.col(own_set)["name"].isNull()
+    one_of_group = rows.where(~empty).join(kept, F.col(at) == F.col(kept_at), "left_semi")
+    return rows.where(empty).unionByName(one_of_group).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,8 @@ class Encoder:
 
     A text is cut at its single spaces, which never lie inside a token's word, and the ids of each part are remembered, up
     to ``remembered`` parts. Parts of letters, digits and ASCII signs are encoded from the rank file, all others and every
-    text with white space beside a space by the ``tokenizers`` library; both hold the same vocabulary.
+    text with white space beside a space by the ``tokenizers`` library; both hold the same vocabulary. So is a text that holds
+    one of the vocabulary's added tokens, such as an end of text written out, which the library reads as that token.
     """
 
     def __init__(self, ranks: str, vocabulary: str, remembered: int = 300_000):
@@ -33,7 +34,7 @@ class Encoder:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.whole = Tokenizer.from_file(vocabulary)
-        self.whole.encode_special_tokens = True
+        self.added = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         self.remembered = remembered
         self.known: dict[str, bytes | None] = {}
 
@@ -56,6 +57,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            return self._library(text)
         known = self.known
         first, *rest = text.split(" ")
         found = []
@@ -212,17 +215,18 @@ def pack(pieces: DataFrame, window: int = 2048, quantum: int = 8, depth: int = 3
     """Add ``sequence_id`` and ``offset`` to pieces (doc_id, start, length, further columns).
 
     Lengths are planned in steps of ``quantum``, tiny ones exactly; the offsets in a sequence have no gaps. Only the
-    histogram of at most ``window`` sizes goes to the driver. Pieces of one size are numbered in salted groups, and the groups'
-    counts are summed, so that a size with a third of all pieces is not numbered in one task. Equal rows may swap places.
+    histogram of at most ``window`` sizes goes to the driver. Pieces of one size are numbered in salted groups, dealt in turn
+    whatever they hold, and the groups' counts are summed, so that neither a size with a third of all pieces nor as many equal
+    pieces are numbered in one task. Equal rows may swap places. Further columns may have any names but the two added.
     """
-    if {"sequence_id", "offset"} & set(pieces.columns):
+    if {"sequence_id", "offset"} & {c.lower() for c in pieces.columns}:
         raise ValueError("pieces must not have columns sequence_id or offset")
     spark = pieces.sparkSession
     salts = max(1, parts(spark))
-    marked = pieces.withColumn("__size", _size(F.col("length"), quantum)).withColumn("__salt", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(salts)))
-    marked = cut_lineage(marked)
-    counts = cut_lineage(marked.groupBy("__size", "__salt").agg(F.count("*").alias("n")))
-    histogram = {r["__size"]: r["n"] for r in counts.groupBy("__size").agg(F.sum("n").alias("n")).collect()}
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts))
+    marked = cut_lineage(pieces.select(F.struct("*").alias("row"), "doc_id", "start", "length", _size(F.col("length"), quantum).alias("size"), salt.alias("salt")))
+    counts = cut_lineage(marked.groupBy("size", "salt").agg(F.count("*").alias("n")))
+    histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
 
     slots, rank, sequence = [], Counter(), 0
     for held, n in plan_windows(histogram, window, quantum, depth):
@@ -230,21 +234,21 @@ def pack(pieces: DataFrame, window: int = 2048, quantum: int = 8, depth: int = 3
             slots.append((size, rank[size], rank[size] + times * n, sequence, n))
             rank[size] += times * n
         sequence += n
-    table = spark.createDataFrame(slots, "__size long, __from long, __to long, __first long, __n long")
+    table = spark.createDataFrame(slots, "size long, from long, to long, first long, n long")
 
-    before = Window.partitionBy("__size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     # Stored, so that the join below deals pieces by size and salt and not by size alone, as the window before it does.
-    starts = counts.select("__size", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    starts = counts.select("size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     starts = cut_lineage(starts)
-    order = Window.partitionBy("__size", "__salt").orderBy("doc_id", "start", "length")
+    order = Window.partitionBy("size", "salt").orderBy("doc_id", "start", "length")
     ranked = (
-        marked.withColumn("__row", F.row_number().over(order) - 1)
-        .join(starts, ["__size", "__salt"])
-        .withColumn("__rank", F.col("__before") + F.col("__row"))
+        marked.withColumn("at", F.row_number().over(order) - 1)
+        .join(starts, ["size", "salt"])
+        .withColumn("rank", F.col("before") + F.col("at"))
     )
     # At most one row per size and planned combination: bounded by the window, not by the data.
-    placed = ranked.join(F.broadcast(table), "__size").where((F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
-    placed = placed.withColumn("sequence_id", F.col("__first") + (F.col("__rank") - F.col("__from")) % F.col("__n"))
+    placed = ranked.join(F.broadcast(table), "size").where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
+    placed = placed.withColumn("sequence_id", F.col("first") + (F.col("rank") - F.col("from")) % F.col("n"))
     # A sequence holds at most ``window`` pieces.
     inside = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(*pieces.columns, "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
+    return placed.select("row.*", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))

@@ -101,8 +101,8 @@ def op9_ngram_jaccard(spark, folder):
     CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM q""",
 )
 def op7_warc(spark, folder):
-    # The pages have no capture time: they are taken to come one a second, in order of their ids.
-    time = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
+    # The pages have no capture time: their ids, whatever their size, are spread over the seconds of the year 2024.
+    time = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.col("page_id"), F.lit(366 * 86_400)))
     archives = scratch_path(spark, "warc")
     runs = warc.write_archives(table(spark, folder, "pages"), archives, time=time)
     return warc.read_archives(warc.merge_index(runs), archives)
@@ -136,7 +136,7 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 def op3_url_filter(spark, folder):
     pages = table(spark, folder, "pages")
     # A page shows the document whose number ends its path, so it is as good or bad as that document's labels.
-    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"(?<![0-9])0*([0-9]{1,19})(?:\.[a-z]+)?/?$", 1)
     shown = pages.select("page_id", number.try_cast("long").alias("doc_id"))
     marks = table(spark, folder, "labels").select("doc_id", F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
     return url_filter.filter_urls(pages, shown.join(marks, "doc_id").select("page_id", "bad"), URL_RULES)

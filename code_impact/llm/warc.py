@@ -80,13 +80,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     ``roll_bytes``; each file is one sorted run. A file's name holds the attempt that wrote it and the index is stored when all
     tasks are done, so files of lost attempts are never read. ``folder`` must be reachable by all executors through
     ``pyarrow.fs``. Of equal payloads the smallest id is the response; rows that repeat that id are responses too. A null id is
-    kept as null and can only be a revisit. Rows without ``time`` get the beginning of 1970.
+    kept as null and can only be a revisit. Rows without ``time``, or with one outside the years 1 to 9999, which a WARC date
+    cannot say, get the beginning of 1970.
     """
+    said = F.lit(None).cast("timestamp") if time is None else F.when(F.year(time).between(1, 9999), time)
     own = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"),
-        F.coalesce(F.date_format(time if time is not None else F.lit(None).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("1970-01-01T00:00:00Z")).alias("time"),
+        F.coalesce(F.date_format(said, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("1970-01-01T00:00:00Z")).alias("time"),
     )
     own = own.withColumns({"bytes": F.octet_length("payload"), "digest": F.sha2("payload", 256), "url_key": url_key(F.col("url"))})
     ordered = mark_revisits(own, least_bytes).sortWithinPartitions("url_key", "time", "page_id")

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from code_impact.llm import common, components, decontaminate, line_dedup, ngram_join, packing, quality, secrets, toxicity, url_filter, vector_neardup, warc
+from code_impact.llm.queries import QUERIES
 from code_impact.session import scratch_path
 
 # Every operator meets columns that have the names it uses itself.
-CLASH = {"row": "1", "doc": "2", "name": "3", "score": "4", "label": "5", "n_lines": "6", "text_hash": "7", "start": "8", "twin": "9", "size": "0"}
+CLASH = {"row": "1", "doc": "2", "name": "3", "score": "4", "label": "5", "n_lines": "6", "text_hash": "7", "start": "8", "twin": "9", "size": "0", "__gone": "1", "__id": "2", "id": "3", "hash": "4", "at": "5", "own_set": "6", "__size": "7", "__salt": "8", "place": "9"}
 
 
 @pytest.fixture(autouse=True)
@@ -41,8 +42,7 @@ EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (None, "one tw
 
 def test_token_ids_are_those_of_the_library():
     library = Tokenizer.from_file(packing.VOCABULARY)
-    library.encode_special_tokens = True
-    texts = ["", " ", "a b", " a  b ", "a\n b", "x\n\ny z", "don't I'll", "tab\t t", "\u00a0a \u2003b", "日本 語 12 a1b2", "ﬀ é ё ", "<|endoftext|> a", "a" * 300 + " " + "b" * 200, LONG[:3000], "\x85 \x1c x"]
+    texts = ["a <|endoftext|> b", "x<|endoftext|>", "<|endoftext |>", "", " ", "a b", " a  b ", "a\n b", "x\n\ny z", "don't I'll", "tab\t t", "\u00a0a \u2003b", "日本 語 12 a1b2", "ﬀ é ё ", "<|endoftext|> a", "a" * 300 + " " + "b" * 200, LONG[:3000], "\x85 \x1c x"]
     for text in texts:
         ids = np.frombuffer(packing.encoder().encode(text), "<u4").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids, repr(text)
@@ -94,6 +94,15 @@ def test_pack_places_every_id_once(spark):
         packing.pack(docs.select("doc_id", F.lit(0).alias("start"), F.lit(1).alias("length"), F.lit(1).alias("offset")))
 
 
+def test_pack_equal_pieces_with_clashing_columns(spark):
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("start"), F.lit(700).alias("length"), *[F.lit(k).alias(k) for k in ("__size", "__salt", "rank", "row", "size", "salt", "first", "n")])
+    made = packing.pack(same)
+    assert made.columns == [*same.columns, "sequence_id", "offset"]
+    rows = made.collect()
+    by_sequence = collections.Counter(r.sequence_id for r in rows)
+    assert len(rows) == 4000 and max(by_sequence.values()) == 2 and len(by_sequence) == 2000 and {r["rank"] for r in rows} == {"rank"}
+
+
 # Classifiers
 
 
@@ -335,6 +344,32 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.merge_index(warc.write_archives(pages.limit(0), folder)), folder).count() == 0
 
 
+def test_archives_of_extreme_ids(spark):
+    ids = [9 * 10**18, -(2**63), 10**12, 0, -1, None, 2**63 - 1]
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", "x" * 120) for i in ids], "page_id long, url string, html string")
+    folder = scratch_path(spark, "warc-test")
+    runs = warc.write_archives(pages, folder, time=F.timestamp_seconds(F.pmod(F.col("page_id"), F.lit(10**12))))
+    found = {r.page_id: r for r in warc.read_archives(warc.merge_index(runs), folder).collect()}
+    assert set(found) == set(ids) and {r.refers_to for i, r in found.items() if i != -(2**63)} == {-(2**63)}
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.time) for r in runs.collect())
+    tables = scratch_path(spark, "tables")
+    pages.write.parquet(f"{tables}/pages.parquet")
+    rows = QUERIES["op7_warc"](spark, tables).collect()
+    assert sorted(map(repr, (r.page_id for r in rows))) == sorted(map(repr, ids))
+
+
+def test_label_of_long_numbers(spark):
+    # A number of 19 digits is its own document's, also where its last digits are another's; longer ones are nobody's.
+    long_id, bad_id = 1234567890123456789, 234567890123456789
+    urls = [(k, f"http://a.org/x/{n}.html") for k, n in enumerate([long_id, "0" * 30 + str(long_id), f"9{'1' * 30}", 9 * 10**18 + 10**17 * 3])]
+    tables = scratch_path(spark, "tables")
+    spark.createDataFrame(urls, "page_id long, url string").write.parquet(f"{tables}/pages.parquet")
+    spark.createDataFrame([(bad_id, 0, 1), (long_id, 1, 0), (int("1" * 18), 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tables}/labels.parquet")
+    rows = QUERIES["op3_url_filter"](spark, tables).collect()
+    # Two pages with a clean label, none with a bad one.
+    assert len(rows) == 4 and {r.verdict for r in rows} == {"allow"} and all(r.purity > 0.6 for r in rows)
+
+
 def test_damage_is_seen():
     member = warc.record(1, "u", "2024-01-01T00:00:00Z", b"abc", hashlib.sha256(b"abd").hexdigest(), None)
     with pytest.raises(ValueError):
@@ -416,9 +451,84 @@ def test_ngram_join(spark):
     docs = documents(spark, rows)
     expected = sets_by_hand(rows)
     assert sorted(map(tuple, ngram_join.near_duplicates(docs).collect()), key=repr) == expected
-    kept = sorted(map(repr, (r.doc_id for r in ngram_join.keep_one(docs).collect())))
-    assert kept == sorted(repr(i) for i, _, c in expected if i is None or i == c)
-    assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    # One row of each group of sets, that with the smallest id, and every row without words.
+    groups = {c for _, n, c in expected if n}
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted([*map(repr, groups), *(repr(i) for i, n, _ in expected if not n)])
+    assert ngram_join.near_duplicates(docs.limit(0)).count() == 0 and ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_one_of_copies_that_share_ids_or_have_none(spark):
+    base = " ".join(f"k{k}" for k in range(40))
+    other = " ".join(f"o{k}" for k in range(40))
+    copies = [(1, base), (1, base), (None, base), (None, base + " end"), (7, base)]
+    # Id 5 stands on two texts, of which one is a copy of a smaller id.
+    shared = [(5, base), (5, other), (6, other), (None, "alone without an id " + other[:90])]
+    kept = sorted(map(repr, map(tuple, ngram_join.keep_one(spark.createDataFrame(copies + shared, "doc_id long, text string").repartition(4)).collect())))
+    assert kept == sorted(map(repr, [(1, base), (5, other), shared[3]]))
+    nameless = spark.createDataFrame([(None, base), (None, base), (None, base)], "doc_id long, text string")
+    assert ngram_join.keep_one(nameless).count() == 1
+
+
+def test_whole_hashes_make_columns(monkeypatch):
+    # Two n-grams whose hashes differ in the upper bits alone are two columns, in any number of blocks.
+    low = np.uint64(5)
+    sets = {b"a": [low, low | np.uint64(1 << 63)], b"b": [low], b"c": [low | np.uint64(1 << 63), low | np.uint64(1 << 50)]}
+    monkeypatch.setattr(ngram_join, "shingle_sets", lambda texts, width: [np.array(sorted(sets[t]), np.uint64) for t in texts])
+    for blocks in (1, 4, 200):
+        rows = []
+
+        class Docs:
+            def select(self, *_):
+                return self
+
+            def mapInArrow(self, fn, schema):  # noqa: N802
+                import pyarrow as pa
+
+                rows.extend(fn(iter([pa.RecordBatch.from_pydict({"text": ["a", "b", "c"]})])))
+
+        monkeypatch.setattr(ngram_join.F, "col", lambda c: type("C", (), {"alias": lambda self, n: self})())
+        ngram_join._incidence(Docs(), "text", 5, blocks)
+        import pyarrow as pa
+
+        whole = pa.Table.from_batches(rows)
+        found = collections.Counter()
+        for k in set(whole.column("block").to_pylist()):
+            part = whole.filter(pa.array([b == k for b in whole.column("block").to_pylist()]))
+            for columns in ngram_join._shared(part, 3).column("columns").to_pylist():
+                found.update(np.frombuffer(columns, np.uint64).tolist())
+        assert found == {5: 2, 5 | 1 << 63: 2}, blocks
+
+
+def test_counts_beyond_single_precision():
+    one = np.arange(5000, dtype=np.uint64)
+    assert ngram_join.overlaps([one, one, one[:4999]]).tolist() == [[5000, 5000, 4999], [5000, 5000, 4999], [4999, 4999, 4999]]
+
+
+def test_ngram_join_in_any_partitions(spark):
+    rng = random.Random(14)
+    base = [f"p{k}" for k in range(90)]
+    rows = [(k, " ".join(w for w in base if rng.random() > 0.04)) for k in range(150)]
+    expected = sets_by_hand(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("2", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            docs = documents(spark, rows)
+            assert sorted(map(tuple, ngram_join.near_duplicates(docs).collect()), key=repr) == expected
+            # Groups as many as counted rows ask for.
+            small = ngram_join.linked_sets(docs, 10_000, entries=700, product_bytes=5000)
+            names = {r.doc_id: r.name for r in ngram_join.shingle_names(docs).collect()}
+            groups = collections.defaultdict(set)
+            for i, _, c in expected:
+                groups[c].add(names[i])
+            roots = collections.defaultdict(set)
+            for r in small.collect():
+                roots[r.root].add(r.node)
+            assert sorted(map(sorted, roots.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_ngram_blocks_lose_no_link(spark):
@@ -426,7 +536,7 @@ def test_ngram_blocks_lose_no_link(spark):
     words = [f"v{k}" for k in range(600)]
     rows = [(k, " ".join(words[2 * k : 2 * k + 40])) for k in range(200)]
     docs = documents(spark, rows)
-    linked = ngram_join.linked_sets(docs, block_rows=8, leaders=3)
+    linked = ngram_join.linked_sets(docs, 200 * 36, block_rows=8, leaders=3)
     names = {r.name: r.doc_id for r in ngram_join.shingle_names(docs).collect()}
     roots = {}
     for r in linked.collect():
