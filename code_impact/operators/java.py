@@ -68,7 +68,9 @@ def clean_source(content: Column) -> Column:
 
 
 def segments(cleaned: Column) -> Column:
-    """Array of (i, txt, step, depth, line): text up to a delimiter, nesting before it, line of its first character."""
+    """Array of (i, txt, step, depth, line, end, end_line): text up to a delimiter, nesting before it, line of its first
+    character; where it opens a block, the segment that closes the block (the largest number if none does) and its last line.
+    """
 
     def build(texts: Column) -> Column:
         steps = F.transform(texts, lambda s: F.when(F.endswith(s, F.lit("{")), 1).when(F.endswith(s, F.lit("}")), -1).otherwise(0))
@@ -78,7 +80,7 @@ def segments(cleaned: Column) -> Column:
             sums_before(steps).alias("depth"),
             sums_before(F.transform(texts, newlines)).alias("lines"),
         )
-        return F.transform(
+        numbered = F.transform(
             parts,
             lambda p, i: F.struct(
                 i.alias("i"),
@@ -88,10 +90,34 @@ def segments(cleaned: Column) -> Column:
                 (p["lines"] + newlines(F.regexp_extract(p["txt"], r"^\s*", 0)) + 1).alias("line"),
             ),
         )
+        return let(numbered, _with_ends)
 
     return let(F.regexp_extract_all(cleaned, F.lit(r"[^;{}]*[;{}]"), F.lit(0)), build)
 
 
+def _with_ends(segs: Column) -> Column:
+    """Segments with the end of the block each opens, in one sort: on one level of nesting, openings and closings take turns."""
+    aside = F.lit(2147483647)
+    level = lambda s: F.when(s["step"] == 1, s["depth"]).when(s["step"] == -1, s["depth"] - 1).otherwise(aside)
+    turns = F.sort_array(F.transform(segs, lambda s: F.struct(level(s).alias("level"), s["i"].alias("i"), s["step"].alias("step"), _last_line(s).alias("last"))))
+
+    def paired(turns: Column) -> Column:
+        def with_next(turn: Column, at: Column) -> Column:
+            return let(
+                F.get(turns, at + 1),
+                lambda after: let(
+                    F.coalesce((turn["step"] == 1) & (after["level"] == turn["level"]) & (after["step"] == -1), F.lit(False)),
+                    lambda closed: F.struct(
+                        turn["i"].alias("i"), F.when(closed, after["i"]).otherwise(aside).alias("end"), F.when(closed, after["last"]).alias("end_line")
+                    ),
+                ),
+            )
+
+        return F.sort_array(F.transform(turns, with_next))
+
+    return F.zip_with(segs, let(turns, paired), lambda s, e: s.withField("end", e["end"]).withField("end_line", e["end_line"]))
+
+
 def _last_line(segment: Column) -> Column:
     return segment["line"] + newlines(F.regexp_replace(segment["txt"], r"^\s+", ""))
 
@@ -131,26 +157,17 @@ def _types(segs: Column) -> Column:
             s["txt"].alias("txt"),
             F.when(kind != "", kind).when(plain.rlike(_ANONYMOUS), F.lit("anonymous")).alias("kind"),
             F.regexp_extract(plain, _TYPE_HEADER, 2).alias("name"),
+            s["end"].alias("end"),
         )
 
     opened = F.transform(F.filter(segs, lambda s: s["step"] == 1), describe)
-    named = F.filter(opened, lambda t: t["kind"].isNotNull())
-    closes = F.filter(segs, lambda s: s["step"] == -1)
-    return let(
-        closes,
-        lambda ends: F.transform(
-            named,
-            lambda t: t.withField(
-                "end",
-                F.coalesce(
-                    F.array_min(
-                        F.transform(F.filter(ends, lambda e: (e["i"] > t["i"]) & (e["depth"] == t["depth"] + 1)), lambda e: e["i"])
-                    ),
-                    F.lit(2147483647),
-                ),
-            ),
-        ),
-    )
+    return F.filter(opened, lambda t: t["kind"].isNotNull())
+
+
+def members_of(segs: Column, owner: Column) -> Column:
+    """Direct members of a type: a slice of the segments, so that types that follow one another are each read once."""
+    own = F.slice(segs, owner["i"] + 2, F.greatest(F.lit(0), F.least(owner["end"], F.size(segs)) - owner["i"] - 1))
+    return F.filter(own, lambda s: s["depth"] == owner["depth"] + 1)
 
 
 def is_custom_type(name: Column) -> Column:
@@ -187,16 +204,13 @@ def _method(name, returns, line, parameters, annotations, end) -> Column:
     )
 
 
-def _member_methods(owner: Column, members: Column, closes: Column) -> Column:
+def _member_methods(owner: Column, members: Column) -> Column:
     """Public methods and constructors among the direct members."""
 
     def describe(s: Column) -> Column:
         return let(_plain(s["txt"]), lambda plain: describe_plain(s, plain))
 
     def describe_plain(s: Column, plain: Column) -> Column:
-        body_end = F.array_min(
-            F.transform(F.filter(closes, lambda e: (e["i"] > s["i"]) & (e["depth"] == s["depth"] + 1)), lambda e: _last_line(e))
-        )
         found = F.struct(
             F.regexp_extract(plain, _METHOD, 1).alias("modifiers"),
             F.regexp_extract(plain, _METHOD, 2).alias("returns"),
@@ -204,7 +218,7 @@ def _member_methods(owner: Column, members: Column, closes: Column) -> Column:
             _parameters(F.regexp_extract(plain, _METHOD, 4)).alias("parameters"),
             annotations_of(s["txt"]).alias("annotations"),
             s["line"].alias("line"),
-            F.when(s["step"] == 1, body_end).otherwise(_last_line(s)).alias("end"),
+            F.when(s["step"] == 1, s["end_line"]).otherwise(_last_line(s)).alias("end"),
         )
         return let(
             found,
@@ -322,10 +336,7 @@ def _columns(_gateway: int) -> tuple:
     }
     wanted = F.filter("_types", lambda u: u["kind"].isin("class", "interface"))
     t = F.col("_t")
-    closes = F.filter("_segs", lambda s: s["step"] == -1)
-    inside = lambda owner: F.filter(
-        "_segs", lambda s: (s["i"] > owner["i"]) & (s["i"] < owner["end"]) & (s["depth"] == owner["depth"] + 1)
-    )
+    inside = lambda owner: members_of(F.col("_segs"), owner)
     with_fields = F.filter("_types", lambda u: (u["i"] >= t["i"]) & (u["end"] <= t["end"]) & (u["kind"] != "interface"))
     nested_fields = F.flatten(F.transform(with_fields, lambda u: _fields(inside(u))))
     own_fields = F.filter(inside(t), lambda _s: t["kind"] == "class")
@@ -334,7 +345,7 @@ def _columns(_gateway: int) -> tuple:
         t["kind"].alias("kind"),
         t["line"].alias("line"),
         annotations_of(t["txt"]).alias("annotations"),
-        let(closes, lambda c: _member_methods(t, inside(t), c)).alias("_methods"),
+        _member_methods(t, inside(t)).alias("_methods"),
         _fields(own_fields).alias("fields"),
         F.array_sort(nested_fields, lambda a, b: a["line"] - b["line"]).alias("_nested"),
         _inheritance(t).alias("_inheritance"),

@@ -47,50 +47,51 @@ def metadata_filter(tree: dict) -> Column:
     return test
 
 
-_BLOCK = "ids array<long>, width int, vectors binary"
+_BLOCK = "ids array<long>, width int, vectors binary, list int"
 
 
-def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Unit vectors packed as (ids, width, vectors): at most ``size`` vectors of one width in a row.
+def whole(rows: DataFrame) -> DataFrame:
+    """Rows whose vector can be compared: not missing, not empty, without nulls."""
+    return rows.where("embedding IS NOT NULL AND size(embedding) > 0").where(F.forall("embedding", lambda e: e.isNotNull()))
+
+
+def blocks(rows: DataFrame, key: str, size: int, list_: Column | None = None) -> DataFrame:
+    """Unit vectors packed as (ids, width, vectors, list): at most ``size`` vectors of one width and list in a row.
 
     A vector that is missing, empty or holds a null is like no other and left out.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list] = {}
+        waiting: dict[tuple[int, int], list] = {}
 
-        def packed(width: int, held: list) -> pa.RecordBatch:
-            matrix = np.array([v for _, v in held], np.float64)
-            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        def packed(width: int, list_no: int, held: list) -> pa.RecordBatch:
+            vectors = unit(np.array([v for _, v in held], np.float64))
             ids = pa.array([[i for i, _ in held]], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([ids, pa.array([width], pa.int32()), pa.array([matrix.tobytes()], pa.binary())], names=["ids", "width", "vectors"])
+            columns = [ids, pa.array([width], pa.int32()), pa.array([vectors.tobytes()], pa.binary()), pa.array([list_no], pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "width", "vectors", "list"])
 
         for batch in batches:
-            ids, vectors = batch.column(0).to_pylist(), batch.column(1)
+            ids, vectors, lists = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
             for k, id_ in enumerate(ids):
                 vector = vectors[k].values.to_numpy(zero_copy_only=False)
-                held = waiting.setdefault(len(vector), [])
+                kind = (len(vector), lists[k])
+                held = waiting.setdefault(kind, [])
                 held.append((id_, vector))
                 if len(held) == size:
-                    yield packed(len(vector), waiting.pop(len(vector)))
-        for width, held in waiting.items():
-            yield packed(width, held)
+                    yield packed(*kind, waiting.pop(kind))
+        for kind, held in waiting.items():
+            yield packed(*kind, held)
 
-    whole = rows.where("embedding IS NOT NULL AND size(embedding) > 0").where(F.forall("embedding", lambda e: e.isNotNull()))
-    return whole.select(F.col(key).cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(pack, _BLOCK)
+    list_ = (F.lit(0) if list_ is None else list_).cast("int")
+    return whole(rows).select(F.col(key).cast("long"), F.col("embedding").cast("array<double>"), list_.alias("list")).mapInArrow(pack, _BLOCK)
 
 
-def top_k(collection: DataFrame, queries: DataFrame, k: int, where: dict | None = None, block: int = 1024) -> DataFrame:
-    """The ``k`` most similar vectors of each query (``query_id``, ``embedding``); similarity is 1 minus cosine distance.
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
-    Exact: blocks of ``block`` vectors meet each block of queries of the same width, and only the best ``k`` of a pair of
-    blocks leave the task. Blocks of queries are rows of a table: none of them passes the driver, and a large set of queries
-    is shuffled. The metadata filter runs before scoring.
-    """
-    rows = collection.where(metadata_filter(where)) if where else collection
-    # Stored, so that the optimizer knows the size: few queries are broadcast, many are joined by shuffles split where skewed.
-    asked = cut_lineage(_blocks(queries, "query_id", block).select(F.col("ids").alias("q_ids"), "width", F.col("vectors").alias("q_vectors")))
-    pairs = _blocks(rows, "vec_id", block).join(asked, "width").select("width", "ids", "vectors", "q_ids", "q_vectors")
+
+def best_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each query over pairs of blocks (width, ids, vectors, q_ids, q_vectors), with ``rank``."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,11 +105,25 @@ def top_k(collection: DataFrame, queries: DataFrame, k: int, where: dict | None
                 similar = np.concatenate([row[b] for row, b in zip(scores, best)])
                 yield pa.RecordBatch.from_arrays([pa.array(asked_by), pa.array(keys[found]), pa.array(similar)], names=["query_id", "vec_id", "similarity"])
 
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, similarity double")
+    columns = pairs.select("width", "ids", "vectors", "q_ids", "q_vectors")
+    found = columns.mapInArrow(search, "query_id long, vec_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def top_k(collection: DataFrame, queries: DataFrame, k: int, where: dict | None = None, block: int = 1024) -> DataFrame:
+    """The ``k`` most similar vectors of each query (``query_id``, ``embedding``); similarity is 1 minus cosine distance.
+
+    Exact: blocks of ``block`` vectors meet each block of queries of the same width, and only the best ``k`` of a pair of
+    blocks leave the task. Blocks of queries are rows of a table: none of them passes the driver, and a large set of queries
+    is shuffled. The metadata filter runs before scoring.
+    """
+    rows = collection.where(metadata_filter(where)) if where else collection
+    # Stored, so that the optimizer knows the size: few queries are broadcast, many are joined by shuffles split where skewed.
+    asked = cut_lineage(blocks(queries, "query_id", block).select(F.col("ids").alias("q_ids"), "width", F.col("vectors").alias("q_vectors")))
+    return best_pairs(blocks(rows, "vec_id", block).join(asked, "width"), k)
+
+
 def hybrid(collection: DataFrame, queries: DataFrame, k: int, boost: Column, where: dict | None = None) -> DataFrame:
     """Fetch twice ``k``, rank again by weighted similarity and metadata boost, keep ``k``."""
     fetched = top_k(collection, queries, 2 * k, where).drop("rank")

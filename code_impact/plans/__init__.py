@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("files", "java", "index", "graph", "patch", "diff", "review", "text", "events", "imports", "manifests", "vectors")
+AREAS = ("files", "java", "calls", "index", "graph", "patch", "diff", "review", "text", "events", "imports", "manifests", "vectors")
 
 
 def load_all() -> None:

@@ -166,6 +166,38 @@ SELECT 'org/repo' || CAST(p_partkey % 5 AS STRING) AS repository,
 FROM part
 """
 
+# Classes in a tree of superclasses whose bodies call each other, with calls in literals, comments and on unknown objects.
+FIXTURES["call_files"] = r"""
+SELECT 'org/calls' || CAST(r AS STRING) AS repository, 'src/K' || CAST(k AS STRING) || '.java' AS path,
+ 'package com.example.calls;' || chr(10) ||
+ 'public class K' || CAST(k AS STRING) || CASE WHEN k > 0 THEN ' extends K' || CAST(CAST(floor(k / 3) AS BIGINT) AS STRING) ELSE '' END || ' {' || chr(10) ||
+ '    private final K' || CAST((k * 7 + 3) % 40 AS STRING) || ' dep;' || chr(10) ||
+ '    private K' || CAST((k * 5 + 1) % 40 AS STRING) || ' part = new K' || CAST((k * 5 + 1) % 40 AS STRING) || '();' || chr(10) ||
+ '    public void run' || CAST(k % 4 AS STRING) || '(K' || CAST((k * 3 + 2) % 40 AS STRING) || ' arg) {' || chr(10) ||
+ '        dep.run' || CAST((k + 1) % 4 AS STRING) || '(null); // dep.make(1);' || chr(10) ||
+ '        String s = "dep.make("; arg.run' || CAST(k % 3 AS STRING) || '(arg.run2(null));' || chr(10) ||
+ '        if (s != null) { K' || CAST(k % 17 AS STRING) || ' loc = new K' || CAST(k % 17 AS STRING) || '(); loc.touch(); }' || chr(10) ||
+ '        this.own(); own(); K' || CAST(k % 11 AS STRING) || '.make(s);' || chr(10) ||
+ '        part.run3(' || chr(10) || '          null);' || chr(10) ||
+ '        base.touch();' || chr(10) ||
+ '        other.run1(null); part.dep.own(); s.length(); return;' || chr(10) ||
+ '    }' || chr(10) ||
+ '    private void own() { super.touch(); }' || chr(10) ||
+ '    public static void make(String s) { }' || chr(10) ||
+ CASE WHEN k < 3 THEN '    public void touch() { }' || chr(10) ELSE '' END ||
+ CASE WHEN k = 0 THEN '    protected K1 base;' || chr(10) ELSE '' END || '}' AS content
+FROM (SELECT p_partkey % 5 AS r, CAST(floor(p_partkey / 5) AS BIGINT) AS k FROM part) p
+"""
+
+FIXTURES["call_files_v2"] = r"""
+SELECT 'org/calls' || CAST(r AS STRING) AS repository, 'src/K' || CAST(k AS STRING) || '.java' AS path,
+ 'public class K' || CAST(k AS STRING) || ' {' || chr(10) ||
+ '    public void ' || CASE WHEN k % 7 = 2 THEN 'walk' ELSE 'run' END || CAST(k % 4 AS STRING) || '(K' || CAST((k * 3 + 2) % 40 AS STRING) || ' arg) { }' || chr(10) ||
+ '    public static void make(String s) { }' || chr(10) ||
+ CASE WHEN k < 3 THEN '    public void touch() { }' || chr(10) ELSE '' END || '}' AS content
+FROM (SELECT p_partkey % 5 AS r, CAST(floor(p_partkey / 5) AS BIGINT) AS k FROM part) p WHERE k % 5 <> 3
+"""
+
 # Two copies of some classes under another path, to test that the last file wins.
 FIXTURES["code_files_copies"] = r"""
 SELECT repository, path, content FROM code_files

@@ -42,7 +42,7 @@ class Inputs:
         if name in TABLES:
             return self.table(name)
         if name in STORED:
-            return self._stored(name, lambda: self.view(name))
+            return self.stored(name, lambda: self.view(name))
         return self.view(name)
 
     def view(self, name: str) -> DataFrame:
@@ -60,7 +60,7 @@ class Inputs:
         """Extracted classes of a fixture, written once per application."""
         from code_impact.operators.index import extract_types
 
-        return self._stored(f"types-{files}", lambda: extract_types(self[files]))
+        return self.stored(f"types-{files}", lambda: extract_types(self[files]))
 
     def index(self, files: str) -> dict[str, DataFrame]:
         """Stored index of a fixture, built once per application."""
@@ -70,12 +70,12 @@ class Inputs:
         def build(path: str) -> None:
             IndexStore(self.spark, path).save(build_index(self[files], self.types(files)))
 
-        return IndexStore(self.spark, self._once(f"index-{files}", build)).load()
+        return IndexStore(self.spark, self.once(f"index-{files}", build)).load()
 
-    def _stored(self, label: str, make) -> DataFrame:
-        return self.spark.read.parquet(self._once(label, lambda path: make().write.parquet(path)))
+    def stored(self, label: str, make) -> DataFrame:
+        return self.spark.read.parquet(self.once(label, lambda path: make().write.parquet(path)))
 
-    def _once(self, label: str, write) -> str:
+    def once(self, label: str, write) -> str:
         key = (self.spark.sparkContext.applicationId, self.folder, label)
         if key not in _written:
             path = scratch_path(self.spark, label)
