@@ -11,7 +11,7 @@ from code_impact.functions.arrays import with_once
 from code_impact.llm.common import lower_ascii, unused
 from code_impact.session import cut_lineage
 
-# Everything in ASCII but digits and letters parts words. Letters are put in lower case later, word by word.
+# Everything in ASCII but digits and letters parts words. Letters are put in lower case later.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -37,10 +37,21 @@ def _blocks(rows: DataFrame, by: str, text_bytes: Column, most_rows: int, most_b
     return [rows.where(F.pmod(F.xxhash64(by), F.lit(blocks)) == k) for k in range(blocks)]
 
 
-def _word_rows(docs: DataFrame) -> DataFrame:
-    """(key columns, ws, pos, word) for each word of a whole text."""
-    rows = with_once(docs, "ws", words(F.col("text"))).select("doc_id", "text_hash", "ws", F.posexplode("ws").alias("pos", "raw"))
-    return rows.select("doc_id", "text_hash", "ws", "pos", lower_ascii(F.col("raw")).alias("word"))
+# Words of a shingle, the token that windows are looked up by; a shorter window is one shingle.
+SHINGLE = 3
+
+
+def _shingles(ws: Column, width: int) -> Column:
+    """(place, shingle: hash) of all runs of ``width`` words."""
+    at = F.when(F.size(ws) >= width, F.sequence(F.lit(0), F.size(ws) - width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda k: F.struct(k.alias("place"), F.xxhash64(F.lit(width), *[F.get(ws, k + j) for j in range(width)]).alias("shingle")))
+
+
+def _shingle_rows(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """(key columns, ws, pos, shingle) for each run of words of a whole text."""
+    rows = with_once(docs, "ws", words(lower_ascii(F.col("text"))))
+    every = F.concat(*[_shingles(F.col("ws"), w) for w in widths])
+    return rows.select("doc_id", "text_hash", "ws", F.explode(every).alias("s")).select("doc_id", "text_hash", "ws", F.col("s.place").alias("pos"), "s.shingle")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,27 +62,31 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def window_hits(docs: DataFrame, windows: DataFrame, most_rows: int = 500_000, most_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, text_hash, start, size, window) of all places where a window's words stand in a text, one after another.
 
-    Containment must be whole, so the prefix of a window is one word: its rarest, counted over all documents. Words of
-    the documents that are such a prefix give candidates; a window that would begin before the text or end after it is
-    dropped by its position and size, and the rest is compared word by word where it stands. The windows are the stated query
-    set: they are sent out in blocks of bounded rows and bytes, each block against all documents. No document word is shuffled
-    but for the counts, which are summed in the tasks first.
+    Containment must be whole, so the prefix of a window is one token: its rarest shingle of three words, counted over all
+    documents (a window of fewer words is one shingle). Shingles of the documents that are such a prefix give candidates; a
+    window that would begin before the text or end after it is dropped by its position and size, and the rest is compared
+    word by word where it stands. The windows are the stated query set: they are sent out in blocks of bounded rows and bytes, each block
+    against all documents. No document shingle is shuffled but for the counts, which are summed in the tasks first.
+    Shingles meet by hash; two that share one only give a candidate more.
     """
     spots = windows.select("window", "size").distinct()
-    spots = spots.select("window", "size", F.posexplode(F.split("window", " ")).alias("place", "word"))
-    vocabulary = cut_lineage(spots.select("word").distinct())
-    every_word = _word_rows(docs).select("word")
-    counted = [every_word.join(F.broadcast(b), "word", "left_semi") for b in _blocks(vocabulary, "word", F.octet_length("word"), most_rows, most_bytes)]
-    counts = reduce(DataFrame.unionByName, counted).groupBy("word").agg(F.count("*").alias("n"))
-    # A word that no document has cannot begin a match, and neither can its windows.
-    rarest = spots.join(counts, "word", "left").groupBy("window", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "word")).alias("p"))
-    prefixes = cut_lineage(rarest.where("p.n > 0").select("window", "size", "p.place", "p.word"))
+    widths = sorted(r[0] for r in spots.select(F.least("size", F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
+    parted = with_once(spots, "ws", F.split("window", " "))
+    by_width = [parted.where(F.least("size", F.lit(SHINGLE)) == w).select("window", "size", F.explode(_shingles(F.col("ws"), w)).alias("s")).select("window", "size", "s.*") for w in widths]
+    spots = cut_lineage(reduce(DataFrame.unionByName, by_width))
+    vocabulary = cut_lineage(spots.select("shingle").distinct())
+    every_one = _shingle_rows(docs, widths).select("shingle")
+    counted = [every_one.join(F.broadcast(b), "shingle", "left_semi") for b in _blocks(vocabulary, "shingle", F.lit(8), most_rows, most_bytes)]
+    counts = reduce(DataFrame.unionByName, counted).groupBy("shingle").agg(F.count("*").alias("n"))
+    # A shingle that no document has cannot begin a match, and neither can its windows.
+    rarest = spots.join(counts, "shingle", "left").groupBy("window", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "shingle")).alias("p"))
+    prefixes = cut_lineage(rarest.where("p.n > 0").select("window", "size", "p.place", "p.shingle"))
     found = []
     for block in _blocks(prefixes, "window", F.octet_length("window"), most_rows, most_bytes):
-        near = _word_rows(docs).join(F.broadcast(block), "word")
+        near = _shingle_rows(docs, widths).join(F.broadcast(block), "shingle")
         start = F.col("pos") - F.col("place")
         near = near.where((start >= 0) & (start + F.col("size") <= F.size("ws")))
-        same = lower_ascii(F.array_join(F.slice("ws", start + 1, F.col("size")), " ")) == F.col("window")
+        same = F.array_join(F.slice("ws", start + 1, F.col("size")), " ") == F.col("window")
         found.append(near.where(same).select("doc_id", "text_hash", start.alias("start"), "size", "window"))
     return reduce(DataFrame.unionByName, found)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from code_impact.functions.arrays import let, sums_before, with_once
+from code_impact.session import cut_lineage
 
 # Kinds in the order in which spans with one start are listed, their patterns, and the group whose length must suffice.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -66,14 +67,13 @@ def train_ratio(samples: DataFrame, smoothing: float = 0.5, backoff: float = 8.0
     is mixed with ``uniform`` parts of a uniform one, so that random strings need not use the letters of those in the samples.
     """
     once = samples.where("value IS NOT NULL AND secret IN (0, 1)").select("value", "secret").distinct()
-    begun = once.select("secret", F.concat(F.lit("^"), "value").alias("v"))
-    pairs = begun.select("secret", F.explode(F.sequence(F.lit(1), F.length("v") - 1)).alias("k"), "v").select("secret", F.substring("v", F.col("k"), 2).alias("pair"))
+    # Only numbers leave a string's row.
+    steps = once.select("secret", F.explode(transitions(F.col("value"))).alias("step")).where("step IS NOT NULL")
     size = len(ALPHABET) + 1
-    number = {c: k + 1 for k, c in enumerate(ALPHABET)} | {"^": 0}
     counts = [[[0.0] * size for _ in range(size)] for _ in range(2)]
-    inside = pairs.where(F.col("pair").rlike(r"^[\^A-Za-z0-9+/_=.-][A-Za-z0-9+/_=.-]$"))
-    for row in inside.groupBy("secret", "pair").count().collect():
-        counts[row["secret"]][number[row["pair"][0]]][number[row["pair"][1]]] += row["count"]
+    for row in steps.groupBy("secret", "step").count().collect():
+        counts[row["secret"]][row["step"] // size][row["step"] % size] += row["count"]
+
     def model(found: list[list[float]]) -> list[list[float]]:
         """Transition probabilities that fall back on how often a character occurs at all where a row has few counts."""
         single = [sum(row[b] for row in found) for b in range(size)]
@@ -86,19 +86,20 @@ def train_ratio(samples: DataFrame, smoothing: float = 0.5, backoff: float = 8.0
     return ratio
 
 
-def log_ratio(value: Column, ratio: list[float]) -> Column:
-    """Log-likelihood ratio of a string: secret against ordinary."""
-    size = len(ALPHABET) + 1
-    table = F.split(F.lit(",".join(f"{r:.6f}" for r in ratio)), ",").cast("array<double>")
+def transitions(value: Column) -> Column:
+    """One number for each character and the one before it, null where either is outside the alphabet.
 
-    def number(at: Column) -> Column:
-        return F.position(F.substring(value, at, F.lit(1)), F.lit(ALPHABET))
+    The string is split once and each character looked up once, so the work grows with its length.
+    """
+    size = len(ALPHABET) + 1
+    numbers = F.transform(F.split(value, ""), lambda c: F.nullif(F.position(c, F.lit(ALPHABET)), F.lit(0)))
+    return let(numbers, lambda own: F.zip_with(F.concat(F.array(F.lit(0)), F.slice(own, 1, F.size(own) - 1)), own, lambda before, c: before * size + c))
 
-    def step(acc: Column, at: Column) -> Column:
-        before = F.when(at == 1, F.lit(0)).otherwise(number(at - 1))
-        return acc + F.get(table, before * size + number(at))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), F.lit(0.0), step)
+def log_ratio(value: Column, ratio: list[float]) -> Column:
+    """Log-likelihood ratio of a string: secret against ordinary. Transitions outside the alphabet tell nothing."""
+    table = F.split(F.lit(",".join(f"{r:.6f}" for r in ratio)), ",").cast("array<double>")
+    return F.aggregate(transitions(value), F.lit(0.0), lambda acc, step: acc + F.coalesce(F.get(table, step), F.lit(0.0)))
 
 
 def find_secrets(docs: DataFrame, samples: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", least_total: float = 12.0, least_mean: float = 0.5, least_distinct: int = 6) -> DataFrame:
@@ -106,20 +107,28 @@ def find_secrets(docs: DataFrame, samples: DataFrame | None = None, id_col: str
 
     Kinds 0 to 2 are the fixed patterns. Kind 3 are runs of 16 or more characters of keys outside them whose log-likelihood
     ratio is at least ``least_total``, and ``least_mean`` per character; a random key has ``least_distinct`` different ones. ``samples`` (value, secret) train the models; without them
-    the patterns label the corpus itself. A null text is empty, an empty one has no spans, repeated rows are scanned each.
+    the patterns label the corpus itself, in two rounds: strings outside the patterns that the first models find more like secrets
+    than like the others are no ordinary samples of the second. A null text is empty, an empty one has no spans, repeated rows are scanned each.
     """
-    found = located(docs, id_col, text_col)
-    ratio = train_ratio(rule_samples(found) if samples is None else samples)
+    # Stored, so that the texts are searched once for training and for scoring.
+    found = cut_lineage(located(docs, id_col, text_col))
+
+    def likely(value: Column, ratio: list[float]) -> Column:
+        varied = F.size(F.array_distinct(F.split(value, ""))) >= least_distinct
+        return varied & let(log_ratio(value, ratio), lambda r: (r >= least_total) & (r >= least_mean * F.length(value)))
 
-    def likely(c: Column) -> Column:
-        varied = F.size(F.array_distinct(F.split(c["value"], ""))) >= least_distinct
-        return varied & let(log_ratio(c["value"], ratio), lambda r: (r >= least_total) & (r >= least_mean * F.length(c["value"])))
+    if samples is None:
+        marked = cut_lineage(rule_samples(found).distinct())
+        first = train_ratio(marked)
+        ratio = train_ratio(marked.where((F.col("secret") == 1) | (log_ratio(F.col("value"), first) <= 0)))
+    else:
+        ratio = train_ratio(samples)
 
     def numbered(spans: Column | str, no: int) -> Column:
         return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(no).alias("kind_no"), m["end"].alias("end")))
 
     arrays = [numbered(k, no) for no, k in enumerate(BASE)]
-    added = numbered(F.filter("markov", likely), len(BASE))
+    added = numbered(F.filter("markov", lambda c: likely(c["value"], ratio)), len(BASE))
     return found.select("doc_id", F.sort_array(F.concat(*arrays, added)).alias("spans"))
 
 

@@ -10,8 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from code_impact.llm.common import ASCII_LOWER
+from code_impact.llm.common import ASCII_LOWER, byte_runs
+from code_impact.session import cut_lineage
 
+# Bytes of texts whose subwords are held at a time.
+_MOST_BYTES = 1 << 20
 _SPACES = bytes(32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 
@@ -94,15 +97,15 @@ class Model:
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         """Softmax of (average of the subword vectors) x output, for label 1.
 
-        Averaging is linear, so each bucket's share of the logit is taken first and then averaged.
+        Averaging is linear, so each bucket's share of the logit is taken first and then averaged. Texts are read in runs of
+        bounded bytes, a longer one alone, at some 40 bytes of memory for each of theirs.
         """
         share = (self.vectors @ (self.output[:, 1] - self.output[:, 0])).astype(np.float64)
         logits = np.full(len(texts), self.bias)
-        for at in range(0, len(texts), 32):
-            some = texts[at : at + 32]
-            ids, owners = self.features.of(some)
-            n = np.bincount(owners, minlength=len(some))
-            logits[at : at + 32] += np.bincount(owners, weights=share[ids], minlength=len(some)) / np.maximum(n + self.features.blank, 1)
+        for lo, hi in byte_runs(texts, _MOST_BYTES):
+            ids, owners = self.features.of(texts[lo:hi])
+            n = np.bincount(owners, minlength=hi - lo)
+            logits[lo:hi] += np.bincount(owners, weights=share[ids], minlength=hi - lo) / np.maximum(n + self.features.blank, 1)
         return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
 
 
@@ -152,8 +155,11 @@ def held_out(id_: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, features: Features, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", max_rows: int = 4000, **options) -> Model:
-    """Fit on at most ``max_rows`` labelled documents, half of each label, chosen by a hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, features: Features, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", max_rows: int = 4000, max_bytes: int = 32 << 20, **options) -> Model:
+    """Fit on at most ``max_rows`` labelled documents of at most ``max_bytes`` together, half of each label, by a hash of their id.
+
+    One row stands for an id, however often it is repeated: that whose text has the smallest hash. A text that would take its
+    label beyond its half of the bytes is passed over.
 
     ``labels`` has (id, label 0/1); rows without id or label are left out, of several labels the largest counts. The share of
     label 1 among all labelled rows sets the log odds of a score. With no labelled documents of one label the model is
@@ -171,7 +177,14 @@ def fit(docs: DataFrame, labels: DataFrame, features: Features, id_col: str = "d
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(half) for k in (0, 1)]
     # At most ``max_rows`` narrow rows.
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
+    sample = cut_lineage(found.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label")))
+    kept, left = [], {0: max_bytes // 2, 1: max_bytes // 2}
+    for r in sample.select("id", "label", F.octet_length("text").alias("size")).orderBy(F.xxhash64("id"), "id").collect():
+        if r["size"] <= left[r["label"]]:
+            left[r["label"]] -= r["size"]
+            kept.append(r["id"])
+    sample = sample.where(F.col("id").isin(kept))
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([*batches, pd.DataFrame({"id": [], "text": [], "label": []})]).sort_values(["id", "text"])

@@ -80,7 +80,8 @@ def judged(rows: DataFrame, z: float, weight: float, threshold: float) -> DataFr
     leaves = rows.groupBy("host", "template").agg(*sums)
     hosts = leaves.groupBy("host").agg(((F.sum("bad") + weight * prior) / (F.sum("labelled") + weight)).alias("host_share"))
     leaves = leaves.join(hosts, "host").withColumn("share", (F.col("bad") + weight * F.col("host_share")) / (F.col("labelled") + weight))
-    leaves = leaves.withColumn("parent", F.regexp_replace("template", r"/[^/*]+((?:/\*[^/]*|/)*)$", r"/?$1"))
+    # 'post-*' and 'item-*' are names too; only a segment that begins with '*' is a value.
+    leaves = leaves.withColumn("parent", F.regexp_replace("template", r"/[^/*][^/]*((?:/\*[^/]*|/)*)$", r"/?$1"))
     # Sisters with the same counts have the same share: one row for all of them, so the sisters of a node are a short array.
     alike = ["host", "parent", "labelled", "bad"]
     kinds = leaves.groupBy(*alike).agg(F.first("share").alias("share"), F.count("*").alias("sisters"))

@@ -35,7 +35,7 @@ def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return made.withColumn("twin", F.when(F.col("usable"), F.sha2(F.concat_ws(",", F.hex("label"), F.array_join(F.transform("vector", lambda e: (e + F.lit(0.0)).cast("string")), ",")), 256)))
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, tables: int = 48, projections: int = 16, width: float = 2.0, seed: int = 11, block_rows: int = 512) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, tables: int = 48, projections: int = 16, width: float = 2.0, seed: int = 11, block_rows: int = 512, group_bytes: int = 32 << 20) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Two vectors of one label link where they share a bucket of some table and their cosine, in double precision, is at least
@@ -80,7 +80,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # Block b meets block o in the task (smaller, larger).
     shared = shared.select("node", "at", "bucket", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
     shared = shared.select("node", "at", "block", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), F.xxhash64("at", "bucket", F.least("block", "o"), F.greatest("block", "o")).alias("task"))
-    members = shared.join(nodes.select("node", "many", "unit", "codes"), "node").withColumn("group", F.pmod(F.xxhash64("task"), F.lit(16 * n_parts)))
+    # Tasks have at most two blocks of rows; as many groups of them as keep a group at about ``group_bytes``.
+    spread_rows = full.agg(F.coalesce(F.sum(F.col("size") * F.ceil(F.col("size") / block_rows)), F.lit(0))).first()[0]
+    row_bytes = nodes.agg(F.coalesce(F.max(F.length("unit") + F.length("codes")), F.lit(0))).first()[0] + 64
+    groups = max(16 * n_parts, -(-spread_rows * row_bytes // group_bytes))
+    members = shared.join(nodes.select("node", "many", "unit", "codes"), "node").withColumn("group", F.pmod(F.xxhash64("task"), F.lit(groups)))
 
     def compare(group: pa.Table) -> pa.Table:
         columns = {c: group.column(c).to_pylist() for c in ("unit", "codes")}

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from code_impact.llm import common, components, decontaminate, line_dedup, ngram_join, packing, quality, secrets, toxicity, url_filter, vector_neardup, warc
+from code_impact.llm import common, components, decontaminate, line_dedup, ngram_join, packing, quality, secrets, subword, toxicity, url_filter, vector_neardup, warc
 from code_impact.llm.queries import QUERIES
 from code_impact.session import scratch_path
 
@@ -148,6 +149,51 @@ def test_scores_of_odd_rows(spark):
         assert make(docs.limit(0), labels).count() == 0
 
 
+def test_training_rows_are_bounded(spark):
+    rng = random.Random(31)
+    texts = [(k, " ".join(rng.choices(["bad", "worse"] if k % 2 else ["good", "fine"], k=30))) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, label int")
+    features = toxicity.FEATURES
+    once = subword.fit(documents(spark, texts), labels, features)
+    # An id repeated thousands of times, also with another text of larger hash, is one row of the sample.
+    again = subword.fit(documents(spark, texts + [texts[3]] * 5000), labels, features)
+    assert (once.vectors == again.vectors).all() and (once.output == again.output).all()
+    # Texts that do not fit are passed over; without any the model is constant.
+    long = [(k, "long " * 100_000) for k in (100, 101)]
+    more = labels.unionByName(spark.createDataFrame([(100, 0), (101, 1)], "doc_id long, label int"))
+    bounded = subword.fit(documents(spark, texts + long), more, features, max_bytes=50_000)
+    assert (bounded.vectors != 0).any()
+    assert not subword.fit(documents(spark, long), more, features, max_bytes=50_000).vectors.any()
+
+
+def test_subwords_by_hand():
+    """Buckets of a text: each n-gram of bytes inside a word with its ends, wherever it stands, is the same bucket."""
+    features = subword.Features(sizes=(3, 4), words=False, pairs=False, bits=20)
+    ids = lambda t: sorted(features.of([t.encode()])[0].tolist())
+    gram = lambda g: ids(g)[0] if len(g) == 3 else None
+    for text in ["abc abd", "über x", "  a  ", "", "a" * 50]:
+        padded = [b" " + w + b" " for w in text.encode().split()]
+        expected = sum(max(0, len(w) - n + 1) for w in padded for n in (3, 4))
+        found, owners = features.of([text.encode(), b"z"])
+        assert (owners == 0).sum() == expected, text
+        # The same n-grams give the same buckets: a text twice has each bucket twice.
+        assert ids(text + " " + text) == sorted(ids(text) * 2)
+    assert gram("abc") != gram("abd")
+
+
+def test_model_by_hand():
+    rng = np.random.default_rng(4)
+    features = subword.Features(bits=10, blank=3)
+    model = subword.Model(features, rng.standard_normal((1024, 4)).astype(np.float32), rng.standard_normal((4, 2)).astype(np.float32), 0.3)
+    texts = [b"", b"a few words", b"w" * 3_000_000, b"more and more words " * 9]
+    for text, p in zip(texts, model.probabilities(texts)):
+        ids, _ = features.of([text])
+        mean = model.vectors[ids].sum(axis=0, dtype=np.float64) / max(1, len(ids) + 3)
+        logits = mean @ model.output.astype(np.float64)
+        by_hand = 1 / (1 + np.exp(-(logits[1] - logits[0] + 0.3)))
+        assert abs(p - by_hand) < 1e-4
+
+
 def test_misspelt_words_share_vectors(spark):
     rng = random.Random(3)
     plain = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
@@ -202,6 +248,16 @@ def test_small_sections_keep_their_verdict(spark):
     assert {r.template for r in rows} == {f"/{chr(97 + k) * 3}/*" for k in range(26)} | {"/few/*", "/*/*"}
 
 
+def test_half_wild_sisters_are_compared(spark):
+    rows = [(1000 * k + i, f"http://h.org/blog/{s}-{i}", int(s == "bad")) for k, s in enumerate(["post", "item", "bad"]) for i in range(60)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    found = url_filter.filter_urls(pages, spark.createDataFrame([(r[0], r[2]) for r in rows], "page_id long, bad int"), []).collect()
+    purity = {r.template: r.purity for r in found}
+    # The two clean sisters are one group, so they share a purity.
+    assert set(purity) == {"/blog/post-*", "/blog/item-*", "/blog/bad-*"} and purity["/blog/post-*"] == purity["/blog/item-*"]
+    assert {r.page_id // 1000 for r in found if r.verdict == "block"} == {2}
+
+
 def test_unlike_and_deep_sections_part(spark):
     # Seven sections of 100 labels, 20 to 80 of them bad, and two that differ below the eighth level alone.
     steps = [(1000 * k + i, f"http://steps.org/{chr(97 + k) * 3}/{i}", int(i < 10 * k)) for k in range(2, 9) for i in range(100)]
@@ -290,6 +346,49 @@ def test_secret_spans(spark):
     assert collections.Counter((r.doc_id, tuple(tuple(s) for s in r.spans if s.kind_no < 3)) for r in alone) == expected
 
 
+def test_long_values_take_linear_time(spark):
+    rng = random.Random(11)
+    text = "".join(rng.choices(secrets.ALPHABET[:64], k=1_000_000))
+    plain = [("_".join(rng.choices(["some", "plain", "name", "of", "the", "value", "count", "total"], k=4)), 0) for _ in range(500)]
+    samples = spark.createDataFrame([("a1B2c3D4e5F6g7H8", 1), *plain, (text, 1), (None, 1)], "value string, secret int")
+    start = time.time()
+    ratio = secrets.train_ratio(samples)
+    found = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), samples).collect()
+    assert time.time() - start < 20
+    assert [(s.start, s.kind_no, s.end) for s in found[0].spans] == [(0, 3, 1_000_000)]
+    # The log ratio, by hand.
+    size, number = len(secrets.ALPHABET) + 1, {c: k + 1 for k, c in enumerate(secrets.ALPHABET)}
+    for value in ["aB", "some_name-1", "x\u00e9y", text[:5000]]:
+        codes = [0, *(number.get(c) for c in value)]
+        by_hand = sum(float(f"{ratio[a * size + b]:.6f}") for a, b in zip(codes, codes[1:]) if a is not None and b is not None)
+        row = spark.createDataFrame([(value,)], "v string").select(secrets.log_ratio(F.col("v"), ratio).alias("r")).first()
+        assert abs(row.r - by_hand) < 1e-6 * max(1, abs(by_hand))
+
+
+def test_planted_bare_keys(spark):
+    """Bare random keys among identifiers, with labels from the patterns alone: what is caught and what is flagged besides."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("aeioubcdfglmnprst", k=rng.randint(3, 8))) for _ in range(400)]
+    name = lambda: "_".join(rng.choices(words, k=rng.randint(3, 5)))
+    key = lambda: "".join(rng.choices(secrets.ALPHABET[:62], k=rng.randint(24, 44)))
+    rows, keys, names = [], {}, {}
+    for k in range(1500):
+        parts = [rng.choice(words) if rng.random() < 0.8 else name() for _ in range(60)]
+        if k % 10 == 0:
+            parts.insert(5, f"token = {key()}")
+        if k % 5 == 3:
+            keys[k] = key()
+            parts.insert(9, keys[k])
+        rows.append((k, " ".join(parts)))
+    found = {r.doc_id: [s for s in r.spans if s.kind_no == 3] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    added = [(i, texts[i][s.start : s.end]) for i, spans in found.items() for s in spans]
+    caught = sum(keys.get(i) == v for i, v in added)
+    candidates = sum(len(re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", t)) for _, t in rows)
+    print(f"bare keys caught {caught} of {len(keys)}, other strings flagged {len(added) - caught} of {candidates - len(keys)}")
+    assert caught >= 0.95 * len(keys) and len(added) - caught <= 0.01 * candidates
+
+
 def test_copies_of_a_key_do_not_hide_it(spark):
     rng = random.Random(11)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -388,7 +487,7 @@ def test_near_vectors(spark, block_rows):
     nan, inf = float("nan"), float("inf")
     rows += [(2000, None, 0), (2001, [], 0), (2002, [0.0] * 24, 0), (2003, [nan] * 24, 0), (2004, [inf] * 24, 0), (2005, [None] + [1.0] * 23, 0), (2006, [1.0, 2.0], 0), (2007, [1.0, 2.0], 0), (7, rows[7][1], rows[7][2])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({k: F.lit(v) for k, v in CLASH.items() if k != "label"}).repartition(3)
-    found = sorted(map(tuple, vector_neardup.near_vectors(frame, block_rows=block_rows).collect()))
+    found = sorted(map(tuple, vector_neardup.near_vectors(frame, block_rows=block_rows, group_bytes=block_rows << 12).collect()))
     sound = [v is not None and len(v) > 0 and None not in v and np.isfinite(v).all() and np.any(v) and label is not None for _, v, label in rows]
     link = np.zeros((len(rows), len(rows)), bool)
     for a in range(len(rows)):
