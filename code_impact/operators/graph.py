@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from code_impact.operators.cycles import condensed, strong_components
 from code_impact.session import cut_lineage
 
 # Weight of a related file by fragments of its path, and of a file that only depends on the change.
@@ -110,9 +111,22 @@ def closure(links: DataFrame, starts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, pieces).withColumnRenamed("node", "affected")
 
 
+def reached(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """The rows of ``closure``, found between strongly connected components: a cycle is walked as one node, whatever its size."""
+    links = cut_lineage(links.select("repository", "used", "user").distinct())
+    parts = cut_lineage(strong_components(links))
+    asked = starts.select("repository", F.col("start").alias("node")).distinct().join(parts, ["repository", "node"])
+    asked = cut_lineage(asked.select("repository", F.col("node").alias("start"), F.col("component").alias("part"), "cyclic"))
+    ways = closure(condensed(links, parts), asked.select("repository", F.col("part").alias("start")))
+    own = asked.where("cyclic").select("repository", F.col("part").alias("start"), F.col("part").alias("affected")).distinct()
+    pairs = ways.unionByName(own).select("repository", F.col("start").alias("part"), F.col("affected").alias("component"))
+    members = parts.select("repository", "component", F.col("node").alias("affected"))
+    return asked.join(pairs, ["repository", "part"]).join(members, ["repository", "component"]).select("repository", "start", "affected")
+
+
 def transitive_dependents(edges: DataFrame, asked: DataFrame) -> DataFrame:
     links = edges.select("repository", F.col("dst").alias("used"), F.col("src").alias("user"))
-    return closure(links, asked.select("repository", F.col("name").alias("start")))
+    return reached(links, asked.select("repository", F.col("name").alias("start")))
 
 
 def file_links(index: dict[str, DataFrame]) -> DataFrame:
@@ -180,21 +194,28 @@ def _state(rows: DataFrame) -> tuple[int, int]:
 def best_dependents(links: DataFrame, limit: int) -> DataFrame:
     """The best ``limit`` files by priority and path that reach each file, at any distance: (repository, start, path, priority, rank).
 
-    The best of a file are among its users and the best of each user, so only ``limit`` rows a file are kept, and the step
-    is repeated until nothing changes. That is exact, on cycles too, and the rows of a round are at most ``limit`` per link.
+    Files of a cycle are reached by the same files, so the best are looked for per strongly connected component. They are among
+    the users of its files and the best of each component that uses it, so only ``limit`` rows a component are kept, and the step
+    is repeated until nothing changes. That is exact, and the rows of a round are at most ``limit`` per link.
     """
     key = ["repository", "start"]
-    direct = links.select("repository", F.col("used").alias("start"), F.col("user").alias("path")).withColumn("priority", path_priority(F.col("path")))
+    parts = cut_lineage(strong_components(links))
+    ways = cut_lineage(condensed(links, parts))
+    used = parts.select("repository", F.col("node").alias("used"), F.col("component").alias("start"))
+    direct = links.join(used, ["repository", "used"]).select("repository", "start", F.col("user").alias("path")).distinct()
+    direct = cut_lineage(_top(direct.withColumn("priority", path_priority(F.col("path"))), key, limit)).drop("rank")
     best = cut_lineage(_top(direct, key, limit))
     state = _state(best)
     while True:
         of_users = best.select("repository", F.col("start").alias("user"), "path", "priority")
-        via = links.join(of_users, ["repository", "user"]).select("repository", F.col("used").alias("start"), "path", "priority")
+        via = ways.join(of_users, ["repository", "user"]).select("repository", F.col("used").alias("start"), "path", "priority")
         rows = direct.unionByName(via).groupBy(*key, "path").agg(F.first("priority").alias("priority"))
         best = cut_lineage(_top(rows, key, limit))
         state, before = _state(best), state
         if state == before:
-            return best
+            break
+    files = parts.select("repository", F.col("component").alias("start"), "node")
+    return best.join(files, key).select("repository", F.col("node").alias("start"), "path", "priority", "rank")
 
 
 def related_files(index: dict[str, DataFrame], changes: DataFrame, limit: int = RELATED_FILES) -> DataFrame:

@@ -192,7 +192,7 @@ def _signature(returns: Column, name: Column, parameters: Column) -> Column:
     return F.concat(F.when(returns != "", F.concat(returns, F.lit(" "))).otherwise(F.lit("")), name, F.lit("("), args, F.lit(")"))
 
 
-def _method(name, returns, line, parameters, annotations, end) -> Column:
+def _method(name, returns, line, parameters, annotations, end, generated: bool = False) -> Column:
     return F.struct(
         name.alias("name"),
         _signature(returns, name, parameters).alias("signature"),
@@ -201,6 +201,7 @@ def _method(name, returns, line, parameters, annotations, end) -> Column:
         parameters.alias("parameters"),
         annotations.alias("annotations"),
         end.alias("end_line"),
+        F.lit(generated).alias("generated"),
     )
 
 
@@ -263,8 +264,8 @@ def _accessors(fields: Column) -> Column:
         suffix = F.concat(F.upper(F.substring(f["name"], 1, 1)), F.substr(f["name"], F.lit(2)))
         setter = F.array(F.struct(f["type"].alias("type"), f["name"].alias("name")))
         return F.array(
-            _method(F.concat(F.lit("get"), suffix), f["type"], f["line"], none, empty, f["line"]),
-            _method(F.concat(F.lit("set"), suffix), F.lit("void"), f["line"], setter, empty, f["line"]),
+            _method(F.concat(F.lit("get"), suffix), f["type"], f["line"], none, empty, f["line"], generated=True),
+            _method(F.concat(F.lit("set"), suffix), F.lit("void"), f["line"], setter, empty, f["line"], generated=True),
         )
 
     return F.flatten(F.transform(fields, pair))
@@ -401,11 +402,15 @@ def edges(types: DataFrame) -> DataFrame:
 
 
 def fragments(files: DataFrame) -> DataFrame:
-    """Searchable text of each method: comments stripped, white space collapsed, the method name in front."""
+    """Searchable text of each method: comments stripped, white space collapsed, the method name in front.
+
+    Generated accessors have no text of their own and are left out.
+    """
     found = java_types(files, keep=("content",))
+    written = F.filter("methods", lambda m: ~m["generated"])
     body = lambda lines, m: F.array_join(F.slice(lines, m["line"], m["end_line"] - m["line"] + 1), "\n")
     pieces = let(
-        F.split("content", "\n", -1), lambda lines: F.transform("methods", lambda m: F.struct(m.alias("m"), body(lines, m).alias("code")))
+        F.split("content", "\n", -1), lambda lines: F.transform(written, lambda m: F.struct(m.alias("m"), body(lines, m).alias("code")))
     )
     # Cut the text before exploding, so that no row carries more of the file than its method.
     rows = found.select("repository", "path", F.col("name").alias("class_name"), F.explode(each(pieces)).alias("p"))

@@ -275,10 +275,10 @@ def affected_classes_v2(changes: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select(*PR, F.explode(every).alias("class")).distinct()
 
 
-def affected_methods(changes: DataFrame) -> DataFrame:
-    """Names on any patch line, added, removed or context, that says public or protected."""
+def affected_methods(changes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Names on any patch line, added, removed or context, that says public or protected; ``keep`` names further columns."""
     lines = F.filter(lines_of(F.col("patch")), lambda line: _has(line, "public", "protected"))
-    return changes.select(*PR, F.explode(each(F.array_distinct(_names(lines, _NAME)))).alias("method")).distinct()
+    return changes.select(*PR, *keep, F.explode(each(F.array_distinct(_names(lines, _NAME)))).alias("method")).distinct()
 
 
 _ARTIFACT = r"<artifactId>(.*?)</artifactId>"

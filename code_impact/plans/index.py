@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from code_impact.operators import index as ops
-from code_impact.operators import java
+from code_impact.operators import graph, java, maintain
 from code_impact.plans.java import PATH, REPO
 from code_impact.plans.registry import query
 from code_impact.session import scratch_path
@@ -141,3 +141,58 @@ def incremental_index(t):
         "repository", "name", F.array_join(F.transform("methods", lambda m: m["signature"]), ",").alias("methods"),
         F.array_join("dependencies", ",").alias("dependencies"),
     )
+
+
+# Of the next version, files of every sixth part have a class without a superclass or fields, and every eleventh file is gone.
+NEXT = "(SELECT * FROM part WHERE p_partkey % 11 <> 0)"
+EDGES_NEXT = EDGES.replace("FROM part", "FROM (SELECT * FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 6 <> 1)")
+LINKS_NEXT = f"""SELECT DISTINCT e.repository, s.path AS user_path, d.path AS used_path FROM ({EDGES_NEXT}) e
+ JOIN (SELECT {REPO} AS repository, 'C' || p_partkey AS name, {PATH} AS path FROM {NEXT}) s ON s.repository = e.repository AND s.name = e.src
+ JOIN (SELECT {REPO} AS repository, 'C' || p_partkey AS name, {PATH} AS path FROM {NEXT}) d ON d.repository = e.repository AND d.name = e.dst"""
+
+
+def _refreshed(t):
+    """The index of the next version, made from the stored one by the files that differ; once per application."""
+    path = t.once("refreshed-index", lambda at: store.IndexStore(t.spark, at).save(maintain.refresh_index(t.index("code_files"), t.types("code_files"), t["code_files_next"])[0]))
+    return store.IndexStore(t.spark, path).load()
+
+
+@query(
+    "incremental_tables",
+    f"""SELECT 'file' AS part, {REPO} AS repository, {PATH} AS key, 'C' || p_partkey AS detail FROM {NEXT}
+    UNION ALL SELECT 'class', {REPO}, 'C' || p_partkey, {PATH} FROM {NEXT}
+    UNION ALL SELECT 'method', {REPO}, 'C' || p_partkey, 'C' || p_partkey || '(C' || ((p_partkey * 7 + 3) % 97) || ' dep)' FROM {NEXT}
+    UNION ALL SELECT 'method', {REPO}, 'C' || p_partkey, 'void ' || CASE WHEN p_partkey % 6 = 1 THEN 'n' ELSE 'm' END || p_size || '(Long id)' FROM {NEXT}
+    UNION ALL SELECT 'edge', repository, src || ' -> ' || dst, type FROM ({EDGES_NEXT}) e""",
+)
+def incremental_tables(t):
+    index = _refreshed(t)
+    row = lambda part, key, detail: index[{"class": "classes"}.get(part, part + "s")].select(F.lit(part).alias("part"), "repository", key.alias("key"), detail.alias("detail"))
+    parts = [row("class", F.col("name"), F.col("path")), row("method", F.col("class"), F.col("signature")), row("edge", F.concat_ws(" -> ", "src", "dst"), F.col("type"))]
+    found = row("file", F.col("path"), F.array_join("classes", ","))
+    for part in parts:
+        found = found.unionByName(part)
+    return found
+
+
+@query("incremental_reverse_index", f"SELECT repository, used_path AS path, user_path AS used_by FROM ({LINKS_NEXT}) l")
+def incremental_reverse_index(t):
+    old = t.index("code_files")
+    support, _ = maintain.refresh_links(t.stored("link-support", lambda: maintain.link_support(old)), old, _refreshed(t))
+    return support.select("repository", F.col("used").alias("path"), F.col("user").alias("used_by"))
+
+
+@query(
+    "incremental_closure",
+    f"""WITH RECURSIVE e AS ({EDGES_NEXT}),
+    r(repository, start, affected) AS (
+      SELECT DISTINCT e.repository, e.dst, e.src FROM e JOIN (SELECT DISTINCT repository, dst FROM e WHERE type = 'extends') s ON s.repository = e.repository AND s.dst = e.dst
+      UNION SELECT r.repository, r.start, e.src FROM r JOIN e ON e.repository = r.repository AND e.dst = r.affected)
+    SELECT repository, start, affected FROM r""",
+)
+def incremental_closure(t):
+    links = lambda edges: edges.select("repository", F.col("dst").alias("used"), F.col("src").alias("user"))
+    starts = lambda edges: edges.where(F.col("type") == "extends").select("repository", F.col("dst").alias("start")).distinct()
+    old, new = t.index("code_files")["edges"], _refreshed(t)["edges"]
+    before = t.stored("closure", lambda: graph.reached(links(old), starts(old)))
+    return maintain.refresh_closure(before, starts(new), links(old), links(new))

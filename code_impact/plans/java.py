@@ -124,7 +124,7 @@ def java_annotations(t):
 )
 def java_generated_accessors(t):
     rows = java.methods(java.java_types(t["service_files"]))
-    return rows.where(F.col("name").rlike("^[gs]et[A-Z]")).select("repository", "class", "signature", "line")
+    return rows.where("generated").select("repository", "class", "signature", "line")
 
 
 @query(
@@ -147,7 +147,7 @@ def java_endpoints(t):
     'p' || p_size || ' void p' || p_size || '( String a, final int b);', p_partkey % 4 = 0, false FROM part""",
 )
 def code_fragments(t):
-    rows = java.fragments(t["service_files"]).where(~F.col("function_name").rlike("^[gs]et[A-Z]"))
+    rows = java.fragments(t["service_files"])
     return rows.select(
         "repository", "file_path", "class_name", "function_name", "lines_of_code", "document", "is_test_file", "has_comments"
     )

@@ -2,7 +2,7 @@
 
 PARAMETERS = "array<struct<type:string,name:string>>"
 METHOD = (
-    f"name string, signature string, line int, return_type string, parameters {PARAMETERS}, annotations array<string>, end_line int"
+    f"name string, signature string, line int, return_type string, parameters {PARAMETERS}, annotations array<string>, end_line int, generated boolean"
 )
 
 INDEX_TABLES = {

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterator
 from fnmatch import fnmatch
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from code_impact.functions.paths import IGNORED_DIRS
+from code_impact.session import cut_lineage
 
 LISTED = "file string, folder boolean, size long, modified timestamp"
 
@@ -35,43 +38,42 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def scan_code_files(spark: SparkSession, root: str, repository: str, glob: str | None = None, parts: int = 0) -> DataFrame:
     """All files below ``root``: (repository, path, content, size, last_modified), hidden and empty ones too.
 
-    Bad UTF-8 becomes U+FFFD. Ignored folders are left out while listing and ``glob`` is matched against names, so nothing
-    else is ever read. Two levels of folders are listed first; what lies below is listed by tasks, and files are dealt out
-    to ``parts`` tasks (as many as Spark shuffles to, if 0) before they are read one by one. ``root`` is a path or a URI that
-    ``pyarrow.fs`` can open from every executor.
+    Bad UTF-8 becomes U+FFFD; a file that cannot be read has no content. Ignored folders are left
+    out while listing and ``glob`` is matched against names, so nothing else is ever read. Folders are listed level by level:
+    those of a level are a table, dealt out to ``parts`` tasks (as many as Spark shuffles to, if 0), and what they hold is the
+    next one, so neither the driver nor one task lists a tree. Files are dealt out again before they are read one by one.
+    ``root`` is a path or a URI that ``pyarrow.fs`` can open from every executor.
     """
-    store, top = fs.FileSystem.from_uri(root)
+    _, top = fs.FileSystem.from_uri(root)
     top = top.rstrip("/")
-    known, folders = [], [top]
-    for _ in range(2):
-        found = [c for folder in folders for c in _children(store, folder, glob)]
-        known += [c for c in found if not c[1]]
-        folders = [c[0] for c in found if c[1]]
     spread = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, _ = fs.FileSystem.from_uri(root)
         for batch in batches:
-            for start, folder, size, modified in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if not folder:
-                    yield _batch([(start, False, size, modified)])
-                    continue
-                waiting = [start]
-                while waiting:
-                    children = list(_children(there, waiting.pop(), glob))
-                    waiting += [c[0] for c in children if c[1]]
-                    yield _batch([c for c in children if not c[1]])
+            for folder in batch.column(0).to_pylist():
+                found = _children(there, folder, glob)
+                while some := list(islice(found, 10_000)):
+                    yield _batch(some)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, _ = fs.FileSystem.from_uri(root)
         for batch in batches:
             for k in range(batch.num_rows):
-                with there.open_input_stream(batch.column("file")[k].as_py(), compression=None) as file:
-                    one = batch.slice(k, 1)
-                    yield pa.RecordBatch.from_arrays([one.column("file"), one.column("size"), one.column("modified"), pa.array([file.read()], pa.binary())], ["file", "size", "modified", "content"])
-
-    begun = spark.createDataFrame([*known, *((f, True, 0, None) for f in folders)], LISTED).repartition(spread)
-    listed = begun.mapInArrow(walk, LISTED).repartition(spread)
+                one = batch.slice(k, 1)
+                try:
+                    with there.open_input_stream(batch.column("file")[k].as_py(), compression=None) as file:
+                        content = file.read()
+                except OSError:
+                    content = None
+                yield pa.RecordBatch.from_arrays([one.column("file"), one.column("size"), one.column("modified"), pa.array([content], pa.binary())], ["file", "size", "modified", "content"])
+
+    levels, folders = [], spark.createDataFrame([(top,)], "file string")
+    while not levels or not folders.isEmpty():
+        levels.append(cut_lineage(folders.repartition(spread).mapInArrow(listing, LISTED)))
+        folders = levels[-1].where("folder").select("file")
+    # The files of all levels, without their contents so far.
+    listed = reduce(DataFrame.unionByName, [level.where("NOT folder") for level in levels]).repartition(spread)
     raw = listed.mapInArrow(read, "file string, size long, modified timestamp, content binary")
     return raw.select(
         F.lit(repository).alias("repository"), F.substr("file", F.lit(len(top) + 2)).alias("path"),
