@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from code_impact.llm.common import ASCII_LOWER, byte_runs, map_batches, parts, unused
@@ -287,7 +287,7 @@ def linked_sets(docs: DataFrame, shingles: int, text_col: str = "text", width: i
     block = F.pmod(F.xxhash64("name"), blocks_of)
     led = (F.pmod(F.xxhash64("name", F.lit(1)), F.ceil(F.col("many") / leaders)) == 0) & (blocks_of > 1)
     everywhere = F.when(led, F.sequence(F.lit(0).cast("long"), blocks_of - 1)).otherwise(F.array(block))
-    held = members.agg(F.coalesce(F.sum(F.length("columns") * F.size(everywhere)), F.lit(0))).first()[0]
+    held, mean = members.agg(F.coalesce(F.sum(F.length("columns") * F.size(everywhere)), F.lit(0)), F.coalesce(F.avg(F.length("columns")), F.lit(0))).first()
     inside = members.select("name", "n", "columns", F.explode(everywhere).alias("k"), "cluster").withColumn("task", F.xxhash64("cluster", "k"))
     edges = cut_lineage(_product(inside, percent, max(4 * n_parts, -(-held // product_bytes))))
 
@@ -311,18 +311,22 @@ def linked_sets(docs: DataFrame, shingles: int, text_col: str = "text", width: i
     pairs = pairs.select("key", "key2", F.xxhash64("key", "key2").alias("task"))
     sides = pairs.select("task", "key").unionByName(pairs.select("task", F.col("key2").alias("key"))).distinct()
     across = cut_lineage(known.select("name", F.xxhash64("cluster", "only", "k").alias("key")).join(sides, "key"))
+    held = int(across.count() * mean)
     across = across.join(members.select("name", "n", "columns"), "name")
-    held = across.agg(F.coalesce(F.sum(F.length("columns")), F.lit(0))).first()[0]
     return components(edges.unionByName(_product(across, percent, max(4 * n_parts, -(-held // product_bytes)))))
 
 
-def set_roots(docs: DataFrame, names: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """(name, root) of all distinct sets of ``names`` (doc_id, n_shingles, name); a set that no link leads to is its own root."""
-    sets = names.where("name IS NOT NULL").groupBy("name").agg(F.min("n_shingles").alias("n"))
-    # An upper bound: sets that occur several times are counted once.
+def first_of_groups(docs: DataFrame, names: DataFrame, first: Column, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((name, root) of all distinct sets of ``names`` (name, n_shingles, further columns), (root, first) by the aggregate ``first``).
+
+    A set that no link leads to is its own root. ``first`` is a minimum: it is taken for each set first, so that a set with very many
+    copies is summed before it meets the others.
+    """
+    sets = cut_lineage(names.where("name IS NOT NULL").groupBy("name").agg(F.min("n_shingles").alias("n"), F.min(first).alias("first")))
     shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     linked = linked_sets(docs, shingles, text_col, width, percent)
-    return cut_lineage(sets.join(linked, sets["name"] == linked["node"], "left").select("name", F.coalesce("root", "name").alias("root")))
+    rooted = cut_lineage(sets.join(linked, sets["name"] == linked["node"], "left").select("name", "first", F.coalesce("root", "name").alias("root")))
+    return rooted.select("name", "root"), cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("first")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -333,10 +337,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows without an id do not name a component. Shingles and sets are compared by 64-bit hashes.
     """
     names = cut_lineage(shingle_names(docs, id_col, text_col, width))
-    classes = names.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("first"))
-    rooted = cut_lineage(classes.join(set_roots(docs, names, text_col, width, percent), "name"))
-    lowest = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    found = cut_lineage(rooted.join(lowest, "root").select("name", "component_id"))
+    rooted, lowest = first_of_groups(docs, names, F.col("doc_id"), text_col, width, percent)
+    found = cut_lineage(rooted.join(lowest, "root").select("name", F.col("first").alias("component_id")))
     return names.join(found, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -357,12 +359,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     # Stored, so that a row keeps its number.
     rows = cut_lineage(docs.withColumn(own_set, named(F.col(text_col))).withColumn(at, F.monotonically_increasing_id()))
     own = rows.select(F.col(own_set)["name"].alias("name"), F.col(own_set)["n_shingles"].alias("n_shingles"), F.col(id_col).cast("long").alias("id"), F.col(at).alias("place"))
-    roots = set_roots(rows, own, text_col, width, percent)
-    # First one row of each set, so that a set with very many copies is summed before it meets the others.
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("first")
-    best = cut_lineage(own.where("name IS NOT NULL").groupBy("name").agg(first))
-    best = best.join(roots, "name").groupBy("root").agg(F.min("first").alias("first"))
-    kept = cut_lineage(best.select(F.col("first.place").alias(kept_at)))
+    _, best = first_of_groups(rows, own, F.struct(F.col("id").isNull().alias("none"), "id", "place"), text_col, width, percent)
+    kept = best.select(F.col("first.place").alias(kept_at))
     empty = F.col(own_set)["name"].isNull()
     one_of_group = rows.where(~empty).join(kept, F.col(at) == F.col(kept_at), "left_semi")
     return rows.where(empty).unionByName(one_of_group).select(*[F.col(f"`{c}`") for c in docs.columns])
