@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 from code_impact.functions.arrays import each, with_once
 from code_impact.operators import java
 from code_impact.operators.files import language_stats, with_language
-from code_impact.operators.strategies import STRATEGIES
+from code_impact.operators.strategies import STRATEGIES, LanguageStrategy
 from code_impact.session import cut_lineage
 
 
-def extract_types(files: DataFrame) -> DataFrame:
-    """Classes of every file whose language has a strategy. Files without readable content are skipped."""
+def extract_types(files: DataFrame, strategies: dict[str, LanguageStrategy] | None = None) -> DataFrame:
+    """Classes of every file whose language has a strategy. Files without readable content are skipped.
+
+    The files are read once for each strategy, whatever the languages that share it.
+    """
+    strategies = STRATEGIES if strategies is None else strategies
     known = with_language(files).where(F.col("content").isNotNull())
-    parts = [strategy.extract(known.where(F.col("language") == name)) for name, strategy in STRATEGIES.items()]
+    parts = []
+    for strategy in dict.fromkeys(strategies.values()):
+        part = strategy.extract(known.where(F.col("language").isin([name for name, s in strategies.items() if s is strategy])))
+        parts.append(strategy.link(cut_lineage(part), files) if hasattr(strategy, "link") else part)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -25,18 +32,19 @@ def extract_errors(files: DataFrame) -> DataFrame:
     return files.where(F.col("content").isNull()).select("repository", "path", F.lit("unreadable content").alias("error"))
 
 
-def indexed_files(files: DataFrame) -> DataFrame:
+def indexed_files(files: DataFrame, strategies: dict[str, LanguageStrategy] | None = None) -> DataFrame:
     """Files of a language with a strategy and with readable content, with ``language`` and ``content_hash``."""
-    known = with_language(files).where(F.col("language").isin(list(STRATEGIES)) & F.col("content").isNotNull())
+    languages = list(STRATEGIES if strategies is None else strategies)
+    known = with_language(files).where(F.col("language").isin(languages) & F.col("content").isNotNull())
     return known.withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
 
 
-def merge_files(files: DataFrame, types: DataFrame) -> DataFrame:
+def merge_files(files: DataFrame, types: DataFrame, strategies: dict[str, LanguageStrategy] | None = None) -> DataFrame:
     """One row per indexed file with the names of its classes in order."""
     names = types.groupBy("repository", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("_names"))
     size = F.col("size") if "size" in files.columns else F.octet_length("content")
     modified = F.col("last_modified") if "last_modified" in files.columns else F.lit(None).cast("timestamp")
-    meta = indexed_files(files).select("repository", "path", "language", size.cast("bigint").alias("size"), modified.alias("last_modified"), "content_hash")
+    meta = indexed_files(files, strategies).select("repository", "path", "language", size.cast("bigint").alias("size"), modified.alias("last_modified"), "content_hash")
     listed = F.coalesce(F.transform("_names", lambda n: n["name"]), F.array().cast("array<string>"))
     return meta.join(names, ["repository", "path"], "left").withColumn("classes", listed).drop("_names")
 
@@ -58,13 +66,14 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return best.select("repository", "src", "dst", "w.*")
 
 
-def build_index(files: DataFrame, types: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Index tables of all repositories in ``files``. Pass ``types`` when the extraction is already stored."""
-    types = extract_types(files) if types is None else types
+def build_index(files: DataFrame, types: DataFrame | None = None, strategies: dict[str, LanguageStrategy] | None = None) -> dict[str, DataFrame]:
+    """Index tables of all repositories in ``files``. Pass ``types`` when the extraction is already stored, and
+    ``strategies`` (``strategies.EVERY``) for more languages than Java."""
+    types = extract_types(files, strategies) if types is None else types
     merged = merge_classes(types)
     rows = merged.select("repository", F.col("name").alias("class"), F.posexplode("methods").alias("method_no", "m"))
     return {
-        "files": merge_files(files, types),
+        "files": merge_files(files, types, strategies),
         "classes": merged.drop("methods"),
         "methods": rows.select("repository", "class", "method_no", "m.*"),
         "edges": merge_edges(java.edges(types)),

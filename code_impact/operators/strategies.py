@@ -7,6 +7,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 
 from code_impact.operators import diff, java
+from code_impact.operators.modules import ModuleStrategy
 
 
 class LanguageStrategy(Protocol):
@@ -14,7 +15,10 @@ class LanguageStrategy(Protocol):
         """Files to one row per class, with the columns of ``java.java_types``."""
 
     def breaking_changes(self, old: DataFrame, new: DataFrame) -> DataFrame:
-        """Breaking changes between two results of ``extract``."""
+        """Breaking changes between two results of ``extract``.
+
+        A strategy may also have ``link(types, files)``, which adds edges that need more than one file.
+        """
 
 
 class JavaStrategy:
@@ -27,6 +31,10 @@ class JavaStrategy:
 
 STRATEGIES: dict[str, LanguageStrategy] = {"java": JavaStrategy()}
 
+# With JavaScript and TypeScript, which share one strategy and so one pass over the files.
+_modules = ModuleStrategy()
+EVERY: dict[str, LanguageStrategy] = STRATEGIES | {"typescript": _modules, "javascript": _modules}
+
 
 def register(language: str, strategy: LanguageStrategy) -> None:
     STRATEGIES[language] = strategy

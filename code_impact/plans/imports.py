@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from code_impact.operators import diff
 from code_impact.operators import imports as ops
-from code_impact.operators import manifests
+from code_impact.operators import index as indexes
+from code_impact.operators import manifests, patch
+from code_impact.operators.strategies import EVERY
 from code_impact.plans.registry import query
+from code_impact.sources.store import IndexStore
 
 JSREPO = "'org/js' || (p_partkey % 5)"
 JSPATH = "'src/m/f' || p_partkey || CASE WHEN p_partkey % 7 = 0 THEN '/index.ts' ELSE '.ts' END"
@@ -112,3 +115,40 @@ def unused_packages(t):
 @query("missing_packages", "SELECT p_partkey AS project_id, 'lib' || (p_partkey % 31) AS name FROM part WHERE p_partkey % 30 <> p_partkey % 31")
 def missing_packages(t):
     return ops.missing_packages(manifests.npm_packages(t["manifests"]), _js_imports(t))
+
+
+def _module_index(t):
+    """The index of the JavaScript modules, built once per application."""
+    path = t.once("module-index", lambda at: IndexStore(t.spark, at).save(indexes.build_index(t["js_modules"], strategies=EVERY)))
+    return IndexStore(t.spark, path).load()
+
+
+@query(
+    "module_index",
+    f"""WITH m AS (SELECT {JSREPO} AS repository, {JSPATH} AS path, 'src/m/f' || p_partkey AS module, p_partkey AS p FROM part)
+    SELECT 'file' AS part, repository, path AS key, module || ',A' || p AS detail FROM m
+    UNION ALL SELECT 'class', repository, module, path FROM m UNION ALL SELECT 'class', repository, 'A' || p, path FROM m
+    UNION ALL SELECT 'method', repository, module, 'run' || p || '()' FROM m
+    UNION ALL SELECT 'edge', repository, module || ' -> src/m/f' || (p % 50), 'A' || (p % 50) || ',missing' FROM m
+    UNION ALL SELECT 'edge', repository, module || ' -> ' || CASE WHEN p % 7 = 0 THEN module || '/' ELSE 'src/m/' END || 'nowhere/x' || (p % 3), 'gone' FROM m""",
+)
+def module_index(t):
+    index = _module_index(t)
+    row = lambda part, table, key, detail: index[table].select(F.lit(part).alias("part"), "repository", key.alias("key"), detail.alias("detail"))
+    return (
+        row("file", "files", F.col("path"), F.array_join("classes", ","))
+        .unionByName(row("class", "classes", F.col("name"), F.col("path")))
+        .unionByName(row("method", "methods", F.col("class"), F.col("signature")))
+        .unionByName(row("edge", "edges", F.concat_ws(" -> ", "src", "dst"), F.array_join("usage", ",")))
+    )
+
+
+@query(
+    "analyze_pr_modules",
+    """WITH c AS (SELECT repository, pr_number, CAST(regexp_extract(filename, 'f([0-9]+)', 1) AS BIGINT) AS q FROM js_changes),
+    n AS (SELECT c.repository, c.pr_number, count(p.p_partkey) AS n FROM c LEFT JOIN part p ON p.p_partkey % 50 = c.q AND p.p_partkey <> c.q GROUP BY 1, 2)
+    SELECT repository, pr_number, 0::BIGINT AS breaking_changes, (1 + n)::BIGINT AS affected_files, (2 + n)::BIGINT AS affected_classes,
+    CASE WHEN 1 + n > 15 THEN 'high' WHEN 1 + n > 5 THEN 'medium' ELSE 'low' END AS risk_level FROM n""",
+)
+def analyze_pr_modules(t):
+    return patch.analyze(t["js_changes"], _module_index(t)).drop("summary")

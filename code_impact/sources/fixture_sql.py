@@ -303,6 +303,14 @@ SELECT 'org/js' || CAST(p_partkey % 5 AS STRING) AS repository,
 FROM part
 """
 
+# Pull requests that change one module each.
+FIXTURES["js_changes"] = r"""
+SELECT 'org/js' || CAST(p.p_partkey % 5 AS STRING) AS repository, o.o_orderkey AS pr_number, 1 AS file_no,
+ 'src/m/f' || CAST(p.p_partkey AS STRING) || CASE WHEN p.p_partkey % 7 = 0 THEN '/index.ts' ELSE '.ts' END AS filename, 'modified' AS status,
+ CAST(1 AS BIGINT) AS additions, CAST(0 AS BIGINT) AS deletions, '@@ -1,1 +1,1 @@' AS patch
+FROM orders o JOIN part p ON p.p_partkey = o.o_custkey % 120
+"""
+
 FIXTURES["js_modules_v2"] = r"""
 SELECT repository, path, CASE WHEN path LIKE '%4.ts' THEN replace(content, 'export const', 'const') ELSE content END AS content FROM js_modules
 """
