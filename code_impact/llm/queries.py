@@ -88,7 +88,17 @@ def op10_decontamination(spark, folder):
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-@query("op9_ngram_jaccard")
+@query(
+    "op9_ngram_jaccard",
+    r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[u.k:u.k + 4], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k) u WHERE len(ws) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+    r(doc_id, root) AS (SELECT a, a FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.root),
+    m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY 1)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+)
 def op9_ngram_jaccard(spark, folder):
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
@@ -108,7 +118,16 @@ def op7_warc(spark, folder):
     return warc.read_archives(warc.merge_index(runs), archives)
 
 
-@query("op8_embedding_neardup")
+@query(
+    "op8_embedding_neardup",
+    """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+    r(vec_id, root) AS (SELECT a, a FROM l UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.root),
+    m AS (SELECT vec_id, min(root) AS root FROM r GROUP BY 1), c AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+    SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(m.root, e.vec_id) AS component_id, coalesce(m.root, e.vec_id) = e.vec_id AS kept
+    FROM embeddings e LEFT JOIN c USING (vec_id) LEFT JOIN m USING (vec_id)""",
+)
 def op8_embedding_neardup(spark, folder):
     return vector_neardup.near_vectors(table(spark, folder, "embeddings"))
 
