@@ -33,9 +33,10 @@ def module_name(path: Column) -> Column:
 
 
 def _without(content: Column, strings: bool) -> Column:
-    """Comments blanked, and strings if asked; every newline stays."""
+    """Comments blanked, and strings if asked, else the quotes inside them; every newline stays."""
     lines = lambda token: F.regexp_replace(token, r"[^\n]", "")
-    blank = lambda token: F.when(token.startswith("/"), F.concat(F.lit(" "), lines(token))).otherwise(F.concat(F.lit("''"), lines(token)) if strings else token)
+    unquoted = lambda token: F.concat(F.substring(token, 1, 1), F.regexp_replace(F.substr(token, F.lit(2), F.length(token) - 2), "['\"`]", " "), F.substring(token, -1, 1))
+    blank = lambda token: F.when(token.startswith("/"), F.concat(F.lit(" "), lines(token))).otherwise(F.concat(F.lit("''"), lines(token)) if strings else unquoted(token))
     return F.when(content.rlike("[\"'/`]"), rewrite_tokens(content, _TOKEN, blank)).otherwise(content)
 
 
@@ -54,7 +55,7 @@ def _imports(text: Column) -> Column:
 def _names(text: Column) -> Column:
     """(module, names) of imports with a clause: the names as the other module has them."""
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(_CLAUSE), F.lit(1)).alias("clause"), F.regexp_extract_all(text, F.lit(_CLAUSE), F.lit(2)).alias("module"))
-    of = lambda clause: F.filter(F.regexp_extract_all(clause, F.lit(r"([\w$*]+)(?:\s+as\s+[\w$]+)?"), F.lit(1)), lambda n: n != "*")
+    of = lambda clause: F.filter(F.regexp_extract_all(F.regexp_replace(clause, r"\btype\s+(?=[\w$])", ""), F.lit(r"([\w$*]+)(?:\s+as\s+[\w$]+)?"), F.lit(1)), lambda n: n != "*")
     return F.transform(found, lambda f: F.struct(f["module"].alias("module"), of(f["clause"]).alias("names")))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from code_impact.operators import events as ops
+from code_impact.operators import sketches
 from code_impact.plans.registry import query
 from code_impact.session import scratch_path
 
@@ -177,3 +178,16 @@ def latency_summary(t):
     rows = t["metric_events"].select(F.col("metric").alias("query"), F.col("value").alias("duration"), "ts")
     found = ops.latency_summary(rows)
     return found.select("query", F.round("mean", 4).alias("mean"), "p95", F.round("throughput", 9).alias("throughput"))
+
+
+@query(
+    "latency_sketch",
+    """SELECT metric AS query, count(DISTINCT date_trunc('hour', ts))::BIGINT AS windows, count(*) AS n, round(avg(value), 4) AS mean,
+    round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) AS throughput, true AS p50_within, true AS p95_within, true AS p99_within FROM metric_events GROUP BY metric""",
+)
+def latency_sketch(t):
+    """Windows stored, then merged; each percentile's true rank is compared with the error stated for sketches of half their size."""
+    rows = t["metric_events"].select(F.col("metric").alias("query"), F.col("value").alias("duration"), "ts")
+    merged = sketches.merged_latency(t.stored("latency-windows", lambda: sketches.latency_windows(rows)))
+    within = sketches.within_rank(merged, rows, sketches.rank_error(sketches.K // 2))
+    return merged.join(within, "query").select("query", "windows", "n", F.round("mean", 4).alias("mean"), F.round("throughput", 9).alias("throughput"), "p50_within", "p95_within", "p99_within")

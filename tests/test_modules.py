@@ -59,7 +59,7 @@ def test_declarations(spark):
     module, service = rows["src/app/service"], rows["Service"]
     assert module.imports == ["fs", "../model/cart", "./util", "./side-effect", "./maths", "./lazy", "./old.js"]
     assert [(e.dst, e.line, e.usage) for e in module.edges] == [
-        ("src/model/cart", 3, ["Cart", "Item"]), ("src/app/util", 4, ["util"]), ("src/app/side-effect", 5, []), ("src/app/maths", 6, ["round"]),
+        ("src/model/cart", 3, ["Cart", "Item"]), ("src/app/util", 4, []), ("src/app/side-effect", 5, []), ("src/app/maths", 6, ["round"]),
         ("src/app/lazy", 7, []), ("src/app/old", 8, []),
     ]
     assert [(m.name, m.signature) for m in module.methods] == [("start", "Promise<void> start(Service<Item> service, any n)"), ("twice", "number twice(number n)")]

@@ -117,3 +117,39 @@ def test_service_metrics(spark, folder, tmp_path):
     closed = {tuple(r) for r in found.select(key).collect()}
     batch = {tuple(r) for r in events.service_metrics(rows).select(key).collect()}
     assert closed and closed <= batch and len(batch - closed) < 30
+
+
+def test_latency_sketches_merge_and_stream(spark, tmp_path):
+    import random
+
+    from code_impact.operators import sketches
+    from code_impact.operators.events import latency_summary
+
+    rng = random.Random(5)
+    rows = [(f"q{k % 2}", rng.lognormvariate(0, 2) if k % 2 else float(k % 10), 1_700_000_000 + k * 5) for k in range(20_000)] + [("q0", None, 1_700_000_000), ("one", 7.5, 1_700_000_001)]
+    df = spark.createDataFrame(rows, "query string, duration double, s long").select("query", "duration", F.timestamp_seconds("s").alias("ts"))
+    stored = str(tmp_path / "batch")
+    sketches.latency_windows(df).write.parquet(stored)
+    merged = sketches.merged_latency(spark.read.parquet(stored))
+    found = {r["query"]: r for r in merged.collect()}
+    assert found["one"].p50 == found["one"].p99 == 7.5 and found["one"].throughput is None and found["one"].n == 1
+    assert found["q0"].n == 10_000 and found["q0"].windows == 28 and found["q0"].p95 in (8.0, 6.0)
+    exact = {r["query"]: r for r in latency_summary(df.where("query = 'q1'")).collect()}
+    assert abs(found["q1"].mean - exact["q1"]["mean"]) < 1e-9 and abs(found["q1"].throughput - exact["q1"].throughput) < 1e-9
+    within = sketches.within_rank(merged, df, sketches.rank_error(200)).collect()
+    assert len(within) == 3 and all(r.p50_within and r.p95_within and r.p99_within for r in within)
+    assert sketches.merged_latency(sketches.latency_windows(df.limit(0))).count() == 0
+
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    df.where("query = 'q1'").repartition(3).write.parquet(source)
+    late = spark.createDataFrame([("end", 1.0, 1_800_000_000)], "query string, duration double, s long").select("query", "duration", F.timestamp_seconds("s").alias("ts"))
+    for extra in (None, late):
+        if extra is not None:
+            extra.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source).withWatermark("ts", "1 hour")
+        writer = sketches.latency_windows(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "state"))
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    streamed = sketches.merged_latency(spark.read.parquet(sink)).where("query = 'q1'")
+    row = streamed.first()
+    assert row.n == 10_000 and abs(row["mean"] - exact["q1"]["mean"]) < 1e-9
+    assert all(sketches.within_rank(streamed, df, sketches.rank_error(200)).where("query = 'q1'").first()[1:])
