@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Stored, so that the join below deals its rows anew and can split those of a hub.
         least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Smaller neighbours of each node, and the node, point to the smallest.
         large = cut_lineage(large)
         low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))

@@ -292,7 +292,7 @@ def linked_sets(docs: DataFrame, shingles: int, text_col: str = "text", width: i
     edges = cut_lineage(_product(inside, percent, max(4 * n_parts, -(-held // product_bytes))))
 
     large = members.where(blocks_of > 1)
-    joined = components(edges)
+    joined = cut_lineage(components(edges))
     known = large.join(joined.withColumnRenamed("node", "name"), "name", "left").select("name", "cluster", F.coalesce("root", "name").alias("part"))
     counts = known.groupBy("cluster", "part").agg(F.count("*").alias("own"))
     pools = counts.where(F.col("own") * 2 < block_rows).groupBy("cluster").agg(F.sum("own").alias("pool"))
@@ -313,7 +313,11 @@ def linked_sets(docs: DataFrame, shingles: int, text_col: str = "text", width: i
     across = cut_lineage(known.select("name", F.xxhash64("cluster", "only", "k").alias("key")).join(sides, "key"))
     held = int(across.count() * mean)
     across = across.join(members.select("name", "n", "columns"), "name")
-    return components(edges.unionByName(_product(across, percent, max(4 * n_parts, -(-held // product_bytes)))))
+    more = cut_lineage(_product(across, percent, max(4 * n_parts, -(-held // product_bytes))))
+    if more.isEmpty():
+        return joined
+    # What is known to be one component goes in as a star.
+    return components(joined.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def first_of_groups(docs: DataFrame, names: DataFrame, first: Column, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
