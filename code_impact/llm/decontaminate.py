@@ -41,17 +41,21 @@ def _blocks(rows: DataFrame, by: str, text_bytes: Column, most_rows: int, most_b
 SHINGLE = 3
 
 
-def _shingles(ws: Column, width: int) -> Column:
-    """(place, shingle: hash) of all runs of ``width`` words."""
-    at = F.when(F.size(ws) >= width, F.sequence(F.lit(0), F.size(ws) - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda k: F.struct(k.alias("place"), F.xxhash64(F.lit(width), *[F.get(ws, k + j) for j in range(width)]).alias("shingle")))
+def _shingles(rows: DataFrame, keys: list[str], widths: list[int]) -> DataFrame:
+    """(keys, ws, pos, shingle: hash) of all runs of words in ``ws`` with one of the widths; 0 where a run would pass the end.
+
+    Words are exploded and the words after them looked up in their row, which compiles; no filter, as it would hash twice.
+    """
+    each_word = rows.select(*keys, "ws", F.posexplode("ws").alias("pos", "word"))
+    following = lambda j: F.get("ws", F.col("pos") + j)
+    run = lambda w: F.when(F.col("pos") + w <= F.size("ws"), F.xxhash64(F.lit(w), "word", *[following(j) for j in range(1, w)])).otherwise(F.lit(0).cast("long"))
+    found = run(widths[0]) if len(widths) == 1 else F.explode(F.array(*[run(w) for w in widths]))
+    return each_word.select(*keys, "ws", "pos", found.alias("shingle"))
 
 
 def _shingle_rows(docs: DataFrame, widths: list[int]) -> DataFrame:
     """(key columns, ws, pos, shingle) for each run of words of a whole text."""
-    rows = with_once(docs, "ws", words(lower_ascii(F.col("text"))))
-    every = F.concat(*[_shingles(F.col("ws"), w) for w in widths])
-    return rows.select("doc_id", "text_hash", "ws", F.explode(every).alias("s")).select("doc_id", "text_hash", "ws", F.col("s.place").alias("pos"), "s.shingle")
+    return _shingles(with_once(docs, "ws", words(lower_ascii(F.col("text")))), ["doc_id", "text_hash"], widths)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,8 +76,9 @@ def window_hits(docs: DataFrame, windows: DataFrame, most_rows: int = 500_000, m
     spots = windows.select("window", "size").distinct()
     widths = sorted(r[0] for r in spots.select(F.least("size", F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
     parted = with_once(spots, "ws", F.split("window", " "))
-    by_width = [parted.where(F.least("size", F.lit(SHINGLE)) == w).select("window", "size", F.explode(_shingles(F.col("ws"), w)).alias("s")).select("window", "size", "s.*") for w in widths]
-    spots = cut_lineage(reduce(DataFrame.unionByName, by_width))
+    by_width = [_shingles(parted.where(F.least("size", F.lit(SHINGLE)) == w), ["window", "size"], [w]) for w in widths]
+    spots = reduce(DataFrame.unionByName, by_width).where(F.col("pos") + F.least("size", F.lit(SHINGLE)) <= F.col("size"))
+    spots = cut_lineage(spots.select("window", "size", F.col("pos").alias("place"), "shingle"))
     vocabulary = cut_lineage(spots.select("shingle").distinct())
     every_one = _shingle_rows(docs, widths).select("shingle")
     counted = [every_one.join(F.broadcast(b), "shingle", "left_semi") for b in _blocks(vocabulary, "shingle", F.lit(8), most_rows, most_bytes)]
