@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from code_impact.operators import vectors as ops
 from code_impact.operators.vector_index import VectorIndex, default_lists
 from code_impact.plans.registry import query
-from code_impact.session import scratch_path
 
 MEANS = """means AS (SELECT label AS query_id, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) e GROUP BY 1, 2),
  qv AS (SELECT query_id, list(x ORDER BY i) AS q FROM means GROUP BY 1),
