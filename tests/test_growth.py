@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from code_impact.operators import patch
+from code_impact.session import apply_runtime_conf, cut_lineage
 
 
 def _index(spark, classes, edges):
@@ -34,6 +35,16 @@ def test_analysis_counts_are_those_of_the_lists(spark):
     assert max(n for n, _ in found.values()) > 40
 
 
+def test_names_in_patches_are_those_of_its_lines(spark):
+    text = "@@ -1 +1 @@\n--- public no() {\n-  public A  b (x\n+  public c(\n-protected d()\n+ protected\n-public {\n\n- (public e f\t(\r\n+public\n-public (g("
+    rows = spark.createDataFrame([(text,), (None,), ("",)], "patch string")
+    p = F.col("patch")
+    found = [tuple(r) for r in rows.select(patch.removed_methods(p), patch.modified_methods(p), patch._all_names(p, patch._REMOVED_NAME)).collect()]
+    assert found == [(["b", "f"], ["b", "d", "f"], ["b", "f", "public"]), ([], [], []), ([], [], [])]
+    plan = rows.select(patch.removed_methods(p))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform" not in plan and "lambda" not in plan
+
+
 def test_analysis_of_a_hub_makes_no_pairs(spark):
     """20,000 pull requests change a file with 20,000 users: 400 million pairs."""
     n = 20_000
@@ -49,3 +60,22 @@ def test_analysis_of_a_hub_makes_no_pairs(spark):
     rows = patch.analyze(changes, index).groupBy("affected_files", "affected_classes").count().collect()
     assert [tuple(r) for r in rows] == [(n + 1, n + 1, n)]
     assert time.perf_counter() - start < 60
+
+
+def test_small_files_of_large_rows_are_not_sent_through_the_driver(spark):
+    """300,000 paths take 2 MB on disk and 30 MB as rows; the incremental refresh joins such tables."""
+    apply_runtime_conf(spark)
+    rows = spark.range(300_000).select(F.lit("org/repository").alias("repository"), F.concat(F.lit("src/main/java/com/example/"), F.lpad("id", 8, "0")).alias("path"))
+    stored = cut_lineage(rows)
+    joined = stored.withColumn("n", F.lit(1)).join(stored.select("repository", "path"), ["repository", "path"], "left_anti")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_class_lists_need_no_paths(spark):
+    index = _index(spark, [("Hub", "hub.java"), ("U", "u.java")], [("U", "Hub"), ("Gone", "Hub")])
+    changes = spark.createDataFrame([("r", 1, 1, "hub.java", None), ("r", 1, 2, "hub.java", None)], "repository string, pr_number int, file_no int, filename string, patch string")
+    listed = patch.affected_classes(changes, index)
+    assert sorted(r["class"] for r in listed.collect()) == ["Gone", "Hub", "U"]
+    assert sorted(r["path"] for r in patch.affected_files(changes, index).collect()) == ["hub.java", "u.java"]
+    # No join with the table of classes, and no path beside a class.
+    assert listed._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
