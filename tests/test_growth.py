@@ -6,7 +6,8 @@ import time
 from pyspark.sql import functions as F
 
 from code_impact.operators import patch
-from code_impact.session import apply_runtime_conf, cut_lineage
+from code_impact.session import cut_lineage
+from code_impact.sources.tables import Inputs
 
 
 def _index(spark, classes, edges):
@@ -64,7 +65,7 @@ def test_analysis_of_a_hub_makes_no_pairs(spark):
 
 def test_small_files_of_large_rows_are_not_sent_through_the_driver(spark):
     """300,000 paths take 2 MB on disk and 30 MB as rows; the incremental refresh joins such tables."""
-    apply_runtime_conf(spark)
+    Inputs(spark, "/nowhere")
     rows = spark.range(300_000).select(F.lit("org/repository").alias("repository"), F.concat(F.lit("src/main/java/com/example/"), F.lpad("id", 8, "0")).alias("path"))
     stored = cut_lineage(rows)
     joined = stored.withColumn("n", F.lit(1)).join(stored.select("repository", "path"), ["repository", "path"], "left_anti")
