@@ -37,88 +37,120 @@ def _bare(type_: Column) -> Column:
 def _variables(s: Column) -> Column:
     """Variables a segment declares: (name, type, i)."""
 
+    none = F.array().cast("array<struct<name:string,type:string,i:int>>")
+
     def pairs(pattern: str, name: int, type_: int) -> Column:
-        found = F.regexp_extract_all(s["txt"], F.lit(pattern), F.lit(0))
-        return F.transform(found, lambda v: F.struct(F.regexp_extract(v, pattern.replace("(?=[=:;)])", ""), name).alias("name"), _bare(F.regexp_extract(v, pattern.replace("(?=[=:;)])", ""), type_)).alias("type"), s["i"].alias("i")))
+        alone = pattern.replace("(?=[=:;)])", "")
+        found = java.by_generics(s["txt"], pattern, lambda p: F.regexp_extract_all(s["txt"], F.lit(p), F.lit(0)))
+        return F.transform(found, lambda v: F.struct(java.extracted(v, alone, name).alias("name"), _bare(java.extracted(v, alone, type_)).alias("type"), s["i"].alias("i")))
 
-    found = F.concat(pairs(_TYPED, 2, 1), pairs(_MATCHED, 2, 1), pairs(_INFERRED, 1, 2))
+    # A pattern is tried only where its fixed words are.
+    having = lambda words, found: F.when(reduce(Column.__and__, [F.contains(s["txt"], F.lit(w)) for w in words]), found).otherwise(none)
+    found = F.concat(pairs(_TYPED, 2, 1), having(["instanceof"], pairs(_MATCHED, 2, 1)), having(["var", "new"], pairs(_INFERRED, 1, 2)))
     return F.filter(found, lambda v: v["type"] != "")
 
 
 def _calls(s: Column) -> Column:
     """Calls in a segment: (i, line, path, name, made: whether an object is made)."""
 
-    def located(tokens: Column) -> Column:
-        gaps = F.split(s["txt"], _ANY, -1)
-        steps = F.zip_with(tokens, F.slice(gaps, 1, F.size(tokens)), lambda t, g: newlines(t) + newlines(g))
-        first = s["line"] - newlines(F.regexp_extract(s["txt"], r"^\s*", 0))
-
-        def one(token: Column, at: Column, before: Column) -> Column:
-            made = F.regexp_extract(token, _NEW, 1)
-            return F.struct(
+    def one(token: Column, line: Column) -> Column:
+        # An object that is made has no path, and what has a path is none.
+        made = F.when(F.startswith(token, F.lit("new")), java.extracted(token, _NEW, 1)).otherwise(F.lit(""))
+        path = F.regexp_replace(F.regexp_extract(token, rf"^((?:{_NAME}\s*\.\s*)*){_NAME}\s*\(", 1), r"\s|\.\s*$", "")
+        return let(
+            made,
+            lambda made: F.struct(
                 s["i"].alias("i"),
-                (first + F.get(before, at) + newlines(F.get(gaps, at))).alias("line"),
-                F.regexp_replace(F.regexp_extract(token, rf"^((?:{_NAME}\s*\.\s*)*){_NAME}\s*\(", 1), r"\s|\.\s*$", "").alias("path"),
+                line.alias("line"),
+                F.when((made == "") & F.contains(token, F.lit(".")), path).otherwise(F.lit("")).alias("path"),
                 F.when(made != "", _bare(made)).otherwise(F.regexp_extract(token, rf"({_NAME})\s*\($", 1)).alias("name"),
                 (made != "").alias("made"),
-            )
+            ),
+        )
+
+    def on_lines(tokens: Column, pattern: str) -> Column:
+        gaps = F.split(s["txt"], pattern, -1)
+        first = s["line"] - newlines(F.regexp_extract(s["txt"], r"^\s*", 0))
+
+        def counted(gaps: Column) -> Column:
+            steps = F.zip_with(tokens, F.slice(gaps, 1, F.size(tokens)), lambda t, g: newlines(t) + newlines(g))
+            return let(sums_before(steps), lambda before: F.transform(tokens, lambda t, at: one(t, first + F.get(before, at) + newlines(F.get(gaps, at)))))
 
-        return let(sums_before(steps), lambda before: F.transform(tokens, lambda t, at: one(t, at, before)))
+        return let(gaps, counted)
+
+    def located(pattern: str) -> Column:
+        # Lines are counted only in a segment of several lines.
+        several = F.contains(F.ltrim(s["txt"], F.lit(java._SPACE)), F.lit("\n"))
+        tokens = F.regexp_extract_all(s["txt"], F.lit(pattern), F.lit(0))
+        return let(tokens, lambda tokens: F.when(several, on_lines(tokens, pattern)).otherwise(F.transform(tokens, lambda t: one(t, s["line"]))))
 
     none = F.array().cast("array<struct<i:int,line:int,path:string,name:string,made:boolean>>")
-    found = F.when(F.contains(s["txt"], F.lit("(")), let(F.regexp_extract_all(s["txt"], F.lit(_ANY), F.lit(0)), located)).otherwise(none)
+    found = F.when(F.contains(s["txt"], F.lit("(")), java.by_generics(s["txt"], _ANY, located)).otherwise(none)
     # A block's head that declares a method, in a class without a name, calls nothing.
-    declared = F.when((s["step"] == 1) & s["txt"].rlike(java._METHOD) & ~F.regexp_extract(s["txt"], java._METHOD, 2).isin(["", *java._NOT_A_TYPE]), F.regexp_extract(s["txt"], java._METHOD, 3))
-    return F.filter(found, lambda c: ~c["name"].isin(_NO_CALL) & ~c["name"].eqNullSafe(declared))
+    returns, name = java.extracted(s["txt"], java._METHOD, 2), java.extracted(s["txt"], java._METHOD, 3)
+    declared = F.when((s["step"] == 1) & F.contains(s["txt"], F.lit("(")), let(returns, lambda returns: F.when(~returns.isin(["", *java._NOT_A_TYPE]), name)))
+    return let(declared, lambda declared: F.filter(found, lambda c: ~c["name"].isin(_NO_CALL) & ~c["name"].eqNullSafe(declared)))
 
 
 def _typed(c: Column, owner: Column, locals_: Column, parameters: Column, fields: Column) -> Column:
     """A call with ``type`` of its receiver, or ``variable`` where only a field of a superclass can have that name."""
-    last = F.substring_index(c["path"], ".", -1)
-    named = lambda scope, name: F.filter(scope, lambda v: v["name"] == name)
-    of_field = F.get(named(fields, last), F.lit(0))["type"]
-    of_local = F.try_element_at(F.filter(locals_, lambda v: (v["name"] == last) & (v["i"] <= c["i"])), F.lit(-1))["type"]
-    of_parameter = F.get(named(parameters, last), F.lit(0))["type"]
-    upper = last.rlike("^[A-Z]")
-    on_this = c["path"].rlike(r"^this\.[^.]+$")
-    single = ~F.contains(c["path"], F.lit("."))
-    type_ = (
-        F.when(c["made"], c["name"])
-        .when(c["path"].isin("", "this", "super"), owner["name"])
-        .when(on_this, of_field)
-        .when(single, F.coalesce(of_local, of_parameter, of_field, F.when(upper, last)))
-        .when(upper, last)
-    )
-    return c.withField("type", type_).withField("variable", F.when((on_this | single) & type_.isNull(), last)).withField("inherited", c["path"] == "super")
+
+    def by_name(last: Column) -> Column:
+        named = lambda scope, name: F.filter(scope, lambda v: v["name"] == name)
+        of_field = F.get(named(fields, last), F.lit(0))["type"]
+        of_local = F.try_element_at(F.filter(locals_, lambda v: (v["name"] == last) & (v["i"] <= c["i"])), F.lit(-1))["type"]
+        of_parameter = F.get(named(parameters, last), F.lit(0))["type"]
+        upper = last.rlike("^[A-Z]")
+        on_this = c["path"].rlike(r"^this\.[^.]+$")
+        single = ~F.contains(c["path"], F.lit("."))
+        type_ = (
+            F.when(c["made"], c["name"])
+            .when(c["path"].isin("", "this", "super"), owner["name"])
+            .when(on_this, of_field)
+            .when(single, F.coalesce(of_local, of_parameter, of_field, F.when(upper, last)))
+            .when(upper, last)
+        )
+        with_type = lambda type_: c.withField("type", type_).withField("variable", F.when(type_.isNull() & (on_this | single), last))
+        return let(type_, with_type).withField("inherited", c["path"] == "super")
+
+    return let(F.substring_index(c["path"], ".", -1), by_name)
 
 
 def _columns() -> tuple:
-    segs, types, t = F.col("_segs"), F.col("_types"), F.col("_t")
-    named = F.filter(types, lambda u: u["kind"].isin(_NAMED_KINDS))
-    around = F.reverse(F.filter(types, lambda u: (u["i"] <= t["i"]) & (u["end"] >= t["end"]) & u["kind"].isin(_NAMED_KINDS)))
+    segs, named, t = F.col("_segs"), F.col("_named"), F.col("_t")
+    around = F.reverse(F.filter(named, lambda u: (u["i"] <= t["i"]) & (u["end"] >= t["end"])))
     fields = F.flatten(F.transform(around, lambda u: java._fields(java.members_of(segs, u))))
     fields = F.transform(fields, lambda f: F.struct(f["name"].alias("name"), _bare(f["type"]).alias("type")))
 
-    def describe(s: Column, fields: Column) -> Column:
-        plain = java._plain(s["txt"])
-        returns, name = F.regexp_extract(plain, java._METHOD, 2), F.regexp_extract(plain, java._METHOD, 3)
-        is_method = (name != "") & ((returns != "") | (name == t["name"])) & ~returns.isin(java._NOT_A_TYPE)
-        parameters = F.transform(java._parameters(F.regexp_extract(plain, java._METHOD, 4)), lambda p: F.struct(p["name"].alias("name"), _bare(p["type"]).alias("type")))
+    def body_of(s: Column) -> Column:
         within = F.when(s["step"] == 1, F.slice(segs, s["i"] + 2, F.greatest(F.lit(0), F.least(s["end"], F.size(segs)) - s["i"]))).otherwise(F.slice(segs, 1, 0))
         inner = F.filter(named, lambda u: (u["i"] > s["i"]) & (u["i"] < s["end"]) & (s["step"] == 1))
-        body = let(inner, lambda inner: F.when(F.size(inner) == 0, within).otherwise(F.filter(within, lambda b: ~F.exists(inner, lambda u: (u["i"] <= b["i"]) & (b["i"] <= u["end"])))))
+        return let(inner, lambda inner: F.when(F.size(inner) == 0, within).otherwise(F.filter(within, lambda b: ~F.exists(inner, lambda u: (u["i"] <= b["i"]) & (b["i"] <= u["end"])))))
+
+    def describe(s: Column, fields: Column) -> Column:
         # What a field is set to; its spaces keep the lines right.
-        value = F.when(F.contains(s["txt"], F.lit("=")), s.withField("txt", F.concat(F.regexp_replace(F.regexp_extract(s["txt"], r"^([^=]*)", 1), r"\S", "_"), F.regexp_extract(s["txt"], r"^[^=]*(=[\s\S]*)$", 1))))
-        read = F.when(is_method, body).when(value.isNotNull(), F.concat(F.array(value), body)).otherwise(body)
-        method = F.when(is_method, name)
+        value = s.withField("txt", F.concat(F.regexp_replace(F.regexp_extract(s["txt"], r"^([^=]*)", 1), r"\S", "_"), F.regexp_extract(s["txt"], r"^[^=]*(=[\s\S]*)$", 1)))
 
-        def with_scope(read: Column) -> Column:
+        def with_scope(read: Column, method: Column, parameters: Column) -> Column:
             variables = F.flatten(F.transform(read, _variables))
             calls = F.flatten(F.transform(read, _calls))
-            typed = let(variables, lambda v: let(parameters, lambda p: F.transform(calls, lambda c: _typed(c, t, v, p, fields))))
+            typed = let(calls, lambda c: F.when(F.size(c) == 0, F.array()).otherwise(let(variables, lambda v: F.transform(c, lambda c: _typed(c, t, v, parameters, fields)))))
             return F.struct(method.alias("method"), typed.alias("calls"))
 
-        return let(read, with_scope)
+        def with_head(plain: Column, head: Column) -> Column:
+            is_method = (head["name"] != "") & ((head["returns"] != "") | (head["name"] == t["name"])) & ~head["returns"].isin(java._NOT_A_TYPE)
+            listed = let(java.extracted(plain, java._METHOD, 4), java._parameters)
+            parameters = F.transform(listed, lambda p: F.struct(p["name"].alias("name"), _bare(p["type"]).alias("type")))
+            return let(
+                F.when(is_method, head["name"]),
+                lambda method: let(
+                    F.when(method.isNull() & F.contains(s["txt"], F.lit("=")), F.concat(F.array(value), body_of(s))).otherwise(body_of(s)),
+                    lambda read: let(parameters, lambda p: with_scope(read, method, p)),
+                ),
+            )
+
+        head = lambda plain: F.struct(java.extracted(plain, java._METHOD, 2).alias("returns"), java.extracted(plain, java._METHOD, 3).alias("name"))
+        return let(java._plain(s["txt"]), lambda plain: let(head(plain), lambda head: with_head(plain, head)))
 
     def is_type(s: Column) -> Column:
         return (s["step"] == 1) & (F.regexp_extract(java._plain(s["txt"]), java._TYPE_HEADER, 1) != "")
@@ -135,8 +167,9 @@ def _bodies(files: DataFrame) -> DataFrame:
     """
     cleaned = files.select("repository", F.col("path").alias("file"), java.clean_source(F.col("content")).alias("_clean"))
     typed = cleaned.select("repository", "file", java.segments(F.col("_clean")).alias("_segs")).select("*", java._types(F.col("_segs")).alias("_types"))
+    typed = typed.select("repository", "file", "_segs", F.filter("_types", lambda u: u["kind"].isin(_NAMED_KINDS)).alias("_named"))
     generated, above, members = _columns()
-    return typed.select("repository", "file", "_segs", "_types", generated).select("repository", "file", F.col("_t.name").alias("class"), above, members)
+    return typed.select("repository", "file", "_segs", "_named", generated).select("repository", "file", F.col("_t.name").alias("class"), above, members)
 
 
 def nearest(asked: DataFrame, members: DataFrame, parents: DataFrame) -> DataFrame:

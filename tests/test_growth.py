@@ -1,11 +1,12 @@
 """Counts and tables whose work must follow the input, on rows made here."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
-from code_impact.operators import patch
+from code_impact.operators import calls, java, patch
 from code_impact.session import cut_lineage
 from code_impact.sources.tables import Inputs
 
@@ -80,3 +81,41 @@ def test_class_lists_need_no_paths(spark):
     assert sorted(r["path"] for r in patch.affected_files(changes, index).collect()) == ["hub.java", "u.java"]
     # No join with the table of classes, and no path beside a class.
     assert listed._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
+
+
+def _segments_by_hand(text):
+    depth, line, open_, found = 0, 1, [], []
+    for i, txt in enumerate(re.findall(r"[^;{}]*[;{}]", text)):
+        first = line + re.match(r"[ \t\n\x0b\f\r]*", txt)[0].count("\n")
+        found.append([i, txt, (txt[-1] == "{") - (txt[-1] == "}"), depth, first, 2**31 - 1, None])
+        line += txt.count("\n")
+        if txt[-1] == "{":
+            open_.append(i)
+        elif txt[-1] == "}" and open_:
+            found[open_.pop()][5:] = [i, line]
+        depth += found[-1][2]
+    return found
+
+
+def test_segments_are_found_for_a_batch_at_once(spark):
+    dice = random.Random(2)
+    texts = ["".join(dice.choice(["{", "}", ";", "\n", " \t", "a b", "\r\né"]) for _ in range(dice.randrange(60))) for _ in range(400)]
+    texts = [t for t in texts if min(s[3] + s[2] for s in _segments_by_hand(t) or [[0] * 4]) >= 0] + ["", "{" * 300 + "}" * 300, "{};" * 5000]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "c string").coalesce(1).select("c", java.segments(F.col("c")).alias("s"))
+    found = {r.c: r.s if r.s is None else [list(s) for s in r.s] for r in rows.collect()}
+    assert found.pop(None) is None and found == {t: _segments_by_hand(t) for t in texts}
+    # No expression is interpreted once per segment.
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_patterns_without_type_arguments_find_the_same(spark):
+    names = ["_METHOD", "_FIELD", "_ANONYMOUS", "_SUPER", "_INTERFACES", "_PARAMETER"]
+    patterns = {n: getattr(java, n) for n in names} | {n: getattr(calls, n) for n in ("_ANY", "_NEW", "_TYPED", "_MATCHED")}
+    assert all(java._GENERIC not in java.without_generics(p) and len(java.without_generics(p)) < len(p) / 2 for p in patterns.values())
+    parts = ["class A", " extends B", " implements C, D", "public ", "static ", "int ", "Foo ", "x", " = ", "new ", "Bar", "(", ")", "a.b", ", ", " instanceof ", "[]", ";", "{", "\n", ">"]
+    dice = random.Random(4)
+    texts = spark.createDataFrame([("".join(dice.choice(parts) for _ in range(dice.randrange(1, 12))) + dice.choice(";{"),) for _ in range(5000)], "t string")
+    found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    same = texts.select(*[(found(p) == found(java.without_generics(p))).alias(n) for n, p in patterns.items()], *[(F.size(found(p)) > 0).alias(f"{n}_hit") for n, p in patterns.items()])
+    counts = same.agg(*[F.sum(F.col(c).cast("int")).alias(c) for c in same.columns]).first().asDict()
+    assert all(counts[n] == 5000 for n in patterns) and all(counts[f"{n}_hit"] > 0 for n in ("_METHOD", "_FIELD", "_PARAMETER", "_ANY", "_SUPER"))
