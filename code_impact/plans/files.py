@@ -91,7 +91,7 @@ def text_files(t):
     GROUP BY repository, pr_number HAVING count(*) > 50""",
 )
 def oversize_prs(t):
-    return ops.oversize_prs(t["file_changes"])
+    return ops.oversize_prs(t.unnumbered("file_changes"))
 
 
 @query(
@@ -121,7 +121,7 @@ def review_strategies(t):
     count(*) AS changes, count(DISTINCT filename) AS files, sum(additions)::BIGINT AS additions FROM file_changes GROUP BY 1, 2""",
 )
 def group_changes_by_dir(t):
-    return ops.changes_by_dir(t["file_changes"])
+    return ops.changes_by_dir(t.unnumbered("file_changes"))
 
 
 CHANGE_COLUMNS = ["repository", "pr_number", "file_no", "filename", "status", "additions", "deletions", "patch", "previous_filename"]
@@ -146,7 +146,7 @@ def file_changes_source(t):
     FROM file_changes GROUP BY repository, pr_number""",
 )
 def pr_totals(t):
-    return ops.pr_totals(t["file_changes"])
+    return ops.pr_totals(t.unnumbered("file_changes"))
 
 
 @query(
