@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from code_impact.operators import calls, java, patch
 from code_impact.session import cut_lineage
 from code_impact.sources.tables import Inputs
@@ -119,3 +120,11 @@ def test_patterns_without_type_arguments_find_the_same(spark):
     same = texts.select(*[(found(p) == found(java.without_generics(p))).alias(n) for n, p in patterns.items()], *[(F.size(found(p)) > 0).alias(f"{n}_hit") for n, p in patterns.items()])
     counts = same.agg(*[F.sum(F.col(c).cast("int")).alias(c) for c in same.columns]).first().asDict()
     assert all(counts[n] == 5000 for n in patterns) and all(counts[f"{n}_hit"] > 0 for n in ("_METHOD", "_FIELD", "_PARAMETER", "_ANY", "_SUPER"))
+
+
+def test_queries_without_row_numbers_sort_no_changes(spark, folder):
+    """The change table is neither sorted nor written for queries that read no numbers and no patches."""
+    found = queries()
+    for name in ("group_changes_by_dir", "pr_totals", "oversize_prs", "review_comments", "first_dependents", "pr_affected_files_v2", "pr_affected_classes_v2"):
+        plan = found[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"l_extendedprice#\d+ ASC", plan) and "artifactId" not in plan and "l_partkey" in plan, name
