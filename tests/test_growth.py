@@ -65,6 +65,75 @@ def test_analysis_of_a_hub_makes_no_pairs(spark):
     assert time.perf_counter() - start < 60
 
 
+def _named_by_hand(changes, files):
+    """Per pull request the paths that hold the lower-cased name of a changed file, other than that file."""
+    found = {}
+    for repository, number, filename in changes:
+        hits = found.setdefault((repository, number), set())
+        name = re.sub(r"[.](java|js)", "", (filename or "").split("/")[-1], count=1).lower()
+        if repository is not None and number is not None and name:
+            hits |= {path for r, path in files if r == repository and name in path and path != filename}
+    return found
+
+
+def test_second_analysis_counts_the_files_that_names_find(spark):
+    dice = random.Random(8)
+    words = ["a", "ab", "abc", "Abcd", "abcd", "b", "é", "éa", "C1", "c1", "index"]
+    path = lambda: "/".join(dice.choice(words) for _ in range(dice.randrange(3))) + "/" + dice.choice(words) + dice.choice([".java", ".js"])
+    files = [(dice.choice("rs"), path()) for _ in range(120)] + [("r", "index.js"), ("r", ""), ("t", "x.java"), (None, "a.js")]
+    known = [(r, f) for r, f in files if r != "t"]
+    changes = [(*known[dice.randrange(120)][:1], n % 70, known[dice.randrange(120)][1]) for n in range(250)]
+    changes += [("r", 90, "index.js"), ("r", 91, None), ("r", 92, "a/"), (None, 93, "a.js"), ("r", None, "a.js"), ("t", 94, "lib/x.java"), ("r", 1, "index.js"), ("r", 95, "no/Index.js")]
+    by_hand = _named_by_hand(changes, files)
+    rows = spark.createDataFrame(changes, "repository string, pr_number long, filename string")
+    listed = spark.createDataFrame(files * 2, "repository string, path string")
+    whole = {k: set() for k in by_hand}
+    for r in patch.affected_files_v2(rows, listed).collect():
+        assert r.path not in whole[r.repository, r.pr_number]
+        whole[r.repository, r.pr_number].add(r.path)
+    assert {k: v for k, v in whole.items() if k[1] is not None} == {k: v for k, v in by_hand.items() if k[1] is not None}
+    sums = patch.affected_counts_v2(rows, listed).groupBy("repository", "pr_number").agg(F.sum("affected_files").alias("n")).collect()
+    assert {(r.repository, r.pr_number): r.n for r in sums if r.n} == {k: len(v) for k, v in by_hand.items() if v}
+    # Files whose own name stands in their path, with and without another file that finds them.
+    assert len(by_hand["r", 90]) < len(by_hand["r", 95])
+
+
+def test_second_analysis_counts_findings_as_its_lists_do(spark):
+    gone, moved, pom = "-  public void a(int x) {", "-  public void b() {\n+  public void b(int x) {", "+<artifactId>n</artifactId>\n-<artifactId>o</artifactId>\n+  compile 'g:a:1'"
+    changes = [("r", 1, 1, "A.java", "removed", gone), ("r", 1, 2, "A.java", "modified", moved), ("r", 1, 3, "pom.xml", "modified", pom), ("r", 2, 1, "No.java", "removed", gone)]
+    changes += [("r", 2, 2, "A.java", "removed", ""), ("r", 3, 1, "A.java", "removed", None), (None, 4, 1, "pom.xml", "modified", pom), ("r", 5, 1, "pom.xml", "modified", None), ("r", 6, 1, None, "modified", gone)]
+    changes = spark.createDataFrame(changes, "repository string, pr_number long, file_no int, filename string, status string, patch string")
+    files = spark.createDataFrame([("r", "A.java"), ("r", "A.java"), ("r", "lib/a/b.java")], "repository string, path string")
+    found = {r.pr_number: (r.critical, r.high, r.affected_files, r.added, r.removed, r.risk_level) for r in patch.analyze_v2(changes, {"files": files}).collect()}
+    count = lambda df: {r.pr_number: r["count"] for r in df.where("repository IS NOT NULL").groupBy("pr_number").count().collect()}
+    broken = patch.breaking_changes_v2(changes, files)
+    lists = [broken.where("severity = 'critical'"), broken.where("severity = 'high'"), patch.affected_files_v2(changes, files), patch.manifest_added(changes), patch.manifest_removed(changes)]
+    counts = [count(df) for df in lists]
+    assert {n: row[:5] for n, row in found.items()} == {n: tuple(c.get(n, 0) for c in counts) for n in range(1, 7)}
+    # Each removed line that says public, the class of the removed file, and the signature that changed.
+    assert found[1] == (3, 1, 1, 2, 1, "critical") and found[4] == (0, 0, 0, 0, 0, "low")
+
+
+def test_second_analysis_makes_no_pairs(spark):
+    """20,000 pull requests change a file whose name stands in 20,000 paths: 400 million pairs."""
+    n = 20_000
+    files = spark.range(n).select(F.lit("r").alias("repository"), F.concat(F.lit("src/hub/F"), "id", F.lit(".java")).alias("path"))
+    changes = spark.range(n).select(F.lit("r").alias("repository"), F.col("id").alias("pr_number"), F.lit("Hub.java").alias("filename"), F.lit("modified").alias("status"), F.lit("").alias("patch"))
+    start = time.perf_counter()
+    rows = patch.analyze_v2(changes, {"files": files}).groupBy("affected_files", "risk_level").count().collect()
+    assert [tuple(r) for r in rows] == [(n, "high", n)]
+    assert time.perf_counter() - start < 60
+
+
+def test_places_of_paths_stay_in_the_tasks_that_read_them(spark):
+    """Paths of one repository are cut where they are read, not in one task a repository."""
+    names = spark.createDataFrame([("r", "hub"), ("r", "x")], "repository string, name string")
+    files = spark.range(0, 5000, 1, 8).select(F.lit("r").alias("repository"), F.concat(F.lit("src/hub/F"), "id").alias("path"))
+    plan = patch._paths_with(names, files)._jdf.queryExecution().executedPlan().toString()
+    places = plan[plan.index("Generate explode") :]
+    assert "Exchange hashpartitioning" not in places and "lambda" not in plan
+
+
 def test_small_files_of_large_rows_are_not_sent_through_the_driver(spark):
     """300,000 paths take 2 MB on disk and 30 MB as rows; the incremental refresh joins such tables."""
     Inputs(spark, "/nowhere")
@@ -128,3 +197,10 @@ def test_queries_without_row_numbers_sort_no_changes(spark, folder):
     for name in ("group_changes_by_dir", "pr_totals", "oversize_prs", "review_comments", "first_dependents", "pr_affected_files_v2", "pr_affected_classes_v2"):
         plan = found[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"l_extendedprice#\d+ ASC", plan) and "artifactId" not in plan and "l_partkey" in plan, name
+
+
+def test_second_analysis_sorts_no_changes(spark, folder, monkeypatch):
+    asked = []
+    monkeypatch.setattr(Inputs, "stored", lambda self, label, make, was=Inputs.stored: (asked.append(label), was(self, label, make))[1])
+    assert queries()["pr_risk_v2"](spark, folder).count() > 0
+    assert not {"file_changes", "layered_changes"} & set(asked)
