@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from code_impact.operators import calls, java, patch
+from code_impact.operators import calls, java, patch, review
 from code_impact.session import cut_lineage
 from code_impact.sources.tables import Inputs
 
@@ -204,3 +204,36 @@ def test_second_analysis_sorts_no_changes(spark, folder, monkeypatch):
     monkeypatch.setattr(Inputs, "stored", lambda self, label, make, was=Inputs.stored: (asked.append(label), was(self, label, make))[1])
     assert queries()["pr_risk_v2"](spark, folder).count() > 0
     assert not {"file_changes", "layered_changes"} & set(asked)
+
+
+def test_prompts_read_each_page_once(spark):
+    """Pages are cut, numbered and collected in one shuffle of the changes; templates are not parsed for each row."""
+    schema = "repository string, pr_number long, file_no int, filename string, status string, additions long, deletions long, patch string"
+    pom = "+<artifactId>n</artifactId>\n-<artifactId>o</artifactId>"
+    rows = [("r", 1, i, f"f{i:03}.java", "modified", 1, 2, f"-public void m{i}() {{") for i in range(2, 120)] + [("r", 1, 1, "skip.bin", "added", 7, 7, "+ protected p ()")]
+    rows += [("r", 2, 1, "pom.xml", "modified", 1, 1, pom), ("r", 2, 2, "a.md", "modified", 3, 4, None), ("r", 3, 1, "b.bin", "added", 1, 1, None), (None, 4, 1, "c.md", "added", 1, 1, ""), ("r", 5, 1, None, "added", 1, 1, None)]
+    changes = spark.createDataFrame(rows, schema).repartition(4)
+    index = _index(spark, [("A", "f002.java"), ("B", "f002.java"), ("Z", "f101.java"), ("U", "u.java")], [("U", "A")])
+    pages = review._pages(changes)
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    prs = changes.select("repository", "pr_number").distinct().withColumn("title", F.lit("t")).withColumn("author", F.lit(None).cast("string"))
+    prompts = review.review_prompts(prs, changes, patch.analyze(changes, index).drop("summary"), index)
+    assert "format_string" not in prompts._jdf.queryExecution().optimizedPlan().toString().replace("was removed", "").split("Aggregate")[0]
+    found = {r.pr_number: r for r in prompts.collect()}
+    assert sorted(found) == [1, 2]
+    names = sorted({f"m{i}" for i in range(2, 101)} | {"p"})
+    assert f"- Archivos modificados: 99\n- Líneas agregadas: 99\n- Líneas eliminadas: 198" in found[1].head and "- Autor: null\n" in found[1].head
+    assert f"- Métodos afectados: {', '.join(names)}\n\n**Breaking" in found[1].impact and "Breaking changes detectados: 3" in found[1].impact
+    assert found[1].impact.endswith("**\n- method-removed (high): Public method 'm2' was removed from A\n- method-removed (high): Public method 'm2' was removed from B")
+    assert re.findall(r"f\d+", found[1].files_section) == [f"f{i:03}" for i in range(2, 12)]
+    assert found[2].impact.endswith("- Métodos afectados: ninguno\n\n**Nuevas Dependencias:** n\n\n**Dependencias Eliminadas:** o")
+    assert found[2].files_section == "\n\n**Archivos modificados:**\n\n- **a.md** (modified)\n  - +3 -4\n  \n"
+
+
+def test_names_on_open_lines_are_found_in_one_pass(spark):
+    text = "public a (\n protected b\t(x(\r\nc(\n+ public d\n(\n-é public éf(a(\npublic (g(\n\npublic a()"
+    rows = spark.createDataFrame([(text,), (None,), ("",)], "patch string")
+    found = rows.select(patch.methods_on_lines(F.col("patch")).alias("m"))
+    assert [r.m for r in found.collect()] == [["a", "b", "f", "public"], [], []]
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
