@@ -9,24 +9,20 @@ types that the repository does not declare.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from code_impact.functions.arrays import each, let, newlines, sums_before
 from code_impact.operators import java
 from code_impact.session import cut_lineage
 
-_NAME = r"[A-Za-z_$][\w$]*"
-_CALL = rf"(?<![\w$.])(?<!\bnew\s{{1,9}})((?:{_NAME}\s*\.\s*)*)({_NAME})\s*\("
-_NEW = rf"\bnew\s+((?:{_NAME}\s*\.\s*)*{_NAME})\s*(?:{java._GENERIC}\s*)?\("
-_ANY = rf"{_NEW}|{_CALL}"
 _NO_CALL = ["if", "for", "while", "switch", "catch", "synchronized", "return", "throw", "assert", "else", "case", "do", "try", "new", "super", "this", "yield"]
-_TYPED = rf"(?:^|[(;])\s*(?:final\s+)?([A-Z][\w.]*(?:\s*{java._GENERIC})?(?:\s*\[\s*\])*(?:\s*\|\s*[A-Z][\w.]*)*)\s+({_NAME})\s*(?=[=:;)])"
-_MATCHED = rf"\binstanceof\s+(?:final\s+)?([A-Z][\w.]*(?:\s*{java._GENERIC})?)\s+({_NAME})"
-_INFERRED = rf"\bvar\s+({_NAME})\s*=\s*new\s+([A-Z][\w.]*)"
-_NAMED_KINDS = ["class", "interface", "enum", "record"]
+_BODY = "struct<class:string,above:array<string>,methods:array<string>,calls:array<struct<method:string,line:int,name:string,made:boolean,type:string,variable:string,inherited:boolean>>>"
 
 
 def _bare(type_: Column) -> Column:
@@ -34,166 +30,308 @@ def _bare(type_: Column) -> Column:
     return F.regexp_extract(type_, r"^(?:[\w$]+\s*\.\s*)*([\w$]+)", 1)
 
 
-def _variables(s: Column) -> Column:
-    """Variables a segment declares: (name, type, i)."""
+def _reading() -> Callable[[pa.Array], pa.Array]:
+    """The types of each source file of a batch, with their calls. A nested function goes to Python workers by value, which need not find
+    this package, so all it uses is built in here. Names and blanks are ASCII as in the patterns of ``java``, ends of words are not.
 
-    none = F.array().cast("array<struct<name:string,type:string,i:int>>")
-
-    def pairs(pattern: str, name: int, type_: int) -> Column:
-        alone = pattern.replace("(?=[=:;)])", "")
-        found = java.by_generics(s["txt"], pattern, lambda p: F.regexp_extract_all(s["txt"], F.lit(p), F.lit(0)))
-        return F.transform(found, lambda v: F.struct(java.extracted(v, alone, name).alias("name"), _bare(java.extracted(v, alone, type_)).alias("type"), s["i"].alias("i")))
-
-    # A pattern is tried only where its fixed words are.
-    having = lambda words, found: F.when(reduce(Column.__and__, [F.contains(s["txt"], F.lit(w)) for w in words]), found).otherwise(none)
-    found = F.concat(pairs(_TYPED, 2, 1), having(["instanceof"], pairs(_MATCHED, 2, 1)), having(["var", "new"], pairs(_INFERRED, 1, 2)))
-    return F.filter(found, lambda v: v["type"] != "")
-
-
-def _calls(s: Column) -> Column:
-    """Calls in a segment: (i, line, path, name, made: whether an object is made)."""
-
-    def one(token: Column, line: Column) -> Column:
-        # An object that is made has no path, and what has a path is none.
-        made = F.when(F.startswith(token, F.lit("new")), java.extracted(token, _NEW, 1)).otherwise(F.lit(""))
-        path = F.regexp_replace(F.regexp_extract(token, rf"^((?:{_NAME}\s*\.\s*)*){_NAME}\s*\(", 1), r"\s|\.\s*$", "")
-        return let(
-            made,
-            lambda made: F.struct(
-                s["i"].alias("i"),
-                line.alias("line"),
-                F.when((made == "") & F.contains(token, F.lit(".")), path).otherwise(F.lit("")).alias("path"),
-                F.when(made != "", _bare(made)).otherwise(F.regexp_extract(token, rf"({_NAME})\s*\($", 1)).alias("name"),
-                (made != "").alias("made"),
-            ),
-        )
+    Calls and variables are looked for in a whole file at once, as neither reaches over a ``;`` or a brace; heads of types and members
+    are read one by one.
+    """
 
-    def on_lines(tokens: Column, pattern: str) -> Column:
-        gaps = F.split(s["txt"], pattern, -1)
-        first = s["line"] - newlines(F.regexp_extract(s["txt"], r"^\s*", 0))
-
-        def counted(gaps: Column) -> Column:
-            steps = F.zip_with(tokens, F.slice(gaps, 1, F.size(tokens)), lambda t, g: newlines(t) + newlines(g))
-            return let(sums_before(steps), lambda before: F.transform(tokens, lambda t, at: one(t, first + F.get(before, at) + newlines(F.get(gaps, at)))))
-
-        return let(gaps, counted)
-
-    def located(pattern: str) -> Column:
-        # Lines are counted only in a segment of several lines.
-        several = F.contains(F.ltrim(s["txt"], F.lit(java._SPACE)), F.lit("\n"))
-        tokens = F.regexp_extract_all(s["txt"], F.lit(pattern), F.lit(0))
-        return let(tokens, lambda tokens: F.when(several, on_lines(tokens, pattern)).otherwise(F.transform(tokens, lambda t: one(t, s["line"]))))
-
-    none = F.array().cast("array<struct<i:int,line:int,path:string,name:string,made:boolean>>")
-    found = F.when(F.contains(s["txt"], F.lit("(")), java.by_generics(s["txt"], _ANY, located)).otherwise(none)
-    # A block's head that declares a method, in a class without a name, calls nothing.
-    returns, name = java.extracted(s["txt"], java._METHOD, 2), java.extracted(s["txt"], java._METHOD, 3)
-    declared = F.when((s["step"] == 1) & F.contains(s["txt"], F.lit("(")), let(returns, lambda returns: F.when(~returns.isin(["", *java._NOT_A_TYPE]), name)))
-    return let(declared, lambda declared: F.filter(found, lambda c: ~c["name"].isin(_NO_CALL) & ~c["name"].eqNullSafe(declared)))
-
-
-def _typed(c: Column, owner: Column, locals_: Column, parameters: Column, fields: Column) -> Column:
-    """A call with ``type`` of its receiver, or ``variable`` where only a field of a superclass can have that name."""
-
-    def by_name(last: Column) -> Column:
-        named = lambda scope, name: F.filter(scope, lambda v: v["name"] == name)
-        of_field = F.get(named(fields, last), F.lit(0))["type"]
-        of_local = F.try_element_at(F.filter(locals_, lambda v: (v["name"] == last) & (v["i"] <= c["i"])), F.lit(-1))["type"]
-        of_parameter = F.get(named(parameters, last), F.lit(0))["type"]
-        upper = last.rlike("^[A-Z]")
-        on_this = c["path"].rlike(r"^this\.[^.]+$")
-        single = ~F.contains(c["path"], F.lit("."))
-        type_ = (
-            F.when(c["made"], c["name"])
-            .when(c["path"].isin("", "this", "super"), owner["name"])
-            .when(on_this, of_field)
-            .when(single, F.coalesce(of_local, of_parameter, of_field, F.when(upper, last)))
-            .when(upper, last)
-        )
-        with_type = lambda type_: c.withField("type", type_).withField("variable", F.when(type_.isNull() & (on_this | single), last))
-        return let(type_, with_type).withField("inherited", c["path"] == "super")
-
-    return let(F.substring_index(c["path"], ".", -1), by_name)
-
-
-def _columns() -> tuple:
-    segs, named, t = F.col("_segs"), F.col("_named"), F.col("_t")
-    around = F.reverse(F.filter(named, lambda u: (u["i"] <= t["i"]) & (u["end"] >= t["end"])))
-    fields = F.flatten(F.transform(around, lambda u: java._fields(java.members_of(segs, u))))
-    fields = F.transform(fields, lambda f: F.struct(f["name"].alias("name"), _bare(f["type"]).alias("type")))
-
-    def body_of(s: Column) -> Column:
-        within = F.when(s["step"] == 1, F.slice(segs, s["i"] + 2, F.greatest(F.lit(0), F.least(s["end"], F.size(segs)) - s["i"]))).otherwise(F.slice(segs, 1, 0))
-        inner = F.filter(named, lambda u: (u["i"] > s["i"]) & (u["i"] < s["end"]) & (s["step"] == 1))
-        return let(inner, lambda inner: F.when(F.size(inner) == 0, within).otherwise(F.filter(within, lambda b: ~F.exists(inner, lambda u: (u["i"] <= b["i"]) & (b["i"] <= u["end"])))))
-
-    def describe(s: Column, fields: Column) -> Column:
-        # What a field is set to; its spaces keep the lines right.
-        value = s.withField("txt", F.concat(F.regexp_replace(F.regexp_extract(s["txt"], r"^([^=]*)", 1), r"\S", "_"), F.regexp_extract(s["txt"], r"^[^=]*(=[\s\S]*)$", 1)))
-
-        def with_scope(read: Column, method: Column, parameters: Column) -> Column:
-            variables = F.flatten(F.transform(read, _variables))
-            calls = F.flatten(F.transform(read, _calls))
-            typed = let(calls, lambda c: F.when(F.size(c) == 0, F.array()).otherwise(let(variables, lambda v: F.transform(c, lambda c: _typed(c, t, v, parameters, fields)))))
-            return F.struct(method.alias("method"), typed.alias("calls"))
-
-        def with_head(plain: Column, head: Column) -> Column:
-            is_method = (head["name"] != "") & ((head["returns"] != "") | (head["name"] == t["name"])) & ~head["returns"].isin(java._NOT_A_TYPE)
-            listed = let(java.extracted(plain, java._METHOD, 4), java._parameters)
-            parameters = F.transform(listed, lambda p: F.struct(p["name"].alias("name"), _bare(p["type"]).alias("type")))
-            return let(
-                F.when(is_method, head["name"]),
-                lambda method: let(
-                    F.when(method.isNull() & F.contains(s["txt"], F.lit("=")), F.concat(F.array(value), body_of(s))).otherwise(body_of(s)),
-                    lambda read: let(parameters, lambda p: with_scope(read, method, p)),
+    def compiled(pattern: str) -> re.Pattern:
+        return re.compile(pattern.replace(r"\b", r"(?u:\b)"), re.ASCII)
+
+    def both(pattern: str) -> tuple[re.Pattern, re.Pattern]:
+        """The patterns for texts without and with type arguments."""
+        return compiled(java.without_generics(pattern)), compiled(pattern)
+
+    # Possessive, as what follows a name or a blank is neither; a name is looked for by its first character.
+    name = r"[A-Za-z_$][\w$]*+"
+    more = rf"(?:\s*+\.\s*+{name})*+"
+    start = r"[A-Za-z_$](?<![\w$.][\s\S])"
+    not_made = "".join(rf"(?<!\bnew\s{{{k}}}[\s\S])" for k in range(1, 10))
+    generic = java._GENERIC.replace("[^<>]", "[^<>;{}]")
+    call = compiled(rf"{start}[\w$]*+{more}\s*+\(")
+    call_or_new = compiled(rf"new(?<=\bnew)\s++({name}{more})\s*+(?:{generic}\s*)?\(|{start}{not_made}[\w$]*+{more}\s*+\(")
+    typed = compiled(rf"[(;{{}}]\s*(?:final\s+)?([A-Z][\w.]*(?:\s*{generic})?(?:\s*\[\s*\])*(?:\s*\|\s*[A-Z][\w.]*)*)\s+({name})\s*(?=[=:;)])")
+    matched = compiled(rf"\binstanceof\s+(?:final\s+)?([A-Z][\w.]*(?:\s*{generic})?)\s+({name})")
+    inferred = compiled(rf"\bvar\s+({name})\s*=\s*new\s+([A-Z][\w.]*)")
+    listed = both(rf"\binterface\s+\w+\s*(?:{java._GENERIC})?\s*extends\s+([\s\S]*?)(?:\bpermits\b[\s\S]*)?\{{$")
+    a_type, header, field, head = both(java._TYPE), compiled(java._TYPE_HEADER), both(java._FIELD), both(java._METHOD)
+    annotation, parameter = compiled(java._ANNOTATION), both(java._PARAMETER)
+    literal = compiled(java._LITERAL_OR_COMMENT.replace(r"\\.", r"\\[^\n\r\x85\u2028\u2029]"))
+    named = compiled(r"^([\s\S]*\S)\s+(\w+)(?:\s*\[\s*\])*$")
+    final, bare, visible = compiled(r"^(?:final\s+)+"), compiled(r"^(?:[\w$]+\s*\.\s*)*([\w$]+)"), compiled(r"\S")
+    delimiter, in_annotation = compiled(r"[;{}]"), str.maketrans("{};", "   ")
+    space, not_a_type, no_call = java._SPACE, frozenset(java._NOT_A_TYPE), frozenset(_NO_CALL)
+    rows_type = pa.list_(
+        pa.struct(
+            [
+                ("class", pa.string()),
+                ("above", pa.list_(pa.string())),
+                ("methods", pa.list_(pa.string())),
+                (
+                    "calls",
+                    pa.list_(
+                        pa.struct(
+                            [
+                                ("method", pa.string()), ("line", pa.int32()), ("name", pa.string()), ("made", pa.bool_()), ("type", pa.string()),
+                                ("variable", pa.string()), ("inherited", pa.bool_()),
+                            ]
+                        )
+                    ),
                 ),
-            )
-
-        head = lambda plain: F.struct(java.extracted(plain, java._METHOD, 2).alias("returns"), java.extracted(plain, java._METHOD, 3).alias("name"))
-        return let(java._plain(s["txt"]), lambda plain: let(head(plain), lambda head: with_head(plain, head)))
-
-    def is_type(s: Column) -> Column:
-        return (s["step"] == 1) & (F.regexp_extract(java._plain(s["txt"]), java._TYPE_HEADER, 1) != "")
-
-    members = F.filter(java.members_of(segs, t), lambda s: (s["step"] >= 0) & ~is_type(s))
-    listed = F.regexp_extract(java._plain(t["txt"]), rf"\binterface\s+\w+\s*(?:{java._GENERIC})?\s*extends\s+([\s\S]*?)(?:\bpermits\b[\s\S]*)?\{{$", 1)
-    above = F.transform(F.regexp_extract_all(listed, F.lit(java._TYPE), F.lit(0)), _bare)
-    return F.explode(each(named)).alias("_t"), above.alias("above"), let(fields, lambda f: F.transform(members, lambda s: describe(s, f))).alias("members")
+            ]
+        )
+    )
+
+    def cleaned(text: str) -> str:
+        """``java.clean_source``."""
+        if "/" in text or '"' in text or "'" in text:
+            text = literal.sub(lambda t: (" " if t.group()[0] == "/" else '""') + "\n" * t.group().count("\n"), text)
+        return annotation.sub(lambda t: t.group().translate(in_annotation), text) if "@" in text else text
+
+    def bare_of(type_: str) -> str:
+        found = bare.match(type_)
+        return found.group(1) if found else ""
+
+    def plain_of(text: str) -> str:
+        return annotation.sub("", text) if "@" in text else text
+
+    def parameters_of(text: str) -> dict[str, str]:
+        """Types by name, of equal names the first."""
+        found: dict[str, str] = {}
+        for piece in parameter["<" in text].findall(text):
+            piece = piece.strip(space)
+            if piece.startswith("final"):
+                piece = final.sub("", piece)
+            pair = named.match(piece)
+            if pair and "..." not in piece:
+                found.setdefault(pair.group(2), bare_of(pair.group(1)))
+        return found
+
+    def fields_of(plains: list[str]) -> dict[str, str]:
+        found: dict[str, str] = {}
+        for plain in plains:
+            pair = field["<" in plain].match(plain)
+            if pair and pair.group(1) not in not_a_type:
+                found.setdefault(pair.group(2), bare_of(pair.group(1)))
+        return found
+
+    def tokens_of(text: str) -> list[tuple[int, str, str, bool]]:
+        """Calls: (position, path, name, whether an object is made)."""
+        found = []
+        new = "new" in text
+        for token in (call_or_new if new else call).finditer(text):
+            if new and (made := token.group(1)):
+                path, called, is_made = "", bare_of(made), True
+            else:
+                path, _, called = token.group()[:-1].rpartition(".")
+                called, path, is_made = called.strip(space), "".join(path.split()), False
+            if called not in no_call:
+                found.append((token.start(), path, called, is_made))
+        return found
+
+    def variables_of(text: str) -> list[tuple[int, int, str, str]]:
+        """Variables: (position of the name, order among those of a segment, name, type). A text begins with a delimiter."""
+        found = [(v.start(2), 0, v.group(2), v.group(1)) for v in typed.finditer(text)]
+        if "instanceof" in text:
+            found += [(v.start(2), 1, v.group(2), v.group(1)) for v in matched.finditer(text)]
+        if "var" in text and "new" in text:
+            found += [(v.start(1), 2, v.group(1), v.group(2)) for v in inferred.finditer(text)]
+        return found
+
+    def read_file(text: str, put: Callable) -> int:
+        """Hands each type of a file to ``put`` and returns their number."""
+        # Positions count from a delimiter in front of the file. Segment i ends at delimiter i + 1.
+        text = ";" + cleaned(text)
+        cuts = [d.start() for d in delimiter.finditer(text)]
+        size = len(cuts) - 1
+        segment = lambda i: text[cuts[i] + 1 : cuts[i + 1] + 1]
+        # Blocks as they open and close: where the block of a segment ends, and for types their direct members.
+        ends, blocks, types = [size] * size, [], {}
+        for i in range(size):
+            last = text[cuts[i + 1]]
+            if last == "}":
+                if blocks:
+                    ends[blocks.pop()[0]] = i
+                continue
+            if blocks and (members := blocks[-1][1]) is not None:
+                members.append(i)
+            if last == "{":
+                members, plain = None, plain_of(segment(i))
+                if found := header.match(plain):
+                    members = []
+                    types[i] = (found.group(2), plain, members)
+                blocks.append((i, members))
+        if not types:
+            return 0
+        inner = list(types)
+        tokens, variables = tokens_of(text), sorted((bisect_left(cuts, v[0]) - 1, v[1], v[0], v[2], v[3]) for v in variables_of(text))
+        token_places, variable_places = [bisect_left(cuts, t[0]) - 1 for t in tokens], [v[0] for v in variables]
+        at, line, lines = 0, 1, []
+        for token in tokens:
+            line += text.count("\n", at, token[0])
+            at = token[0]
+            lines.append(line)
+
+        def parts(i: int) -> list[tuple[int, int]]:
+            """First and last segments of the block that a segment opens, without the types declared in it."""
+            found, first, last, k = [], i + 1, min(ends[i], size - 1), bisect_right(inner, i)
+            while k < len(inner) and inner[k] <= last:
+                found.append((first, inner[k] - 1))
+                first = ends[inner[k]] + 1
+                k = bisect_left(inner, first, k + 1)
+            return [*found, (first, last)]
+
+        def read_member(m: int, of_value: bool) -> tuple[list, dict]:
+            """Calls (segment, line, path, name, made), and places and types of variables by name."""
+            calls, declares = [], []
+            if of_value:
+                # What a field is set to.
+                before, _, after = segment(m).partition("=")
+                value = ";" + visible.sub("_", before) + "=" + after
+                if "(" in after:
+                    first = 1 + text.count("\n", 0, cuts[m])
+                    calls += [(m, first + value.count("\n", 0, t[0]), *t[1:]) for t in tokens_of(value)]
+                declares += sorted((m, v[1], v[0], v[2], v[3]) for v in variables_of(value))
+            if text[cuts[m + 1]] == "{":
+                seen, declared = -1, None
+                for first, last in parts(m):
+                    for k in range(bisect_left(token_places, first), bisect_right(token_places, last)):
+                        place = token_places[k]
+                        if place != seen:
+                            # A block's head that declares a method, in a class without a name, calls nothing.
+                            seen, declared = place, None
+                            if text[cuts[place + 1]] == "{":
+                                txt = segment(place)
+                                of = head["<" in txt].match(txt)
+                                if of and of.group(2) and of.group(2) not in not_a_type:
+                                    declared = of.group(3)
+                        if tokens[k][2] != declared:
+                            calls.append((place, lines[k], *tokens[k][1:]))
+                    if first <= last:
+                        declares += variables[bisect_left(variable_places, first) : bisect_right(variable_places, last)]
+            found: dict[str, tuple[list, list]] = {}
+            for place, _order, _at, variable, type_ in declares if calls else ():
+                places, named_types = found.setdefault(variable, ([], []))
+                places.append(place)
+                named_types.append(bare_of(type_))
+            return calls, found
+
+        around: list[tuple[int, dict]] = []
+        for i, (owner, plain, members) in types.items():
+            while around and around[-1][0] < i:
+                around.pop()
+            plains = [plain_of(segment(m)) for m in members]
+            around.append((ends[i], fields_of(plains)))
+            extends = listed["<" in plain].search(plain) if "interface" in plain else None
+            above = [bare_of(t) for t in a_type["<" in extends.group(1)].findall(extends.group(1))] if extends else []
+            methods, out = [], []
+            for m, plain in zip(members, plains, strict=True):
+                if m in types:
+                    continue
+                method, parameters = None, ""
+                if "(" in plain and (of := head["<" in plain].match(plain)):
+                    returns, word, parameters = of.group(2) or "", of.group(3), of.group(4)
+                    if (returns or word == owner) and returns not in not_a_type:
+                        method = word
+                        methods.append(word)
+                calls, known = read_member(m, method is None and "=" in segment(m))
+                scope = parameters_of(parameters) if calls and parameters else {}
+                for place, on, path, called, made in calls:
+                    type_ = variable = None
+                    if made:
+                        type_ = called
+                    elif path in ("", "this", "super"):
+                        type_ = owner
+                    else:
+                        first, _, last = path.rpartition(".")
+                        upper = "A" <= last[0] <= "Z"
+                        if first and first != "this":
+                            if not upper:
+                                continue
+                            type_ = last
+                        else:
+                            if not first:
+                                places, named_types = known.get(last, ((), ()))
+                                before = bisect_right(places, place)
+                                type_ = named_types[before - 1] if before else scope.get(last)
+                            if type_ is None:
+                                type_ = next((fields[last] for _end, fields in reversed(around) if last in fields), last if upper and not first else None)
+                            variable = last if type_ is None else None
+                    out.append((method, on, called, made, type_, variable, path == "super"))
+            put(owner, above, methods, out)
+        return len(types)
+
+    def read(texts: pa.Array) -> pa.Array:
+        per_file, owners, above, methods, calls = [0], [], [], [], []
+        above_ends, method_ends, call_ends = [0], [0], [0]
+
+        def put(owner: str, up: list, own: list, out: list) -> None:
+            owners.append(owner)
+            above.extend(up)
+            methods.extend(own)
+            calls.extend(out)
+            above_ends.append(len(above))
+            method_ends.append(len(methods))
+            call_ends.append(len(calls))
+
+        for text in texts.cast(pa.binary()).to_pylist():
+            per_file.append(per_file[-1] + (0 if text is None else read_file(text.decode("utf-8", "replace"), put)))
+        number = lambda values: pa.array(values, pa.int32())
+        call_type = rows_type.value_type.field("calls").type.value_type
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*calls, strict=True) if calls else [[]] * call_type.num_fields, call_type, strict=True)]
+        parts = [
+            pa.array(owners, pa.string()),
+            pa.ListArray.from_arrays(number(above_ends), pa.array(above, pa.string())),
+            pa.ListArray.from_arrays(number(method_ends), pa.array(methods, pa.string())),
+            pa.ListArray.from_arrays(number(call_ends), pa.StructArray.from_arrays(columns, fields=list(call_type))),
+        ]
+        return pa.ListArray.from_arrays(number(per_file), pa.StructArray.from_arrays(parts, fields=list(rows_type.value_type)))
+
+    return read
 
 
 def _bodies(files: DataFrame) -> DataFrame:
-    """(repository, file, class, above, members): one row per type. ``above`` are the interfaces an interface extends, which the
-    index has no edges for; a member has its method, null where it is an initialiser, and its calls.
+    """(repository, file, class, above, methods, calls): one row per type. ``above`` are the interfaces an interface extends, which the
+    index has no edges for; ``methods`` the names of its methods. A call has the method it stands in, null in an initialiser, and the
+    type of its receiver, or ``variable`` where only a field of a superclass can have that name; calls with neither are left out.
     """
-    cleaned = files.select("repository", F.col("path").alias("file"), java.clean_source(F.col("content")).alias("_clean"))
-    typed = cleaned.select("repository", "file", java.segments(F.col("_clean")).alias("_segs")).select("*", java._types(F.col("_segs")).alias("_types"))
-    typed = typed.select("repository", "file", "_segs", F.filter("_types", lambda u: u["kind"].isin(_NAMED_KINDS)).alias("_named"))
-    generated, above, members = _columns()
-    return typed.select("repository", "file", "_segs", "_named", generated).select("repository", "file", F.col("_t.name").alias("class"), above, members)
+    read = F.arrow_udf(_reading(), f"array<{_BODY}>")("content")
+    return files.select("repository", F.col("path").alias("file"), F.explode(read).alias("t")).select("repository", "file", "t.*")
 
 
 def nearest(asked: DataFrame, members: DataFrame, parents: DataFrame) -> DataFrame:
     """For asked (repository, name, member) the nearest type that has the member: (repository, name, member, owner, value).
 
     ``members`` has (repository, name, member, value), ``parents`` (repository, name, parent, place). A type that lacks the member hands
-    the question to its parents; of types equally near the first by ``place`` and name counts. Each distinct question is asked once,
-    whatever the number of calls; rounds are as many as the hierarchy is deep, and a cycle of parents ends where it began.
+    the question to its parents; of types equally near the first by ``place`` and name counts. A question is followed once for each type
+    it comes to, however many types hand it on, and not at all if no type of the repository has the member; then answers go back down
+    from type to type. Rounds are as many as the hierarchy is deep, and a cycle of parents ends where it began.
     """
     key = ["repository", "at", "member"]
     of = members.select("repository", F.col("name").alias("at"), "member", "value")
-    up = parents.select("repository", F.col("name").alias("at"), "parent", F.col("place").alias("next_place"))
-    open_ = cut_lineage(asked.select("repository", "name", "member").distinct().select("*", F.col("name").alias("at"), F.lit(0).alias("place")))
-    seen, found, distance = [open_.select("repository", "name", "member", "at")], [], 0
-    while not open_.isEmpty():
-        found.append(cut_lineage(open_.join(of, key).withColumn("distance", F.lit(distance))))
-        on = open_.join(of.select(key).distinct(), key, "left_anti").join(up, ["repository", "at"])
-        on = on.groupBy("repository", "name", "member", F.col("parent").alias("at")).agg(F.min("next_place").alias("place"))
-        open_ = cut_lineage(on.join(reduce(DataFrame.unionByName, seen), ["repository", "name", "member", "at"], "left_anti"))
-        seen.append(open_.select("repository", "name", "member", "at"))
-        distance += 1
-    rows = reduce(DataFrame.unionByName, found) if found else open_.join(of, key).withColumn("distance", F.lit(0))
-    best = rows.groupBy("repository", "name", "member").agg(F.min_by(F.struct(F.col("at").alias("owner"), "value"), F.struct("distance", "place", "at")).alias("w"))
-    return best.select("repository", "name", "member", "w.*")
+    up = parents.select("repository", F.col("name").alias("at"), "parent", "place")
+    together = lambda tables: reduce(DataFrame.unionByName, tables)
+    first = asked.select("repository", F.col("name").alias("at"), "member").distinct()
+    first = first.join(members.select("repository", "member").distinct(), ["repository", "member"], "left_semi")
+    states, links = [cut_lineage(first.select(*key, F.lit(True).alias("asked")))], []
+    while not states[-1].isEmpty():
+        links.append(cut_lineage(states[-1].join(of, key, "left_anti").join(up, ["repository", "at"])))
+        above = links[-1].select("repository", F.col("parent").alias("at"), "member").distinct()
+        states.append(cut_lineage(above.join(together(states), key, "left_anti").withColumn("asked", F.lit(False))))
+
+    own = together(states).join(of, key).dropDuplicates(key)
+    solved = [cut_lineage(own.select(*key, "asked", F.col("at").alias("owner"), "value", F.lit(None).cast(up.schema["place"].dataType).alias("place")))]
+    while links and not solved[-1].isEmpty():
+        # The place that counts is that of the step to the owner.
+        of_parent = solved[-1].select("repository", F.col("at").alias("parent"), "member", "owner", "value", F.col("place").alias("_place"))
+        handed = together(links).join(of_parent, ["repository", "parent", "member"]).withColumn("place", F.coalesce("_place", "place"))
+        best = F.min_by(F.struct("owner", "value", "place"), F.struct("place", "owner")).alias("w")
+        new = handed.join(together(solved), key, "left_anti").groupBy(*key, "asked").agg(best)
+        solved.append(cut_lineage(new.select(*key, "asked", "w.*")))
+    return together(solved).where("asked").select("repository", F.col("at").alias("name"), "member", "owner", "value")
 
 
 def call_sites(files: DataFrame, types: DataFrame | None = None) -> DataFrame:
@@ -204,13 +342,12 @@ def call_sites(files: DataFrame, types: DataFrame | None = None) -> DataFrame:
     only calls are joined. Pass ``types`` when the extraction is already stored.
     """
     java_files = files.where(F.col("path").endswith(".java") & F.col("content").isNotNull())
-    types = java.java_types(java_files) if types is None else types
+    types = cut_lineage(java.java_types(java_files)) if types is None else types
     bodies = cut_lineage(_bodies(java_files))
-    members = bodies.select("repository", "file", "class", F.explode("members").alias("m")).select("repository", "file", "class", "m.*")
-    calls = members.select("repository", "file", "class", "method", F.explode("calls").alias("c")).select("repository", "file", "class", "method", "c.*")
+    calls = bodies.select("repository", "file", "class", F.explode("calls").alias("c")).select("repository", "file", "class", "c.*")
 
     classes = bodies.select("repository", "class").distinct()
-    own = members.where("method IS NOT NULL").select("repository", F.col("class").alias("name"), F.col("method").alias("member"))
+    own = bodies.select("repository", F.col("class").alias("name"), F.explode("methods").alias("member"))
     public = java.methods(types).select("repository", F.col("class").alias("name"), F.col("name").alias("member"))
     methods = cut_lineage(own.unionByName(public).distinct().withColumn("value", F.lit(True)))
     up = java.edges(types).where(F.col("type").isin("extends", "implements"))
@@ -223,7 +360,8 @@ def call_sites(files: DataFrame, types: DataFrame | None = None) -> DataFrame:
     fields = fields.groupBy("repository", "name", "member").agg(F.min("value").alias("value"))
     unknown = calls.where("variable IS NOT NULL").select("repository", F.col("class").alias("name"), F.col("variable").alias("member"))
     inherited = nearest(unknown, fields, parents).select("repository", F.col("name").alias("class"), F.col("member").alias("variable"), F.col("value").alias("field_type"))
-    typed = calls.join(inherited, ["repository", "class", "variable"], "left").withColumn("type", F.coalesce("type", "field_type")).where("type IS NOT NULL")
+    of_field = calls.where("variable IS NOT NULL").join(inherited, ["repository", "class", "variable"]).withColumn("type", F.col("field_type")).select(calls.columns)
+    typed = calls.where("type IS NOT NULL").unionByName(cut_lineage(of_field.where("type IS NOT NULL")))
 
     # A call on super begins at the parents.
     above = typed.where("inherited").select("repository", F.col("class").alias("name"), F.col("name").alias("member")).distinct()

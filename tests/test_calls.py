@@ -128,3 +128,54 @@ def test_large_files_take_linear_time(spark, methods):
     assert len(row.methods) == methods and row.methods[17].end_line == 19
     assert took < 10, took
     assert calls.call_sites(df).count() == methods
+
+
+def test_questions_are_followed_once_for_each_type(spark, monkeypatch):
+    rows = []
+    cut = calls.cut_lineage
+
+    def counted(df):
+        done = cut(df)
+        rows.append(done.count())
+        return done
+
+    monkeypatch.setattr(calls, "cut_lineage", counted)
+    n = 8
+    asked = spark.createDataFrame([("r", f"T{k}", m) for k in range(n) for m in ("m", "none")], "repository string, name string, member string")
+    members = spark.createDataFrame([("r", "T0", "m", True)], "repository string, name string, member string, value boolean")
+    parents = spark.createDataFrame([("r", f"T{k}", f"T{k - 1}", -1) for k in range(1, n)], "repository string, name string, parent string, place int")
+    found = calls.nearest(asked, members, parents)
+    assert sorted((r.name, r.member, r.owner, r.value) for r in found.collect()) == [(f"T{k}", "m", "T0", True) for k in range(n)]
+    # A question of its own for each pair of a type and one above it would be n * n / 2 rows for each member.
+    assert sum(rows) <= 4 * n, rows
+
+
+def test_nearest_of_several_parents_and_cycles(spark):
+    up = {"A": ["C", "B"], "B": ["D"], "C": ["E", "F"], "D": ["A", "G"], "E": ["A"], "F": ["F"], "H": ["I"], "I": ["H"], None: ["G"]}
+    has = {"G": ["x", "y"], "E": ["y"], "F": ["y", "z"], "A": ["w"], "I": [None]}
+    types, names = ["A", "B", "C", "D", "E", "F", "G", "H", "I", None], ["w", "x", "y", "z", "none", None]
+    asked = spark.createDataFrame([("r", t, m) for t in types for m in names] * 2, "repository string, name string, member string")
+    members = spark.createDataFrame([("r", t, m, f"{t}{m}") for t, ms in has.items() for m in ms], "repository string, name string, member string, value string")
+    parents = spark.createDataFrame([("r", t, p, k) for t, ps in up.items() for k, p in enumerate(ps)], "repository string, name string, parent string, place int")
+    expect = []
+    for t in types:
+        for m in names:
+            level, seen = {(0, t)}, {t}
+            while level and m and t:
+                if owners := [(place, at) for place, at in level if m in has.get(at, [])]:
+                    expect.append((t, m, min(owners)[1], f"{min(owners)[1]}{m}"))
+                    break
+                level = {(min(k for _, o in level for k, p in enumerate(up.get(o, [])) if p == at), at) for at in {p for _, o in level for p in up.get(o, [])} - seen}
+                seen |= {at for _, at in level}
+    assert sorted(map(tuple, calls.nearest(asked, members, parents).select("name", "member", "owner", "value").collect())) == sorted(expect)
+
+
+def test_bodies_are_read_once_and_survive_odd_text(spark):
+    text = "class A { B b; void m() { b.go(); /* café */ new B().go(); b . go ( \n b.go()); } }\r\nclass B { void go() { } } // end"
+    df = spark.createDataFrame([("r", "A.java", text.encode() + b"\xff"), ("r", "N.java", None)], "repository string, path string, content binary")
+    files = df.select("repository", "path", calls.F.col("content").cast("string").alias("content"))
+    assert sorted((r["class"], r.method, r.line, r.name, r.declared_in) for r in calls.call_sites(files).collect()) == sorted(
+        [("A", "m", 1, "go", "B"), ("A", "m", 1, "B", "B"), ("A", "m", 1, "go", "B"), ("A", "m", 2, "go", "B")]
+    )
+    plan = calls._bodies(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
