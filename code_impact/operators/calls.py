@@ -392,8 +392,11 @@ def breaking_call_sites(breaking: DataFrame, sites: DataFrame) -> DataFrame:
 
     A removed class is hit by calls of all its methods and constructors, a method by calls of its name.
     """
-    others = sites.where(F.col("class") != F.col("declared_in"))
-    counts = [F.count(F.lit(1)).alias("call_sites"), F.count_distinct("class").alias("calling_classes"), F.count_distinct("file").alias("calling_files")]
+    # Only what changed is counted, and sites of one caller are added up once for both counts.
+    changed = breaking.select("repository", F.col("class").alias("declared_in")).distinct()
+    others = sites.where(F.col("class") != F.col("declared_in")).join(changed, ["repository", "declared_in"], "left_semi")
+    others = others.groupBy("repository", "declared_in", "name", "class", "file").agg(F.count(F.lit(1)).alias("n"))
+    counts = [F.sum("n").alias("call_sites"), F.count_distinct("class").alias("calling_classes"), F.count_distinct("file").alias("calling_files")]
     # Constructors have the name of their class, which no method change is keyed by unless it is theirs.
     of_method = others.groupBy("repository", F.col("declared_in").alias("class"), F.col("name").alias("method")).agg(*counts)
     of_class = others.groupBy("repository", F.col("declared_in").alias("class")).agg(*counts).withColumn("method", F.lit(None).cast("string"))

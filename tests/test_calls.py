@@ -179,3 +179,18 @@ def test_bodies_are_read_once_and_survive_odd_text(spark):
     )
     plan = calls._bodies(files)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_only_sites_of_changed_classes_are_counted(spark):
+    sites = spark.createDataFrame(
+        [("r", f, c, "m", k, n, d) for k, (f, c, n, d) in enumerate([("a", "A", "x", "B"), ("a", "A", "x", "B"), ("b", "A", "y", "B"), (None, "C", "x", "B"), ("b", "B", "x", "B"), ("a", "A", "z", "D")])],
+        "repository string, file string, class string, method string, line int, name string, declared_in string",
+    )
+    breaking = spark.createDataFrame(
+        [("r", "method_removed", "B", "x"), ("r", "class_removed", "B", None), ("r", "method_removed", "B", "q"), ("s", "class_removed", "D", None), ("r", "class_removed", None, None)],
+        "repository string, type string, class string, method string",
+    )
+    hit = calls.breaking_call_sites(breaking, sites)
+    seen = {(r.repository, r["class"], r.method): (r.call_sites, r.calling_classes, r.calling_files) for r in hit.collect()}
+    assert seen == {("r", "B", "x"): (3, 2, 1), ("r", "B", None): (4, 2, 2), ("r", "B", "q"): (0, 0, 0), ("s", "D", None): (0, 0, 0), ("r", None, None): (0, 0, 0)}
+    assert "LeftSemi" in hit._jdf.queryExecution().optimizedPlan().toString()
