@@ -21,6 +21,17 @@ from pyspark.sql import functions as F
 from code_impact.operators import java
 from code_impact.session import cut_lineage
 
+# Names and chains are possessive, as what follows a name or a blank is neither; a name is looked for by its first character.
+_NAME = r"[A-Za-z_$][\w$]*+"
+_MORE = rf"(?:\s*+\.\s*+{_NAME})*+"
+_START = r"[A-Za-z_$](?<![\w$.][\s\S])"
+_NOT_MADE = r"(?<!\bnew\s{1,9}[\s\S])"
+_CALL = rf"{_START}[\w$]*+{_MORE}\s*+\("
+_NEW = rf"new(?<=\bnew)\s++({_NAME}{_MORE})\s*+(?:{java._GENERIC}\s*)?\("
+_ANY = rf"{_NEW}|{_START}{_NOT_MADE}[\w$]*+{_MORE}\s*+\("
+_TYPED = rf"[(;{{}}]\s*(?:final\s+)?([A-Z][\w.]*(?:\s*{java._GENERIC})?(?:\s*\[\s*\])*(?:\s*\|\s*[A-Z][\w.]*)*)\s+({_NAME})\s*(?=[=:;)])"
+_MATCHED = rf"\binstanceof\s+(?:final\s+)?([A-Z][\w.]*(?:\s*{java._GENERIC})?)\s+({_NAME})"
+_INFERRED = rf"\bvar\s+({_NAME})\s*=\s*new\s+([A-Z][\w.]*)"
 _NO_CALL = ["if", "for", "while", "switch", "catch", "synchronized", "return", "throw", "assert", "else", "case", "do", "try", "new", "super", "this", "yield"]
 _BODY = "struct<class:string,above:array<string>,methods:array<string>,calls:array<struct<method:string,line:int,name:string,made:boolean,type:string,variable:string,inherited:boolean>>>"
 
@@ -45,17 +56,10 @@ def _reading() -> Callable[[pa.Array], pa.Array]:
         """The patterns for texts without and with type arguments."""
         return compiled(java.without_generics(pattern)), compiled(pattern)
 
-    # Possessive, as what follows a name or a blank is neither; a name is looked for by its first character.
-    name = r"[A-Za-z_$][\w$]*+"
-    more = rf"(?:\s*+\.\s*+{name})*+"
-    start = r"[A-Za-z_$](?<![\w$.][\s\S])"
-    not_made = "".join(rf"(?<!\bnew\s{{{k}}}[\s\S])" for k in range(1, 10))
-    generic = java._GENERIC.replace("[^<>]", "[^<>;{}]")
-    call = compiled(rf"{start}[\w$]*+{more}\s*+\(")
-    call_or_new = compiled(rf"new(?<=\bnew)\s++({name}{more})\s*+(?:{generic}\s*)?\(|{start}{not_made}[\w$]*+{more}\s*+\(")
-    typed = compiled(rf"[(;{{}}]\s*(?:final\s+)?([A-Z][\w.]*(?:\s*{generic})?(?:\s*\[\s*\])*(?:\s*\|\s*[A-Z][\w.]*)*)\s+({name})\s*(?=[=:;)])")
-    matched = compiled(rf"\binstanceof\s+(?:final\s+)?([A-Z][\w.]*(?:\s*{generic})?)\s+({name})")
-    inferred = compiled(rf"\bvar\s+({name})\s*=\s*new\s+([A-Z][\w.]*)")
+    # Type arguments end before a delimiter. Python looks back over one width at a time.
+    not_made = "".join(_NOT_MADE.replace("{1,9}", f"{{{k}}}") for k in range(1, 10))
+    whole_file = lambda pattern: compiled(pattern.replace("[^<>]", "[^<>;{}]").replace(_NOT_MADE, not_made))
+    call, call_or_new, typed, matched, inferred = (whole_file(p) for p in (_CALL, _ANY, _TYPED, _MATCHED, _INFERRED))
     listed = both(rf"\binterface\s+\w+\s*(?:{java._GENERIC})?\s*extends\s+([\s\S]*?)(?:\bpermits\b[\s\S]*)?\{{$")
     a_type, header, field, head = both(java._TYPE), compiled(java._TYPE_HEADER), both(java._FIELD), both(java._METHOD)
     annotation, parameter = compiled(java._ANNOTATION), both(java._PARAMETER)
